@@ -1,0 +1,61 @@
+"""Deterministic fixtures derived from the given tables.
+
+The driver tables carry no guard events, attack prompts or model answers,
+so these builders derive them from ``events`` and ``conversations`` with
+plain column rules (modulus of the key picks a planted phrase). Every
+builder has a DuckDB twin in :mod:`guardspark.plans.fixture_sql` so the
+oracles start from the same rows.
+"""
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.patterns import EVENT_ACTIONS, EVENT_TEXT_CHARS
+from .tables import read_table
+
+# Ten category names the audit fixture cycles through.
+AUDIT_CATEGORIES = ["instruction_override", "roleplay", "jailbreak", "prompt_injection", "data_extraction",
+                    "sensitive_exfiltration", "output_control", "markup_injection", "code_block_injection",
+                    "markdown_injection"]
+
+# Driver event_type -> guard event type (error splits on event_id % 5).
+AUDIT_TYPE_MAP = [("click", "OUTPUT_SANITIZED"), ("view", "DOCUMENT_SANITIZED"),
+                  ("signup", "PROMPT_OVERRIDE_BLOCKED"), ("purchase", "OUTPUT_BLOCKED")]
+
+EVENT_DETAILS = "struct<categories:array<string>,patterns_matched:array<string>,reason:string>"
+
+
+def _pick(names: list[str], idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in names]), (idx + 1).cast("int"))
+
+
+def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Security events derived from ``events``, one per input row."""
+    e = read_table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    etype = F.when(F.col("event_type") == "error",
+                   F.when(eid % 5 == 0, F.lit("PROMPT_LEAK_BLOCKED")).otherwise(F.lit("INPUT_BLOCKED")))
+    for src, dst in AUDIT_TYPE_MAP:
+        etype = etype.when(F.col("event_type") == src, F.lit(dst))
+    action = F.lit("")
+    for t, a in reversed(EVENT_ACTIONS):
+        action = F.when(F.col("event_type_g") == t, F.lit(a)).otherwise(action)
+    cats = F.when(eid % 7 == 0, F.array().cast("array<string>")).otherwise(
+        F.array(_pick(AUDIT_CATEGORIES, eid % 10), _pick(AUDIT_CATEGORIES, (eid + 3) % 10)))
+    pats = F.when(eid % 14 == 0, F.array(_pick(AUDIT_CATEGORIES, eid % 10))).otherwise(
+        F.array().cast("array<string>"))
+    return (e.select(
+        eid.alias("event_id"),
+        F.col("ts").alias("timestamp"),
+        etype.alias("event_type_g"),
+        F.substring(F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" "), F.col("props")),
+                    1, EVENT_TEXT_CHARS).alias("input_text"),
+        F.struct(cats.alias("categories"), pats.alias("patterns_matched"),
+                 F.lit(None).cast("string").alias("reason")).alias("details"),
+        F.least(F.lit(1.0), F.col("value") / F.lit(200.0)).alias("threat_level"),
+        F.col("user_id").cast("string").alias("session_id"))
+        .withColumn("action_taken", action)
+        .withColumnRenamed("event_type_g", "event_type")
+        .select("event_id", "timestamp", "event_type", "input_text", "details", "threat_level",
+                "action_taken", "session_id"))
