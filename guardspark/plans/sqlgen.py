@@ -86,4 +86,48 @@ def manipulation_list(x: str) -> str:
 
 
 def with_ctes(ctes: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
+
+
+def _rfind_rel(w: str, sep: str) -> str:
+    """0-based last index of ``sep`` in ``w`` or -1."""
+    rs = lit(sep[::-1])
+    p = f"strpos(reverse({w}), {rs})"
+    return f"(CASE WHEN {p} > 0 THEN length({w}) - {len(sep)} - ({p} - 1) ELSE -1 END)"
+
+
+def chunk_end(t: str, n: str, s: str, size: int = 500) -> str:
+    """End of the window starting at ``s`` (the chunker's break rules)."""
+    half = size // 2
+    w = f"substring({t}, {s} + 1, {size})"
+    cases = []
+    for sep in ["\n\n", ". ", "! ", "? ", "\n"]:
+        r = _rfind_rel(w, sep)
+        cases.append(f"WHEN {r} > {half} THEN {s} + {r} + {len(sep)}")
+    return (f"(CASE WHEN {s} + {size} < {n} THEN (CASE {' '.join(cases)} ELSE {s} + {size} END) "
+            f"ELSE {s} + {size} END)")
+
+
+def chunk_ctes(src_sql: str, size: int = 500, overlap: int = 50, name: str = "chunks") -> list[str]:
+    """Recursive CTE reproducing the chunker.
+
+    ``src_sql`` selects (doc_id, source_file, t). Result CTE ``name`` has
+    doc_id, source_file, chunk_index, start_index, end_index, content.
+    """
+    e = chunk_end("c.t", "c.n", "st.s", size)
+    piece = py_strip(f"substring(c.t, st.s + 1, {e} - st.s)")
+    nxt = f"({e} - {overlap})"
+    return [
+        f"csrc AS (SELECT doc_id, source_file, t, length(t) AS n FROM ({src_sql}) WHERE {py_strip('t')} <> '')",
+        f"csteps(doc_id, s, last_s, idx) AS (SELECT doc_id, 0, -1, 0 FROM csrc UNION ALL "
+        f"SELECT st.doc_id, CASE WHEN ({piece} <> '' AND {nxt} <= st.s) OR ({piece} = '' AND "
+        f"((st.last_s >= 0 AND {nxt} <= st.last_s) OR (st.last_s < 0 AND {nxt} < 0))) THEN {e} ELSE {nxt} END, "
+        f"CASE WHEN {piece} <> '' THEN st.s ELSE st.last_s END, "
+        f"st.idx + CASE WHEN {piece} <> '' THEN 1 ELSE 0 END "
+        f"FROM csteps st JOIN csrc c ON c.doc_id = st.doc_id "
+        f"WHERE (CASE WHEN ({piece} <> '' AND {nxt} <= st.s) OR ({piece} = '' AND "
+        f"((st.last_s >= 0 AND {nxt} <= st.last_s) OR (st.last_s < 0 AND {nxt} < 0))) THEN {e} ELSE {nxt} END) < c.n)",
+        f"{name} AS (SELECT st.doc_id, c.source_file, CAST(st.idx AS BIGINT) AS chunk_index, "
+        f"CAST(st.s AS BIGINT) AS start_index, CAST({e} AS BIGINT) AS end_index, {piece} AS content "
+        f"FROM csteps st JOIN csrc c ON c.doc_id = st.doc_id WHERE {piece} <> '')",
+    ]
