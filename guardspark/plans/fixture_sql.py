@@ -24,3 +24,56 @@ def audit_events_cte(name: str = "audit_events") -> str:
             f"CASE WHEN event_id % 14 = 0 THEN [{cats}[event_id % 10 + 1]] ELSE []::VARCHAR[] END "
             f"AS patterns_matched, least(1.0, value / 200.0) AS threat_level, "
             f"CAST(user_id AS VARCHAR) AS session_id FROM events))")
+
+
+def _arr(phrases) -> str:
+    from .sqlgen import lit
+    return "[" + ", ".join(lit(p) for p in phrases) + "]"
+
+
+def _pick(phrases, idx: str) -> str:
+    return f"{_arr(phrases)}[({idx}) + 1]"
+
+
+def canary_token_sql(seed: str, nonce: str) -> str:
+    return (f"'CANARY-' || upper(left(sha256('CANARY:' || coalesce({seed}, '') || ':' || "
+            f"CAST({nonce} AS VARCHAR)), 20))")
+
+
+def prompt_ctes() -> list[str]:
+    from ..sources.fixtures import (ANSWER_PHRASES, PROMPT_PHRASES, SYSTEM_PHRASES, VERDICT_TEMPLATES)
+    h = "(u.conv_id * 31 + u.turn)"
+    a = "(conv_id * 17 + turn)"
+    v = f"((conv_id * 7 + turn) % {len(VERDICT_TEMPLATES) + 1})"
+    ans = _pick(ANSWER_PHRASES, f"{a} % {len(ANSWER_PHRASES)}")
+    ans = (f"CASE WHEN {ans} = '{{canary}}' THEN 'Session token ' || {canary_token_sql('query', 'prompt_id')} "
+           f"|| ' as asked.' ELSE {ans} END")
+    return [
+        "turns AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations "
+        "WINDOW w AS (PARTITION BY conv_id ORDER BY turn))",
+        "sysp AS (SELECT conv_id, arg_min(text, turn) AS _sys FROM turns WHERE role = 'system' GROUP BY conv_id)",
+        f"prompts AS (SELECT u.conv_id * 1000 + u.turn AS prompt_id, u.conv_id, u.turn, "
+        f"CASE WHEN {h} % 4 <> 0 THEN u.text || ' ' || {_pick(PROMPT_PHRASES, f'{h} % {len(PROMPT_PHRASES)}')} "
+        f"ELSE u.text END AS query, ((u.conv_id + u.turn) % 5 <> 0) AS guardrails, "
+        f"CASE WHEN u.conv_id % 2 = 0 THEN s._sys || ' ' || {_pick(SYSTEM_PHRASES, f'u.conv_id % {len(SYSTEM_PHRASES)}')} "
+        f"ELSE s._sys END AS system_prompt, 5 AS top_k, next_role, next_text "
+        f"FROM turns u LEFT JOIN sysp s ON u.conv_id = s.conv_id WHERE u.role = 'user')",
+        f"answers AS (SELECT prompt_id, CASE WHEN {a} % 4 <> 0 THEN next_text || ' ' || ({ans}) ELSE next_text END "
+        f"AS raw_answer FROM prompts WHERE next_role = 'assistant')",
+        f"verdicts AS (SELECT prompt_id, {_pick(VERDICT_TEMPLATES, v)} AS raw FROM prompts "
+        f"WHERE {v} < {len(VERDICT_TEMPLATES)})",
+    ]
+
+
+def system_turns_cte() -> str:
+    from ..sources.fixtures import SYSTEM_PHRASES
+    h = "(conv_id * 13 + turn)"
+    return (f"system_turns AS (SELECT conv_id * 1000 + turn AS prompt_id, CASE WHEN {h} % 4 <> 0 THEN text || ' ' || "
+            f"{_pick(SYSTEM_PHRASES, f'{h} % {len(SYSTEM_PHRASES)}')} ELSE text END AS system_prompt "
+            f"FROM conversations WHERE role = 'system')")
+
+
+def dirty_texts_cte() -> str:
+    from ..sources.fixtures import DIRTY_BLOCKS
+    return (f"dirty_texts AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 4 <> 0 THEN text || ' ' || "
+            f"{_pick(DIRTY_BLOCKS, f'doc_id % {len(DIRTY_BLOCKS)}')} ELSE text END AS text FROM documents)")

@@ -131,3 +131,47 @@ def chunk_ctes(src_sql: str, size: int = 500, overlap: int = 50, name: str = "ch
         f"CAST(st.s AS BIGINT) AS start_index, CAST({e} AS BIGINT) AS end_index, {piece} AS content "
         f"FROM csteps st JOIN csrc c ON c.doc_id = st.doc_id WHERE {piece} <> '')",
     ]
+
+
+# --- Sanitizer and trust (RE2 forms; lookaheads rewritten).
+def sanitizer_delete_re2() -> list[tuple[str, str, str]]:
+    """(pattern, replacement, category) for DuckDB, in order."""
+    from ..functions.patterns import SANITIZER_DELETE
+    out = []
+    for p, cat in SANITIZER_DELETE:
+        if cat == "labeled_instruction":
+            out.append((r"(?ims)(?:^|\n)\s*(?:INSTRUCTION|SYSTEM|PROMPT|COMMAND|NOTE TO AI|AI INSTRUCTION)[:\s]"
+                        r"(?s:.*?)(\n\n|\z)", r"\1", cat))
+        elif cat == "roleplay_instruction":
+            out.append((r"(?ims)(?:^|\n).*?(?:you are|you're|you will be|act as|pretend to be).*?"
+                        r"(?:evil|malicious|unrestricted|unfiltered|uncensored)[^\n]*", "", cat))
+        elif cat == "override_instruction":
+            out.append((r"(?ims)(?:IGNORE|DISREGARD|FORGET)\s+(?:PREVIOUS|ABOVE|ALL)\s+[^\n]*", "", cat))
+        else:
+            out.append((re2(p, "sanitize"), "", cat))
+    return out
+
+
+def sanitize(x: str) -> str:
+    """Nested expression: homoglyphs, deletions, redactions, collapse, strip."""
+    from ..functions.patterns import SANITIZER_REDACT
+    t = homoglyphs(x)
+    for p, repl, _ in sanitizer_delete_re2():
+        t = f"regexp_replace({t}, {lit(p)}, {lit(repl)}, 'g')"
+    for p, repl in SANITIZER_REDACT:
+        t = f"regexp_replace({t}, {lit(re2(p))}, {lit(repl)}, 'g')"
+    t = f"regexp_replace({t}, '\\n{{3,}}', {lit(chr(10) * 2)}, 'g')"
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN {x} ELSE {py_strip(t)} END"
+
+
+def trust(x: str, r: str = "0.5") -> str:
+    from ..functions.patterns import TRUST_NEGATIVE, TRUST_POSITIVE
+    t = f"(0.7 + ({r} - 0.5) * 0.3)"
+    for p, d, _ in TRUST_NEGATIVE + TRUST_POSITIVE:
+        t = f"({t} + CASE WHEN {matches(x, re2(p))} THEN {d!r} ELSE 0.0 END)"
+    t = (f"({t} + CASE WHEN length({x}) < 50 THEN -0.1 WHEN length({x}) > 2000 THEN -0.05 ELSE 0.0 END)")
+    return f"greatest(0.0, least(1.0, {t}))"
+
+
+def max_context(a: str) -> str:
+    return f"CASE WHEN {a} >= 0.6 THEN 4000 ELSE CAST(trunc(2000.0 + 2000.0 * ({a} / 0.6)) AS INTEGER) END"
