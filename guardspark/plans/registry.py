@@ -34,5 +34,5 @@ def register(name: str, oracle: Callable[[], str] | None = None):
 
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens on import)."""
-    from . import event_queries, output_queries, scrub_queries, text_queries  # noqa: F401
+    from . import event_queries, output_queries, screen_queries, scrub_queries, text_queries  # noqa: F401
     return QUERIES

@@ -175,3 +175,81 @@ def trust(x: str, r: str = "0.5") -> str:
 
 def max_context(a: str) -> str:
     return f"CASE WHEN {a} >= 0.6 THEN 4000 ELSE CAST(trunc(2000.0 + 2000.0 * ({a} / 0.6)) AS INTEGER) END"
+
+
+# --- Screening -------------------------------------------------------------
+def dbl(x: float) -> str:
+    """Exact double literal."""
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def decayed_sum(list_expr: str, weights: list[float]) -> str:
+    w = "[" + ", ".join(dbl(x) for x in weights) + "]"
+    srt = f"list_sort({list_expr}, 'DESC')"
+    return (f"(CASE WHEN len({list_expr}) = 0 THEN 0.0 ELSE least(1.0, list_reduce(list_transform({srt}, "
+            f"lambda s, i: CAST(s AS DOUBLE) * {w}[i]), lambda a, b: a + b)) END)")
+
+
+def status(x: str, warn: float, block: float) -> str:
+    return f"(CASE WHEN {x} >= {block} THEN 'block' WHEN {x} >= {warn} THEN 'warn' ELSE 'pass' END)"
+
+
+def signature_list(x: str) -> str:
+    from ..functions.patterns import INPUT_SIGNATURES
+    items = ", ".join(f"CASE WHEN {matches(x, re2(p, 'input'))} THEN {{'pattern_id': {i}, 'score': {dbl(s)}, "
+                      f"'category': '{c}'}} END" for i, (p, s, c) in enumerate(INPUT_SIGNATURES))
+    return f"list_filter([{items}], lambda m: m IS NOT NULL)"
+
+
+def tokens_bucket_ctes(src: str, key: str, text: str, prefix: str) -> list[str]:
+    """(key, b, n) token counts per hashed bucket and (key, qn) squared norms."""
+    return [
+        f"{prefix}_tok AS (SELECT {key} AS k, unnest(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), "
+        f"lambda x: x <> '')) AS tok FROM {src})",
+        f"{prefix}_b AS (SELECT k, ('0x' || substr(md5(tok), 7, 2))::INTEGER % 64 AS b, count(*) AS n "
+        f"FROM {prefix}_tok GROUP BY 1, 2)",
+        f"{prefix}_n AS (SELECT k, sum(n * n) AS qn FROM {prefix}_b GROUP BY 1)",
+    ]
+
+
+def semantic_ctes(src: str, key: str, text: str, out: str = "sem") -> list[str]:
+    """CTE ``out``(k, sem_score, sem_category, sem_example) for every row of src."""
+    from ..functions.patterns import ATTACK_SEEDS
+    from ..functions.vectors import py_hashed_counts
+    seed_rows, seed_list = [], []
+    for j, (cat, phrase) in enumerate(ATTACK_SEEDS):
+        cnt = py_hashed_counts(phrase)
+        seed_list.append(f"({j}, '{cat}', {lit(phrase)}, {sum(v * v for v in cnt)})")
+        seed_rows += [f"({j}, {b}, {v})" for b, v in enumerate(cnt) if v]
+    return tokens_bucket_ctes(src, key, text, out) + [
+        f"{out}_seedb(j, b, cnt) AS (VALUES {', '.join(seed_rows)})",
+        f"{out}_seeds(j, cat, phrase, sn) AS (VALUES {', '.join(seed_list)})",
+        f"{out}_dot AS (SELECT q.k, s.j, sum(q.n * s.cnt) AS d FROM {out}_b q JOIN {out}_seedb s ON q.b = s.b GROUP BY 1, 2)",
+        f"{out}_sims AS (SELECT r.{key} AS k, s.j, s.cat, s.phrase, CASE WHEN coalesce(nn.qn, 0) > 0 THEN "
+        f"CAST(coalesce(d.d, 0) AS DOUBLE) / sqrt(CAST(nn.qn * s.sn AS DOUBLE)) ELSE 0.0 END AS sim, "
+        f"{py_strip(text)} = '' OR {text} IS NULL AS blank "
+        f"FROM {src} r CROSS JOIN {out}_seeds s LEFT JOIN {out}_dot d ON d.k = r.{key} AND d.j = s.j "
+        f"LEFT JOIN {out}_n nn ON nn.k = r.{key})",
+        f"{out} AS (SELECT k, CASE WHEN blank THEN 0.0 ELSE greatest(0.0, sim) END AS sem_score, "
+        f"CASE WHEN blank THEN '' ELSE cat END AS sem_category, CASE WHEN blank THEN '' ELSE phrase END AS sem_example "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sim DESC, j) AS rn FROM {out}_sims) WHERE rn = 1)",
+    ]
+
+
+def judge_parse_cols(raw: str) -> dict[str, str]:
+    cleaned = f"regexp_replace({raw}, '(?is)<think>.*?</think>', '', 'g')"
+    blob = f"regexp_extract({cleaned}, '(?s)\\{{.*\\}}', 0)"
+    ok = f"(coalesce({raw}, '') <> '' AND {blob} <> '' AND coalesce(json_valid({blob}), false))"
+    v_raw = f"coalesce(json_extract_string({blob}, '$.verdict'), 'unknown')"
+    v0 = f"lower({py_strip(v_raw)})"
+    verdict = f"(CASE WHEN {v0} IN ('safe', 'suspicious', 'malicious') THEN {v0} ELSE 'unknown' END)"
+    s0 = f"greatest(0.0, least(1.0, coalesce(TRY_CAST(json_extract_string({blob}, '$.risk') AS DOUBLE), 0.0)))"
+    score = (f"(CASE WHEN {s0} = 0.0 THEN (CASE {verdict} WHEN 'safe' THEN 0.1 WHEN 'suspicious' THEN 0.55 "
+             f"WHEN 'malicious' THEN 0.9 ELSE 0.0 END) ELSE {s0} END)")
+    return {
+        "available": ok,
+        "verdict": f"CASE WHEN {ok} THEN {verdict} ELSE 'unknown' END",
+        "score": f"CASE WHEN {ok} THEN {score} ELSE 0.0 END",
+        "category": f"CASE WHEN {ok} THEN coalesce(json_extract_string({blob}, '$.category'), '') ELSE '' END",
+        "rationale": f"CASE WHEN {ok} THEN left(coalesce(json_extract_string({blob}, '$.reason'), ''), 300) ELSE '' END",
+    }
