@@ -34,6 +34,6 @@ def register(name: str, oracle: Callable[[], str] | None = None):
 
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens on import)."""
-    from . import (event_queries, output_queries, retrieval_queries, screen_queries,  # noqa: F401
-                   scrub_queries, text_queries)
+    from . import (event_queries, guard_queries, output_queries, retrieval_queries,  # noqa: F401
+                   screen_queries, scrub_queries, text_queries)
     return QUERIES
