@@ -34,3 +34,14 @@ PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
 # Same set as a regex class without the newline (for per-line stripping).
 WS_NO_NL_CLASS = (r"[\t\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                   r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+
+def sql_lit(s: str) -> str:
+    """Spark SQL string literal for any text (backslash escapes)."""
+    return "'" + (s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+                  .replace("\r", "\\r").replace("\t", "\\t")) + "'"
+
+
+def ident(name: str) -> str:
+    """Back-quoted column reference."""
+    return "`" + name.replace("`", "``") + "`"

@@ -17,6 +17,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .regex import ident
 from .text import col
 
 DIM = 64
@@ -86,18 +87,14 @@ def py_hashed_counts(text: str, dim: int = DIM) -> list[int]:
     return counts
 
 
-def cosine_to_constant(counts, qnorm, const: list[int]) -> Column:
+def cosine_to_constant(counts: str, qnorm: str, const: list[int]) -> Column:
     """Cosine of a count column (with its squared norm ``qnorm``) against a
     constant count vector, written as a sum over the constant's non-zero
-    buckets (no lambda, fully codegen'd)."""
-    c = col(counts)
+    buckets (no lambda, fully codegen'd, parsed as one expression)."""
     nz = [(i, v) for i, v in enumerate(const) if v]
     if not nz:
         return F.lit(0.0)
-    d = None
-    for i, v in nz:
-        term = F.get(c, i).cast("bigint") * F.lit(v)
-        d = term if d is None else d + term
+    c, qn = ident(counts), ident(qnorm)
+    dot = " + ".join(f"CAST({c}[{i}] AS BIGINT) * {v}" for i, v in nz)
     sn = sum(v * v for v in const)
-    qn = col(qnorm)
-    return F.when(qn > 0, d.cast("double") / F.sqrt((qn * F.lit(sn)).cast("double"))).otherwise(F.lit(0.0))
+    return F.expr(f"IF({qn} > 0, CAST(({dot}) AS DOUBLE) / sqrt(CAST({qn} * {sn} AS DOUBLE)), 0.0D)")

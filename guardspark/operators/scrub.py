@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.regex import java
+from ..functions.regex import ident, java, sql_lit
 from ..functions.text import col, normalize_homoglyphs, py_strip
 
 # Deletion patterns in Java form. The role-play pattern (8th) always matches
@@ -45,7 +45,7 @@ def sanitize_text(df: DataFrame, text_col: str, out_col: str = "sanitized") -> D
     df = df.withColumn("_sz0", normalize_homoglyphs(text_col))
     steps = [(jp, "") for jp, _ in DELETE_JAVA] + REDACT_JAVA
     for i, (jp, repl) in enumerate(steps, 1):
-        df = df.withColumn(f"_sz{i}", F.regexp_replace(F.col(f"_sz{i - 1}"), jp, repl))
+        df = df.withColumn(f"_sz{i}", F.expr(f"regexp_replace(_sz{i - 1}, {sql_lit(jp)}, {sql_lit(repl)})"))
         stages.append(f"_sz{i}")
     last = F.col(stages[-1])
     out = py_strip(F.regexp_replace(last, r"\n{3,}", "\n\n"))
@@ -89,22 +89,23 @@ def sanitization_report(df: DataFrame, key_cols: list[str], text_col: str) -> Da
                     kinds.cast("bigint").alias("instruction_kinds"))
 
 
-def trust_score(content, retrieval_score=None, verified=None, fresh=None) -> Column:
+def trust_score(content: str, retrieval_score: str | None = None, verified: str | None = None,
+                fresh: str | None = None) -> Column:
     """Trust in 0..1: base, retrieval term, each pattern delta once, length
-    penalties, metadata bonuses, clamped. Terms are added in that order."""
-    c = col(content)
-    r = F.lit(0.5) if retrieval_score is None else col(retrieval_score)
-    t = F.lit(P.TRUST_BASE) + (r - F.lit(0.5)) * F.lit(P.TRUST_RETRIEVAL_WEIGHT)
+    penalties, metadata bonuses, clamped. Terms are added in that order
+    (one parsed expression over column names)."""
+    c = ident(content)
+    r = "0.5D" if retrieval_score is None else f"CAST({ident(retrieval_score)} AS DOUBLE)"
+    t = f"(CAST({P.TRUST_BASE!r} AS DOUBLE) + ({r} - 0.5D) * CAST({P.TRUST_RETRIEVAL_WEIGHT!r} AS DOUBLE))"
     for p, delta, _ in P.TRUST_NEGATIVE + P.TRUST_POSITIVE:
-        t = t + F.when(c.rlike(java(p)), F.lit(delta)).otherwise(F.lit(0.0))
-    n = F.length(c)
-    t = t + F.when(n < P.TRUST_SHORT_CHARS, F.lit(P.TRUST_SHORT_PENALTY)).when(
-        n > P.TRUST_LONG_CHARS, F.lit(P.TRUST_LONG_PENALTY)).otherwise(F.lit(0.0))
+        t = f"({t} + IF({c} RLIKE {sql_lit(java(p))}, CAST({delta!r} AS DOUBLE), 0.0D))"
+    t = (f"({t} + CASE WHEN length({c}) < {P.TRUST_SHORT_CHARS} THEN CAST({P.TRUST_SHORT_PENALTY!r} AS DOUBLE) "
+         f"WHEN length({c}) > {P.TRUST_LONG_CHARS} THEN CAST({P.TRUST_LONG_PENALTY!r} AS DOUBLE) ELSE 0.0D END)")
     if verified is not None:
-        t = t + F.when(F.coalesce(col(verified), F.lit(False)), F.lit(P.TRUST_VERIFIED_BONUS)).otherwise(F.lit(0.0))
+        t = f"({t} + IF(coalesce({ident(verified)}, false), CAST({P.TRUST_VERIFIED_BONUS!r} AS DOUBLE), 0.0D))"
     if fresh is not None:
-        t = t + F.when(F.coalesce(col(fresh), F.lit(False)), F.lit(P.TRUST_FRESH_BONUS)).otherwise(F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+        t = f"({t} + IF(coalesce({ident(fresh)}, false), CAST({P.TRUST_FRESH_BONUS!r} AS DOUBLE), 0.0D))"
+    return F.expr(f"greatest(0.0D, least(1.0D, {t}))")
 
 
 def max_context_length(avg_trust) -> Column:

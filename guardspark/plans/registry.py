@@ -36,4 +36,5 @@ def load_all() -> dict[str, Query]:
     """Import every query module (registration happens on import)."""
     from . import (event_queries, guard_queries, output_queries, retrieval_queries,  # noqa: F401
                    screen_queries, scrub_queries, text_queries)
+    from . import stream_queries  # noqa: F401  (reuses batch oracles)
     return QUERIES

@@ -66,3 +66,30 @@ def corpus_status_q(spark, sf):
     return ch.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_chunks"),
                                          F.countDistinct("doc_id").alias("n_docs"),
                                          F.sum(F.length("content")).cast("bigint").alias("n_chars"))
+
+
+def _ingest_sql() -> str:
+    return S.with_ctes(S.chunk_ctes(_CLEAN_SRC) + S.tokens_bucket_ctes(
+        "(SELECT *, doc_id * 1048576 + chunk_index AS id FROM chunks)", "id", "content", "cv"),
+        "SELECT c.doc_id * 1048576 + c.chunk_index AS id, c.doc_id, c.source_file, c.chunk_index, "
+        "CAST(coalesce(n.qn, 0) AS BIGINT) AS sq_norm FROM chunks c LEFT JOIN cv_n n ON n.k = c.doc_id * 1048576 + c.chunk_index")
+
+
+@register("ingest_corpus", _ingest_sql)
+def ingest_corpus_q(spark, sf):
+    """Documents cleaned, chunked, id'd and embedded into chunk-table rows."""
+    from ..functions.vectors import sq_norm
+    from ..sources.corpus import ingest_corpus
+    d = read_table(spark, sf, "documents", spread=True).withColumnRenamed("source", "source_file")
+    c = ingest_corpus(d)
+    return c.select("id", "doc_id", "source_file", "chunk_index", sq_norm("vector").alias("sq_norm"))
+
+
+@register("delete_by_source", lambda: S.with_ctes(S.chunk_ctes(_CLEAN_SRC),
+          "SELECT source_file, CAST(count(*) AS BIGINT) AS n_chunks FROM chunks WHERE source_file <> 'src0' "
+          "GROUP BY source_file"))
+def delete_by_source_q(spark, sf):
+    """Chunk counts per source left after deleting one source's chunks."""
+    ch = CH.chunk_documents(clean_docs(spark, sf), "text", ["doc_id", "source_file"])
+    return (ch.where(F.col("source_file") != "src0").groupBy("source_file")
+              .agg(F.count(F.lit(1)).alias("n_chunks")))
