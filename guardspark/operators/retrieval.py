@@ -85,12 +85,21 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("v"))
     c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).alias("v"))
     spark = queries.sparkSession
-    if strategy == "auto":
-        n = q.count()
+    rows = None
+    if strategy in ("auto", "broadcast"):
+        # Fetch at most one row more than the broadcast budget allows: the
+        # driver never holds more than the bound, and one job decides.
         width = dim if dim is not None else 384
-        strategy = "broadcast" if n * width * 8 <= MAX_BROADCAST_BYTES else "sharded"
+        max_rows = max(1, MAX_BROADCAST_BYTES // (8 * width))
+        rows = q.limit(max_rows + 1).collect()
+        if len(rows) > max_rows:
+            if strategy == "broadcast":
+                raise ValueError("query matrix exceeds the broadcast budget; use strategy='sharded'")
+            strategy, rows = "sharded", None
+        else:
+            strategy = "broadcast"
     if strategy == "broadcast":
-        cands = _broadcast_candidates(spark, q, c, k)
+        cands = _broadcast_candidates(spark, rows, c, k)
     elif strategy == "sharded":
         cands = _sharded_candidates(spark, q, c, k, shards, query_blocks)
     else:
@@ -98,8 +107,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold
     return _finish(cands, k, threshold)
 
 
-def _broadcast_candidates(spark, q: DataFrame, c: DataFrame, k: int) -> DataFrame:
-    rows = q.collect()                      # size checked by the caller
+def _broadcast_candidates(spark, rows, c: DataFrame, k: int) -> DataFrame:
     qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
     qm = _matrix([r["v"] for r in rows])
     bq = spark.sparkContext.broadcast((qids, qm))
