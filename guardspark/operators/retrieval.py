@@ -66,10 +66,12 @@ def _finish(cands: DataFrame, k: int, threshold: float) -> DataFrame:
     """Global top-k per query from local candidates; rank starts at 0 and is
     taken before the threshold drops low scores."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-    return (cands.withColumn("rank", F.row_number().over(w) - 1)
-                 .where(F.col("rank") < k)
+    # Filtering on the row number itself lets the planner add a group limit
+    # (also applied map-side, before the shuffle).
+    return (cands.withColumn("_rn", F.row_number().over(w))
+                 .where(F.col("_rn") <= k)
                  .where(F.col("score") >= threshold)
-                 .select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), "score"))
+                 .select("query_id", "id", (F.col("_rn") - 1).cast("bigint").alias("rank"), "score"))
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold: float = SIMILARITY_THRESHOLD,
