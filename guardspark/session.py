@@ -25,6 +25,9 @@ def build_session(master: str | None = None, app: str = "guardspark",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Skip per-call origin capture in PySpark: building the large guard
+        # expressions otherwise costs several JVM round trips per function.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Long documents travel through Arrow batches: keep batches small
         # enough that a batch of 10 MiB texts still fits a task's memory.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "512",

@@ -29,15 +29,18 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-def load_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read the log. ``fmt='json'`` reads a JSON array file (one document
-    per file) or JSON lines; malformed records land in ``_corrupt_record``
-    instead of failing the read."""
+STORED_SCHEMA = T.StructType(EVENT_SCHEMA.fields + [T.StructField("event_date", T.DateType())])
+
+
+def load_events(spark: SparkSession, path: str, fmt: str = "parquet", json_array: bool = False) -> DataFrame:
+    """Read the log. ``fmt='json'`` reads JSON lines, or with ``json_array``
+    one JSON array per file (the service's log file); malformed records land
+    in ``_corrupt_record`` instead of failing the read."""
     if fmt == "json":
-        schema = EVENT_SCHEMA.add(T.StructField("_corrupt_record", T.StringType()))
-        return (spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE")
+        schema = T.StructType(EVENT_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
+        return (spark.read.schema(schema).option("multiLine", str(json_array).lower()).option("mode", "PERMISSIVE")
                      .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    return spark.read.parquet(path)
+    return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 
 def prepare_events(events: DataFrame) -> DataFrame:
@@ -61,5 +64,4 @@ def export_events(events: DataFrame, path: str) -> None:
 
 
 def clear_events(spark: SparkSession, path: str) -> None:
-    schema = EVENT_SCHEMA.add(T.StructField("event_date", T.DateType()))
-    spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("event_date").parquet(path)
+    spark.createDataFrame([], STORED_SCHEMA).write.mode("overwrite").partitionBy("event_date").parquet(path)
