@@ -62,6 +62,13 @@ def _local_topk(qids: np.ndarray, qm: np.ndarray, cids: np.ndarray, cm: np.ndarr
     return pd.DataFrame({"query_id": rows_q.astype("int64"), "id": rows_c.astype("int64"), "score": rows_s})
 
 
+def _merge_topk(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Keep the k best (score desc, id asc) rows per query of two candidate sets."""
+    both = pd.concat([a, b], ignore_index=True)
+    both = both.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
+    return both.groupby("query_id", sort=False).head(k).reset_index(drop=True)
+
+
 def _finish(cands: DataFrame, k: int, threshold: float) -> DataFrame:
     """Global top-k per query from local candidates; rank starts at 0 and is
     taken before the threshold drops low scores."""
@@ -77,12 +84,15 @@ def _finish(cands: DataFrame, k: int, threshold: float) -> DataFrame:
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold: float = SIMILARITY_THRESHOLD,
                 query_id: str = "query_id", query_vec: str = "vector", corpus_id: str = "id",
                 corpus_vec: str = "vector", strategy: str = "auto", shards: int | None = None,
-                query_blocks: int = 1, dim: int | None = None) -> DataFrame:
+                query_blocks: int = 1, dim: int | None = None, payload: list[str] | None = None) -> DataFrame:
     """Exact top-k neighbours by cosine for every query row.
 
-    Returns (query_id, id, rank, score). ``strategy`` is ``broadcast``,
-    ``sharded`` or ``auto`` (broadcast when the query matrix is provably
-    below :data:`MAX_BROADCAST_BYTES`, sharded otherwise).
+    Returns (query_id, id, rank, score) plus the corpus ``payload`` columns.
+    ``strategy`` is ``broadcast``, ``sharded`` or ``auto`` (broadcast when
+    the query matrix is provably below :data:`MAX_BROADCAST_BYTES`, sharded
+    otherwise). Payload is attached by id after the top-k: with a known
+    query count the hits (at most queries x k rows) are broadcast against a
+    scan of the corpus; otherwise it is a shuffle join.
     """
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("v"))
     c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).alias("v"))
@@ -106,7 +116,13 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold
         cands = _sharded_candidates(spark, q, c, k, shards, query_blocks)
     else:
         raise ValueError(strategy)
-    return _finish(cands, k, threshold)
+    hits = _finish(cands, k, threshold)
+    if not payload:
+        return hits
+    side = corpus.select(F.col(corpus_id).cast("long").alias("id"), *payload)
+    small = rows is not None and len(rows) * k * 64 <= MAX_BROADCAST_BYTES
+    return (side.join(F.broadcast(hits), "id") if small else hits.join(side, "id")) \
+        .select("query_id", "id", "rank", "score", *payload)
 
 
 def _broadcast_candidates(spark, rows, c: DataFrame, k: int) -> DataFrame:
@@ -115,11 +131,17 @@ def _broadcast_candidates(spark, rows, c: DataFrame, k: int) -> DataFrame:
     bq = spark.sparkContext.broadcast((qids, qm))
 
     def part(batches):
+        # One running top-k per query across all batches of the partition,
+        # so a partition emits at most queries x k candidates.
         qi, qmat = bq.value
+        best = None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            yield _local_topk(qi, qmat, pdf["id"].to_numpy(np.int64), _matrix(pdf["v"]), k)
+            local = _local_topk(qi, qmat, pdf["id"].to_numpy(np.int64), _matrix(pdf["v"]), k)
+            best = local if best is None else _merge_topk(best, local, k)
+        if best is not None:
+            yield best
 
     return c.mapInPandas(part, CAND_SCHEMA)
 

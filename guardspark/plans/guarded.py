@@ -51,9 +51,9 @@ def retrieve_for(prompts: DataFrame, chunks: DataFrame, k: int = P.CHAT_TOP_K,
     """Hits of each prompt: (prompt_id, id, rank, score, source_file, chunk_index, content)."""
     pv = prompts.select("prompt_id", V.hashed_counts("query").alias("vector"))
     hits = R.cosine_topk(pv, chunks, k=k, threshold=threshold, query_id="prompt_id", query_vec="vector",
-                         corpus_id="id", corpus_vec="vector", dim=V.DIM)
-    return (R.attach_chunks(hits, chunks, ["source_file", "chunk_index", "content"])
-             .withColumnRenamed("query_id", "prompt_id"))
+                         corpus_id="id", corpus_vec="vector", dim=V.DIM,
+                         payload=["source_file", "chunk_index", "content"])
+    return hits.withColumnRenamed("query_id", "prompt_id")
 
 
 def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, verdicts: DataFrame | None = None,
@@ -231,14 +231,19 @@ def route_mode(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, **kw)
 
 def guard_trace(result: DataFrame) -> DataFrame:
     """One row per (prompt, step) of the layer trace."""
-    return result.select("prompt_id", F.posexplode("trace").alias("step", "t")).select(
-        "prompt_id", F.col("step").cast("bigint").alias("step"), "t.stage", "t.layer", "t.status", "t.score", "t.detail")
+    steps = F.transform("trace", lambda t, i: F.struct(i.cast("bigint").alias("step"), t["stage"].alias("stage"),
+                                                       t["layer"].alias("layer"), t["status"].alias("status"),
+                                                       t["score"].alias("score"), t["detail"].alias("detail")))
+    return result.select("prompt_id", F.inline(steps))
 
 
 def guard_activity(result: DataFrame) -> DataFrame:
     """One row per guard action taken for a prompt."""
-    return result.select("prompt_id", F.posexplode("logs").alias("seq", "l")).select(
-        "prompt_id", F.col("seq").cast("bigint").alias("seq"), "l.*")
+    rows = F.transform("logs", lambda x, i: F.struct(i.cast("bigint").alias("seq"), x["stage"].alias("stage"),
+                                                     x["action"].alias("action"), x["reason"].alias("reason"),
+                                                     x["threat_level"].alias("threat_level"),
+                                                     x["source"].alias("source"), x["chunk"].alias("chunk")))
+    return result.select("prompt_id", F.inline(rows))
 
 
 def derive_events(result: DataFrame) -> DataFrame:

@@ -56,9 +56,10 @@ def cosine_topk_q(spark, sf):
 @register("retrieve_with_scores", lambda: _knn_sql(10, 0.0, ", label"))
 def retrieve_with_scores_q(spark, sf):
     """Same search with threshold 0 and the neighbour's label attached."""
-    hits, e = _knn(spark, sf, 10, 0.0)
-    return (hits.join(e.select(F.col("vec_id").alias("id"), "label"), "id")
-                .select("query_id", "id", "rank", F.round("score", 6).alias("score"), "label"))
+    e = spread_rows(read_table(spark, sf, "embeddings"))
+    hits = R.cosine_topk(e, e, k=10, threshold=0.0, query_id="vec_id", query_vec="embedding",
+                         corpus_id="vec_id", corpus_vec="embedding", dim=64, payload=["label"])
+    return hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "label")
 
 
 @register("l2_normalize", lambda: (
@@ -93,9 +94,9 @@ def _retrieve_ctes(k: int = 5, threshold: float = 0.3) -> list[str]:
 def retrieve_hits(spark, sf, prompts=None, k=5, threshold=0.3):
     chunks = chunk_table(spark, sf)
     pv = prompt_vectors(spark, sf, prompts)
-    hits = R.cosine_topk(pv, chunks, k=k, threshold=threshold, query_id="prompt_id", query_vec="vector",
-                         corpus_id="id", corpus_vec="vector", dim=V.DIM)
-    return R.attach_chunks(hits, chunks, ["source_file", "chunk_index", "content"])
+    return R.cosine_topk(pv, chunks, k=k, threshold=threshold, query_id="prompt_id", query_vec="vector",
+                         corpus_id="id", corpus_vec="vector", dim=V.DIM,
+                         payload=["source_file", "chunk_index", "content"])
 
 
 @register("retrieve", lambda: S.with_ctes(_retrieve_ctes(),

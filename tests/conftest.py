@@ -12,6 +12,15 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from guardspark.session import build_session
-    s = build_session("local[4]", app="guardspark-tests", shuffle_partitions=4)
+    s = build_session("local[4]", app="guardspark-tests", shuffle_partitions=4,
+                      extra={"spark.driver.memory": "4g"})
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def _release_cache(request):
+    """Queries persist intermediates they reuse; drop them after each test."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
