@@ -31,6 +31,8 @@ from ..functions.text import preview
 CAND_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()),
                             T.StructField("score", T.DoubleType())])
 MAX_BROADCAST_BYTES = 256 << 20
+ROWS_PER_SHARD = 200_000        # corpus rows multiplied in one task (sharded)
+ROWS_PER_BLOCK = 50_000         # query rows multiplied in one task (sharded)
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -84,7 +86,7 @@ def _finish(cands: DataFrame, k: int, threshold: float) -> DataFrame:
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold: float = SIMILARITY_THRESHOLD,
                 query_id: str = "query_id", query_vec: str = "vector", corpus_id: str = "id",
                 corpus_vec: str = "vector", strategy: str = "auto", shards: int | None = None,
-                query_blocks: int = 1, dim: int | None = None, payload: list[str] | None = None) -> DataFrame:
+                query_blocks: int | None = None, dim: int | None = None, payload: list[str] | None = None) -> DataFrame:
     """Exact top-k neighbours by cosine for every query row.
 
     Returns (query_id, id, rank, score) plus the corpus ``payload`` columns.
@@ -147,9 +149,14 @@ def _broadcast_candidates(spark, rows, c: DataFrame, k: int) -> DataFrame:
 
 
 def _sharded_candidates(spark, q: DataFrame, c: DataFrame, k: int, shards: int | None,
-                        query_blocks: int) -> DataFrame:
-    s = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    b = max(1, query_blocks)
+                        query_blocks: int | None) -> DataFrame:
+    # Unless given, size shards and blocks from the row counts so one task
+    # never multiplies more than ROWS_PER_SHARD x ROWS_PER_BLOCK vectors.
+    if shards is None:
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-c.count() // ROWS_PER_SHARD))
+    if query_blocks is None:
+        query_blocks = max(1, -(-q.count() // ROWS_PER_BLOCK))
+    s, b = shards, max(1, query_blocks)
     # Each corpus row goes to one shard and every query block; each query to
     # one block and every shard (a generator, not a join).
     cs = (c.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(s)))
