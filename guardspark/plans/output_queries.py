@@ -22,7 +22,7 @@ def _redact_sensitive_sql() -> str:
 @register("redact_sensitive", _redact_sensitive_sql)
 def redact_sensitive_q(spark, sf):
     """Every document with the ten sensitive patterns applied in order."""
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf, "documents", spread=True).select("doc_id", "text")
     r = osc.redact_sensitive(docs, "text", "redacted")
     return r.select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"),
                     sum((F.col(f"n_{c}") for c in _CATS[1:]), F.col(f"n_{_CATS[0]}")).alias("n_redactions"))
@@ -34,9 +34,9 @@ def _corpus_sql() -> str:
 
 
 def _corpus(spark, sf):
-    docs = read_table(spark, sf, "documents").select(F.lit("documents").alias("kind"),
+    docs = read_table(spark, sf, "documents", spread=True).select(F.lit("documents").alias("kind"),
                                                      F.col("doc_id").alias("row_id"), "source", "text")
-    pages = read_table(spark, sf, "pages").select(F.lit("pages").alias("kind"), F.col("page_id").alias("row_id"),
+    pages = read_table(spark, sf, "pages", spread=True).select(F.lit("pages").alias("kind"), F.col("page_id").alias("row_id"),
                                                   F.lit("web").alias("source"), F.col("html").alias("text"))
     return docs.unionByName(pages)
 
