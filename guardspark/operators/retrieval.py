@@ -42,33 +42,83 @@ def _matrix(vectors) -> np.ndarray:
     return np.vstack(rows)
 
 
-def _local_topk(qids: np.ndarray, qm: np.ndarray, cids: np.ndarray, cm: np.ndarray, k: int) -> pd.DataFrame:
-    """Top-k (score desc, id asc) of every query against one corpus block."""
-    if len(qids) == 0 or len(cids) == 0:
-        return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
-                             "score": pd.Series([], dtype="float64")})
+def _ordered_topk(ids: np.ndarray, scores: np.ndarray, k: int):
+    """Per row of ``scores`` (queries x candidates), the k best columns by
+    (score desc, id asc): returns (ids, scores), each queries x kk.
+
+    Exact without sorting whole rows: the k-th best score splits the
+    columns into sure winners (strictly better) and ties, and ties are
+    taken in id order (``ids`` must be ascending).
+    """
+    q, c = scores.shape
+    kk = min(k, c)
+    if kk == 0:
+        return np.zeros((q, 0), dtype=np.int64), np.zeros((q, 0))
+    if kk < c:
+        kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
+        better = scores > kth[:, None]
+        tied = scores == kth[:, None]
+        need = kk - better.sum(axis=1)
+        take = better | (tied & (np.cumsum(tied, axis=1) <= need[:, None]))
+        cols = np.nonzero(take)[1].reshape(q, kk)
+    else:
+        cols = np.broadcast_to(np.arange(c), (q, c))
+    sel_ids, sel_sc = ids[cols], np.take_along_axis(scores, cols, axis=1)
+    order = np.lexsort((sel_ids, -sel_sc), axis=1)
+    return np.take_along_axis(sel_ids, order, axis=1), np.take_along_axis(sel_sc, order, axis=1)
+
+
+def _scores(qm: np.ndarray, cm: np.ndarray) -> np.ndarray:
     dots = qm @ cm.T
     qn = np.einsum("ij,ij->i", qm, qm)
     cn = np.einsum("ij,ij->i", cm, cm)
     den = np.sqrt(np.outer(qn, cn))
     with np.errstate(divide="ignore", invalid="ignore"):
-        scores = np.where(den > 0, dots / den, 0.0)
-    kk = min(k, len(cids))
-    # Order corpus by id once, so a stable sort on -score breaks ties by id.
-    order = np.argsort(cids, kind="stable")
-    cids_s, scores_s = cids[order], scores[:, order]
-    top = np.argsort(-scores_s, axis=1, kind="stable")[:, :kk]
-    rows_q = np.repeat(qids, kk)
-    rows_c = cids_s[top].reshape(-1)
-    rows_s = np.take_along_axis(scores_s, top, axis=1).reshape(-1)
-    return pd.DataFrame({"query_id": rows_q.astype("int64"), "id": rows_c.astype("int64"), "score": rows_s})
+        return np.where(den > 0, dots / den, 0.0)
+
+
+class _RunningTopK:
+    """Best k corpus ids per query over successive corpus blocks."""
 
+    def __init__(self, qids: np.ndarray, qm: np.ndarray, k: int):
+        self.qids, self.qm, self.k = qids, qm, k
+        self.ids = np.zeros((len(qids), 0), dtype=np.int64)
+        self.sc = np.zeros((len(qids), 0), dtype=np.float64)
 
-def _merge_topk(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Keep the k best (score desc, id asc) rows per query of two candidate sets."""
-    both = pd.concat([a, b], ignore_index=True)
-    both = both.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
-    return both.groupby("query_id", sort=False).head(k).reset_index(drop=True)
+    def add(self, cids: np.ndarray, cm: np.ndarray):
+        if len(cids) == 0 or len(self.qids) == 0:
+            return
+        by_id = np.argsort(cids, kind="stable")
+        cids, cm = cids[by_id], cm[by_id]
+        bid, bsc = _ordered_topk(cids, _scores(self.qm, cm), self.k)
+        ids = np.concatenate([self.ids, bid], axis=1)
+        sc = np.concatenate([self.sc, bsc], axis=1)
+        order = np.lexsort((ids, -sc), axis=1)[:, :self.k]
+        self.ids, self.sc = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sc, order, axis=1)
+
+    def frame(self) -> pd.DataFrame:
+        kk = self.ids.shape[1]
+        return pd.DataFrame({"query_id": np.repeat(self.qids, kk).astype("int64"),
+                             "id": self.ids.reshape(-1).astype("int64"), "score": self.sc.reshape(-1)})
+
+
+def _local_topk(qids: np.ndarray, qm: np.ndarray, cids: np.ndarray, cm: np.ndarray, k: int) -> pd.DataFrame:
+    """Top-k (score desc, id asc) of every query against one corpus block."""
+    r = _RunningTopK(qids, qm, k)
+    r.add(cids, cm)
+    return r.frame()
+
+
+def _arrow_matrix(col) -> np.ndarray:
+    """A list<number> Arrow column of equal-length rows as a float64 matrix."""
+    import pyarrow as pa
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, 0))
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(n, -1)
 
 
 def _finish(cands: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -127,25 +177,37 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold
         .select("query_id", "id", "rank", "score", *payload)
 
 
+BLOCK_ROWS = 8192      # corpus rows multiplied at once inside a partition
+
+
 def _broadcast_candidates(spark, rows, c: DataFrame, k: int) -> DataFrame:
     qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
     qm = _matrix([r["v"] for r in rows])
     bq = spark.sparkContext.broadcast((qids, qm))
 
     def part(batches):
-        # One running top-k per query across all batches of the partition,
-        # so a partition emits at most queries x k candidates.
+        # One running top-k per query across the whole partition, fed in
+        # blocks of up to BLOCK_ROWS corpus rows, so a partition emits at
+        # most queries x k candidates.
+        import pyarrow as pa
         qi, qmat = bq.value
-        best = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            local = _local_topk(qi, qmat, pdf["id"].to_numpy(np.int64), _matrix(pdf["v"]), k)
-            best = local if best is None else _merge_topk(best, local, k)
-        if best is not None:
-            yield best
-
-    return c.mapInPandas(part, CAND_SCHEMA)
+        run = _RunningTopK(qi, qmat, k)
+        pend, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                pend.append(b)
+                n += b.num_rows
+            if n >= BLOCK_ROWS:
+                t = pa.Table.from_batches(pend)
+                run.add(t.column("id").to_numpy().astype(np.int64), _arrow_matrix(t.column("v")))
+                pend, n = [], 0
+        if pend:
+            t = pa.Table.from_batches(pend)
+            run.add(t.column("id").to_numpy().astype(np.int64), _arrow_matrix(t.column("v")))
+        if run.ids.shape[1]:
+            yield pa.RecordBatch.from_pandas(run.frame(), preserve_index=False)
+
+    return c.mapInArrow(part, CAND_SCHEMA)
 
 
 def _sharded_candidates(spark, q: DataFrame, c: DataFrame, k: int, shards: int | None,
