@@ -78,12 +78,26 @@ def hashed_embedding(text, dim: int = DIM) -> Column:
 _SPLIT = re.compile(TOKEN_SPLIT)
 
 
+_BUCKET_CACHE: dict[str, int] = {}
+_BUCKET_CACHE_MAX = 1 << 20
+
+
+def _bucket(tok: str) -> int:
+    """md5 bucket of a token, memoised per worker (vocabularies repeat)."""
+    h = _BUCKET_CACHE.get(tok)
+    if h is None:
+        h = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16)
+        if len(_BUCKET_CACHE) < _BUCKET_CACHE_MAX:
+            _BUCKET_CACHE[tok] = h
+    return h
+
+
 def py_hashed_counts(text: str, dim: int = DIM) -> list[int]:
     """Counts per bucket: lower-case, split on non-[a-z0-9], md5 bucket."""
     counts = [0] * dim
     for tok in _SPLIT.split(text.lower()):
         if tok:
-            counts[int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1
+            counts[_bucket(tok) % dim] += 1
     return counts
 
 
