@@ -49,8 +49,8 @@ def prompt_ctes() -> list[str]:
     ans = (f"CASE WHEN {ans} = '{{canary}}' THEN 'Session token ' || {canary_token_sql('query', 'prompt_id')} "
            f"|| ' as asked.' ELSE {ans} END")
     return [
-        "turns AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations "
-        "WINDOW w AS (PARTITION BY conv_id ORDER BY turn))",
+        "turns AS (SELECT c.*, n.role AS next_role, n.text AS next_text FROM conversations c LEFT JOIN conversations n "
+        "ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)",
         "sysp AS (SELECT conv_id, arg_min(text, turn) AS _sys FROM turns WHERE role = 'system' GROUP BY conv_id)",
         f"prompts AS (SELECT u.conv_id * 1000 + u.turn AS prompt_id, u.conv_id, u.turn, "
         f"CASE WHEN {h} % 4 <> 0 THEN u.text || ' ' || {_pick(PROMPT_PHRASES, f'{h} % {len(PROMPT_PHRASES)}')} "

@@ -139,12 +139,16 @@ def _phrase(phrases: list[str], idx: Column) -> Column:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns with the next turn's role and text."""
-    from pyspark.sql import Window
+    """Conversation turns with the role and text of turn + 1.
+
+    An equi-join on (conversation, turn) rather than a window over the
+    conversation: rows hash on both keys, so one very long conversation is
+    spread over many tasks instead of sorting in one.
+    """
     c = read_table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return (c.withColumn("next_role", F.lead("role").over(w))
-             .withColumn("next_text", F.lead("text").over(w)))
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"),
+                   F.col("text").alias("next_text"))
+    return c.join(nxt, ["conv_id", "turn"], "left")
 
 
 def prompts(spark: SparkSession, sf_dir: str, turns: DataFrame | None = None) -> DataFrame:
