@@ -112,3 +112,39 @@ def cosine_to_constant(counts: str, qnorm: str, const: list[int]) -> Column:
     dot = " + ".join(f"CAST({c}[{i}] AS BIGINT) * {v}" for i, v in nz)
     sn = sum(v * v for v in const)
     return F.expr(f"IF({qn} > 0, CAST(({dot}) AS DOUBLE) / sqrt(CAST({qn} * {sn} AS DOUBLE)), 0.0D)")
+
+
+def model_embeddings(text, load_model, dim: int, batch_rows: int = 256) -> Column:
+    """Embed with a user model: ``load_model()`` returns an object with
+    ``embed(list[str]) -> array (n, dim)``; it is called once per Python
+    worker process (iterator pandas UDF, cached across tasks), and texts go
+    through it in Arrow batches of ``batch_rows``. Rows are L2-normalised;
+    a zero vector stays zero."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    def embed(batches):
+        model = _model_cache(load_model)
+        for texts in batches:
+            out = []
+            vals = texts.fillna("").tolist()
+            for i in range(0, len(vals), batch_rows):
+                m = np.asarray(model.embed(vals[i:i + batch_rows]), dtype=np.float64).reshape(-1, dim)
+                n = np.linalg.norm(m, axis=1, keepdims=True)
+                out.extend(np.where(n > 0, m / np.where(n > 0, n, 1.0), 0.0).astype(np.float32).tolist())
+            yield pd.Series(out)
+
+    from typing import Iterator
+    embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(embed, T.ArrayType(T.FloatType()))(col(text))
+
+
+_MODELS: dict = {}
+
+
+def _model_cache(load_model):
+    key = getattr(load_model, "__qualname__", repr(load_model))
+    if key not in _MODELS:
+        _MODELS[key] = load_model()
+    return _MODELS[key]

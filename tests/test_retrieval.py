@@ -48,3 +48,33 @@ def test_format_context_cap(spark):
     second = ("[Source: g, Chunk 1]\n" + "b" * 900)[:600 - (len(first) + 2)] + "..."
     assert got[1] == first + "\n\n" + second
     assert got[2] == "No relevant documents found."
+
+
+class _ProjectionModel:
+    """Stand-in for a sentence model: a fixed random projection of byte counts."""
+
+    def __init__(self):
+        self.w = np.random.default_rng(0).normal(size=(256, 16))
+
+    def embed(self, texts):
+        m = np.zeros((len(texts), 256))
+        for i, t in enumerate(texts):
+            for b in t.encode("utf-8"):
+                m[i, b] += 1
+        return m @ self.w
+
+
+def test_model_embeddings_plug_in(spark):
+    from pyspark.sql import functions as F
+
+    from guardspark.functions.vectors import model_embeddings
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    emb = docs.select("doc_id", model_embeddings("text", _ProjectionModel, 16).alias("v"))
+    rows = emb.collect()
+    model = _ProjectionModel()
+    want = {r.doc_id: model.embed([r.text])[0] for r in docs.collect()}
+    for r in rows:
+        w = want[r.doc_id] / np.linalg.norm(want[r.doc_id])
+        assert np.allclose(r.v, w, atol=1e-6)
+    hits = R.cosine_topk(emb, emb, k=3, query_id="doc_id", query_vec="v", corpus_id="doc_id", corpus_vec="v")
+    assert hits.where(F.col("rank") == 0).count() == len(rows)
