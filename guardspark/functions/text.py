@@ -46,8 +46,3 @@ def preview(c, n: int) -> Column:
     c = col(c)
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
-
-def rfind(window: Column, sep: str) -> Column:
-    """0-based last index of ``sep`` inside ``window`` or -1 (Python rfind)."""
-    pos = F.locate(sep[::-1], F.reverse(window))
-    return F.when(pos > 0, F.length(window) - F.lit(len(sep)) - (pos - 1)).otherwise(F.lit(-1))
