@@ -12,6 +12,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
 
     ``spread`` is for CPU-heavy text work: see :func:`spread`.
     """
+    from ..session import ship_package
+    ship_package(spark)          # Python steps downstream import this package
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread_rows(df) if spread else df
 
