@@ -65,8 +65,15 @@ class _ProjectionModel:
 
 
 def test_model_embeddings_plug_in(spark):
+    import sys
+
+    from pyspark import cloudpickle
     from pyspark.sql import functions as F
 
+    # The stand-in model lives in this test module, which workers cannot
+    # import when pytest runs elsewhere; ship it by value.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
     from guardspark.functions.vectors import model_embeddings
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
     emb = docs.select("doc_id", model_embeddings("text", _ProjectionModel, 16).alias("v"))
