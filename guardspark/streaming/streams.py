@@ -48,13 +48,19 @@ def stream_events(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def stream_timeline(events: DataFrame, out_path: str, checkpoint: str, watermark: str = "1 hour"):
-    """Hourly totals with a watermark, upserted per micro-batch."""
+    """Hourly totals with a watermark, upserted per micro-batch.
+
+    State is keyed by the event-time window (which the watermark expires)
+    and the local hour label; windows align to epoch hours, local hours may
+    not (half-hour zones), so readers add the pieces of each hour."""
+    hour = F.date_format(F.date_trunc("hour", "timestamp"), A.HOUR_LABEL)
     agg = (events.withWatermark("timestamp", watermark)
-                 .groupBy(F.window("timestamp", "1 hour").alias("w"))
+                 .groupBy(F.window("timestamp", "1 hour").alias("w"), hour.alias("hour"))
                  .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("action_taken") == "blocked").alias("blocked")))
 
     def upsert(batch: DataFrame, batch_id: int):
-        (batch.select(F.col("w.start").alias("hour_start"), "total", "blocked", F.lit(batch_id).alias("batch_id"))
+        (batch.select(F.col("w.start").alias("window_start"), "hour", "total", "blocked",
+                      F.lit(batch_id).alias("batch_id"))
               .write.mode("append").parquet(out_path))
 
     return _run(agg.writeStream.outputMode("update").foreachBatch(upsert), checkpoint)
@@ -63,9 +69,10 @@ def stream_timeline(events: DataFrame, out_path: str, checkpoint: str, watermark
 def read_timeline(spark: SparkSession, out_path: str) -> DataFrame:
     """Current timeline: the newest upserted row of every hour."""
     t = spark.read.parquet(out_path)
-    w = Window.partitionBy("hour_start").orderBy(F.col("batch_id").desc())
-    return (t.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-             .select(F.date_format("hour_start", A.HOUR_LABEL).alias("hour"), "total", "blocked"))
+    w = Window.partitionBy("window_start", "hour").orderBy(F.col("batch_id").desc())
+    latest = t.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return latest.groupBy("hour").agg(F.sum("total").cast("bigint").alias("total"),
+                                      F.sum("blocked").cast("bigint").alias("blocked"))
 
 
 def stream_kpis(events: DataFrame, out_path: str, checkpoint: str):

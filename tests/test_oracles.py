@@ -31,3 +31,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["source", "category", "n_rows", "n_matches"]
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+@pytest.mark.parametrize("name", ["stream_timeline", "activity_timeline", "recent_high_threat"])
+def test_time_panels_in_half_hour_zone(spark, con, name):
+    """Hour labels are wall-clock hours in any session zone (epoch-aligned
+    stream windows are split by local hour and summed back)."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        ok, msg, _, _ = compare(spark, con, QUERIES[name], SF_SMALL)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ok, msg
