@@ -21,9 +21,8 @@ def test_query_matches_oracle(spark, con, name):
     assert ok, msg
 
 
-@pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if q.oracle is None))
-def test_query_without_oracle_runs(spark, name):
-    assert QUERIES[name].build(spark, SF_SMALL).count() >= 0
+def test_every_query_has_an_oracle():
+    assert all(q.oracle is not None for q in QUERIES.values())
 
 
 def test_entry_smoke(spark):
