@@ -2,10 +2,12 @@
 production parameters) and their SQL where SQL can express them."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, quality_rules
-from .common import documents
+from ..sources.tables import read_table
+from . import cover_tree, line_dedup, near_dedup, packing, quality_rules, token_codec, token_counts
+from .common import Stage, at_least_slots, documents
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,6 +22,10 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def bpe_path() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 # Separators are one character class in every query; DuckDB strings carry
 # them by escape.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -112,3 +118,40 @@ JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) c ON c.id = d.do
 @query("op9_minhash_near_dedup", _NEAR_SQL)
 def op9(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op1_token_ids_rans")
+def op1(spark, sf_dir):
+    path = Stage(spark, "token-files").path("ids")
+    token_codec.write_ids(documents(spark, sf_dir), path, bpe_path())
+    return token_codec.document_digests(spark, path)
+
+
+@query("op4_best_fit_packing")
+def op4(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), bpe_path())
+
+
+_TOPK_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op5_cover_tree_topk", _TOPK_SQL)
+def op5(spark, sf_dir):
+    return cover_tree.exact_topk(at_least_slots(read_table(spark, sf_dir, "embeddings")))
+
+
+@query("op6_token_counts")
+def op6(spark, sf_dir):
+    return token_counts.token_counts(documents(spark, sf_dir), bpe_path())
