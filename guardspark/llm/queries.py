@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import cover_tree, line_dedup, near_dedup, packing, quality_rules, token_codec, token_counts
+from . import (cover_tree, language_mix, line_dedup, near_dedup, packing, quality_model, quality_rules, token_codec,
+               token_counts)
 from .common import Stage, at_least_slots, documents
 
 QUERIES: dict = {}
@@ -155,3 +156,13 @@ def op5(spark, sf_dir):
 @query("op6_token_counts")
 def op6(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), bpe_path())
+
+
+@query("op2_quality_model")
+def op2(spark, sf_dir):
+    return quality_model.classify(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+@query("op8_language_mix")
+def op8(spark, sf_dir):
+    return language_mix.detect(documents(spark, sf_dir))
