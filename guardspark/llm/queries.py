@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (cover_tree, language_mix, line_dedup, near_dedup, packing, quality_model, quality_rules, token_codec,
+from . import (cover_tree, language_mix, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, token_codec,
                token_counts)
 from .common import Stage, at_least_slots, documents
 
@@ -166,3 +166,14 @@ def op2(spark, sf_dir):
 @query("op8_language_mix")
 def op8(spark, sf_dir):
     return language_mix.detect(documents(spark, sf_dir))
+
+
+def mixing_levels():
+    return [mixing.domain_of(F.col("source")), F.col("lang"), F.col("source")]
+
+
+@query("op7_hierarchical_mixing")
+def op7(spark, sf_dir):
+    df = mixing.mix(documents(spark, sf_dir), mixing_levels(), mixing.word_tokens(F.col("text")))
+    return df.select("_row.doc_id", F.col("path")[0].alias("domain"), F.col("path")[1].alias("lang"),
+                     F.col("path")[2].alias("source"), "n_tokens", "epoch")
