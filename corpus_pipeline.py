@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardspark.llm import line_dedup, near_dedup, quality_rules
+from guardspark.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from guardspark.llm.common import Stage, documents
+from guardspark.llm.queries import bpe_path, mixing_levels
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,7 +35,25 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near)]
+#: Share of the corpus's tokens that the mixture takes; one epoch, so that no
+#: document comes back twice after the deduplication.
+MIX_SHARE, MIX_EPOCHS = 0.9, 1
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by the weights of the domain-language-source tree."""
+    out = mixing.mix(docs.select(*COLUMNS), mixing_levels(), mixing.word_tokens(F.col("text")),
+                     target_share=MIX_SHARE, max_epochs=MIX_EPOCHS)
+    return out.select("_row.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all remaining documents in training sequences."""
+    return packing.pack(docs.select("doc_id", "text"), bpe_path())
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near),
+          ("mixing sources to target weights", mixture), ("best-fit packing", packed)]
 
 #: The packing stage needs the tokenizer, which SQL cannot express.
 ORACLE_SQL = None
