@@ -14,6 +14,7 @@ from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
 
 SLICE_BYTES = 4 << 20          # text bytes handled at once inside a task
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD_BYTES = b" \t\n\x0b\x0c\r"  # the separators of every word definition here
 
 
@@ -50,14 +51,23 @@ class Stage:
 
     def put(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write ``df`` once and return a reader of the written table."""
-        path = self.path(name)
+        path, conf = self.path(name), self.spark.conf
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")      # once the table stands, the shuffle behind it is of no use
+        try:
+            self._write(df, path, options)
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._stage_path = path
+        return out
+
+    @staticmethod
+    def _write(df: DataFrame, path: str, options: dict) -> None:
         w = df.write.option("compression", "zstd")
         for k, v in options.items():
             w = w.option(k, v)
         w.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._stage_path = path
-        return out
 
     def drop_all_but(self, table: DataFrame) -> None:
         """Delete every staged table of this run except ``table``."""
