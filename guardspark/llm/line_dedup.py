@@ -12,8 +12,8 @@ aggregates and its join is dealt out by salt.
 Edge cases: null or empty text is one empty line; a line with an empty key
 is never dropped; rows are documents, so a repeated row counts again and
 gets the same result; a null doc_id is an id like any other. Columns other
-than id and text pass through :func:`dedup_lines` unchanged, whatever their
-names.
+than id and text pass through :func:`dedup_lines` unchanged; one that has the name
+of a result column gives way to it.
 """
 from __future__ import annotations
 
@@ -86,5 +86,6 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOC
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
     kept = F.when(F.col("_drop").isNull(), F.col("_t")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    return joined.select("_row.*", kept.alias(out_col), F.size(parts).cast("long").alias("_n_lines"),
+    made = {out_col, "_n_lines", "_n_dropped"}
+    return joined.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c not in made), kept.alias(out_col), F.size(parts).cast("long").alias("_n_lines"),
                          F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_n_dropped"))

@@ -179,8 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     usable = (labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"))
                     .where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & (crc32_mod("_id", FOLDS) != 0)))
     chosen = usable.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("_id"))       # train_rows ids at most
-    got = statistics_of(rows, ["_id", "_y"], text_col).toPandas().sort_values("_id", kind="stable")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_body"))
+    rows = rows.join(F.broadcast(chosen), "_id")                                            # train_rows ids at most
+    got = statistics_of(rows, ["_id", "_y"], "_body").toPandas().sort_values("_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(NAMES))
     return fit(x, (got["_y"].to_numpy(float) > 0).astype(float))
 

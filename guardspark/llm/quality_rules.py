@@ -131,7 +131,8 @@ def rule_order(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """The rules by falling rejection per cost, as measured on the
     ``sample_rows`` documents of smallest hashed id (one row comes back)."""
     ids = docs.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    sample = _wrapped(docs.join(F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi"), text_col)
+    rows = docs.select(F.col(id_col).alias("_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
+    sample = rows.join(F.broadcast(ids), F.col("_key").eqNullSafe(F.col("_id")), "left_semi")      # sample_rows ids
     done: set = set()
     for r in rules:
         sample = _build(sample, r.steps, done)
