@@ -16,11 +16,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 
-import numpy as np
+assert sys.byteorder == "little" and array("I").itemsize == 4
 
-CACHE_ENTRIES = 400_000     # per worker; a full cache starts again (no result depends on it)
+CACHE_ENTRIES = 300_000     # per worker and generation (no result depends on it)
 LIMIT = 0x250
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
@@ -40,7 +42,8 @@ def _class(kind: str) -> str:
 
 def pretoken_pattern() -> re.Pattern:
     letters, numbers, space = _class("L"), _class("N"), re.escape(_SPACE)
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+"
+    # Words first: no contraction begins like one, so the order is free there.
+    return re.compile(f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+"
                       f"|[{space}]+(?![^{space}])|[{space}]+")
 
 
@@ -52,6 +55,47 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that byte-level BPE writes for each byte:
+    itself where Latin-1 prints it, else the next from U+0100 on."""
+    out, spare = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b:
+            out[b] = chr(b)
+        else:
+            out[b], spare = chr(spare), spare + 1
+    return out
+
+
+_ALPHABET = _byte_alphabet()
+
+
+class Generations:
+    """A bounded cache in two generations: a full young one becomes the old
+    one, and what is still asked for comes back from there."""
+
+    def __init__(self):
+        self.fixed: dict = {}
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get_all(self, keys: list, make) -> list:
+        if len(self.young) > CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        values = list(map(self.fixed.get, keys)) if self.fixed else list(map(young.get, keys))
+        if None in values:
+            gaps = [i for i, v in enumerate(values) if v is None]
+            for i in gaps:
+                key = keys[i]
+                v = young.get(key)
+                if v is None:
+                    v = old.get(key)
+                    young[key] = v = make(key) if v is None else v
+                values[i] = v
+        return values
+
+
 class Pretokens:
     """Encodes or counts texts; one per worker process and tokenizer."""
 
@@ -80,8 +124,7 @@ class Pretokens:
         names = sorted(self.special, key=len, reverse=True)
         self.split_special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.findall = pretoken_pattern().findall
-        self.ids: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
+        self.ids, self.counts = Generations(), Generations()
 
     def pieces(self, text: str):
         """Pre-tokens of a text in order, special strings as such; None if
@@ -101,64 +144,36 @@ class Pretokens:
     def _library(self, texts: list[str]):
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _library_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of many pre-tokens, packed. Those that are not white space go
-        through the library as one text with a line feed between them: a
-        line feed before a pre-token neither changes nor joins it."""
-        out: dict[str, bytes] = {}
-        run = []
-        for p in pieces:
-            if p in self.special:
-                out[p] = np.asarray([self.special[p]], "<u4").tobytes()
-            elif p[-1] in _SPACE:
-                out[p] = np.asarray(self._library([p])[0], "<u4").tobytes()
+    def _merge(self, piece: str) -> array:
+        """Ids of one pre-token: the library's merges on its byte alphabet."""
+        if piece in self.special:
+            return array("I", [self.special[piece]])
+        return array("I", [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))])
+
+    def _look_up(self, texts: list[str], cache: "Generations", make, whole) -> list[list]:
+        """One list of values per text: ``make`` of each pre-token's ids, kept
+        in ``cache``, or ``whole`` of the library's ids."""
+        flat, borders, alone = [], [0], {}
+        for i, t in enumerate(texts):
+            cut = self.pieces(t)
+            if cut is None:
+                alone[i] = [whole(self._library([t])[0])]
             else:
-                run.append(p)
-        feed = self._library(["\n"])[0]
-        for i in range(0, len(run), 20_000):
-            part = run[i:i + 20_000]
-            ids = np.asarray(self._library(["\n".join(part)])[0], "<u4")
-            at = np.flatnonzero(ids == feed[0])
-            if len(feed) != 1 or len(at) != len(part) - 1:      # no such separator: one by one
-                out.update((p, np.asarray(x, "<u4").tobytes()) for p, x in zip(part, self._library(part)))
-                continue
-            raw = ids.tobytes()
-            begin, end = [0, *(at * 4 + 4).tolist()], [*(at * 4).tolist(), len(raw)]
-            out.update((p, raw[b:e]) for p, b, e in zip(part, begin, end))
-        return [out[p] for p in pieces]
-
-    def _look_up(self, texts, table, make, whole):
-        """One result per text: ``whole(ids)`` of the library's ids, or the
-        list of its pre-tokens' values in ``table``."""
-        if len(table) > CACHE_ENTRIES:
-            table.clear()
-        cut = [self.pieces(t) for t in texts]
-        found = [None if c is None else list(map(table.get, c)) for c in cut]
-        new = {p for c, f in zip(cut, found) if f is not None and None in f for p, v in zip(c, f) if v is None}
-        if new:
-            new = list(new)
-            table.update(zip(new, map(make, self._library_pieces(new))))
-        for i, (c, f) in enumerate(zip(cut, found)):
-            if f is None:
-                found[i] = whole(self._library([texts[i]])[0])
-            elif None in f:
-                found[i] = list(map(table.__getitem__, c))
-        return found
+                flat += cut
+            borders.append(len(flat))
+        values = cache.get_all(flat, lambda piece: make(self._merge(piece)))
+        return [alone[i] if i in alone else values[a:b] for i, (a, b) in enumerate(zip(borders, borders[1:]))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        found = self._look_up(texts, self.ids, bytes, lambda ids: [np.asarray(ids, "<u4").tobytes()])
+        found = self._look_up(texts, self.ids, array.tobytes, lambda ids: array("I", ids).tobytes())
         return [b"".join(f) for f in found]
 
     def count(self, texts: list[str], proven: dict[str, int]) -> list[int]:
         """Number of ids of each text; ``proven`` pre-tokens count one each
         without a merge."""
-        if not self.counts:
-            self.counts.update(proven)
-        out = [sum(f) for f in self._look_up(texts, self.counts, lambda raw: len(raw) // 4, lambda ids: [len(ids)])]
-        if len(self.counts) > CACHE_ENTRIES + len(proven):
-            self.counts.clear()
-        return out
+        self.counts.fixed = proven
+        return [sum(f) for f in self._look_up(texts, self.counts, len, len)]
 
     def whole_tokens(self) -> dict[str, int]:
         """The vocabulary strings proven to encode alone as one token: each
