@@ -174,9 +174,10 @@ def _powers(n: int):
     return _POW[0], _POW[1]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = 1 << 20) -> np.ndarray:
-    """64-bit hash per word with A-Z lower-cased, by prefix sums over byte
-    windows (so memory does not follow the longest text)."""
+def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, window: int = 1 << 20) -> np.ndarray:
+    """64-bit hash of every byte segment (ascending, disjoint), by prefix sums
+    over byte windows, so that memory does not follow the longest text."""
+    table = _BYTE64 if salt == 0 else mix64(_BYTE64 + np.uint64(salt))
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -184,13 +185,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window:
         a, b = starts[i], ends[j - 1]
         pw, inv = _powers(int(b - a) + 1)
         c = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE64[_LOWER[data[a:b]]] * pw[:b - a], out=c[1:])
+        np.cumsum(table[data[a:b]] * pw[:b - a], out=c[1:])
         s, e = starts[i:j] - a, ends[i:j] - a
         out[i:j] = mix64((c[e] - c[s]) * inv[s])
         i = j
     return out
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash per word with A-Z lower-cased."""
+    return segment_hash(_LOWER[data], starts, ends)
+
+
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int = 5):
     """Hashes of the k-word shingles of each text (fewer words: the whole
     sequence as one): (hashes, first) with text i owning first[i]:first[i+1].

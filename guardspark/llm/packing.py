@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, at_least_slots, slices, text_column
+from .token_codec import with_end
 from .tokens import Pretokens, read_tokenizer
 
 CAPACITY = 2048
-END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -171,18 +171,19 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
         enc = Pretokens.of(shared.value)
-        end = np.asarray([END_ID], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), text_column(b, "_text")
-            for lo, hi in slices(texts, 1 << 20):
+            for lo, hi in slices(texts, 2 << 20):
                 out = ([], [], [], [], [], [])
-                for i, raw in zip(doc_ids[lo:hi], enc.encode(texts.slice(lo, hi - lo).to_pylist())):
-                    raw += end
-                    n = len(raw) // 4
+                ids, borders = with_end(*enc.encode(texts.slice(lo, hi - lo)))
+                raw, borders = ids.astype("<u4").tobytes(), borders.tolist()
+                for i, begin, stop in zip(doc_ids[lo:hi], borders, borders[1:]):
+                    n = stop - begin
                     cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                     for p, (s, e) in enumerate(zip(cuts, cuts[1:])):
-                        for col, v in zip(out, (i, p, s, e - s, zlib.crc32(raw[4 * s:4 * e]), int(seen[e - s]))):
+                        crc = zlib.crc32(raw[4 * (begin + s):4 * (begin + e)])
+                        for col, v in zip(out, (i, p, s, e - s, crc, int(seen[e - s]))):
                             col.append(v)
                         seen[e - s] += 1
                 doc, piece, start, length, crc, nth = out

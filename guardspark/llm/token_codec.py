@@ -149,36 +149,46 @@ def raw_blocks(docs: DataFrame, spec: str, id_col: str, text_col: str) -> DataFr
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
         enc = Pretokens.of(shared.value)
-        end = np.asarray([END_ID], "<u4").tobytes()
         local, raw, ids, lens, held = 0, [], [], [], 0
 
         def close():
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([local], pa.int64()), pa.array([held], pa.int64()),
-                 pa.array([_narrow(b"".join(raw))], pa.binary()), pa.array([ids], pa.list_(pa.int64())),
+                 pa.array([_narrow(np.concatenate(raw))], pa.binary()), pa.array([ids], pa.list_(pa.int64())),
                  pa.array([lens], pa.list_(pa.int64()))], names=["part", "local", "n_ids", "ids", "doc_ids", "lens"])
 
         for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), text_column(b, "_text")
-            for lo, hi in slices(texts, 1 << 20):
-                for i, e in zip(doc_ids[lo:hi], enc.encode(texts.slice(lo, hi - lo).to_pylist())):
-                    raw += (e, end)
-                    ids.append(i)
-                    lens.append(len(e) // 4 + 1)
-                    held += lens[-1]
-                    if held >= BLOCK_IDS:
-                        yield close()
-                        local, raw, ids, lens, held = local + held, [], [], [], 0
+            for lo, hi in slices(texts, 2 << 20):
+                got, borders = with_end(*enc.encode(texts.slice(lo, hi - lo)))
+                begin = 0                                   # first text that no block has yet
+                for i in range(hi - lo):
+                    if held + borders[i + 1] - borders[begin] >= BLOCK_IDS or i == hi - lo - 1:
+                        raw.append(got[borders[begin]:borders[i + 1]])
+                        ids += doc_ids[lo + begin:lo + i + 1]
+                        lens += np.diff(borders[begin:i + 2]).tolist()
+                        held += int(borders[i + 1] - borders[begin])
+                        begin = i + 1
+                        if held >= BLOCK_IDS:
+                            yield close()
+                            local, raw, ids, lens, held = local + held, [], [], [], 0
         if ids:
             yield close()
 
     return rows.mapInArrow(run, RAW)
 
 
-def _narrow(raw: bytes) -> bytes:
+def with_end(ids: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every text's ids followed by the end id."""
+    n = len(borders) - 1
+    out = np.full(len(ids) + n, END_ID, np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(borders))] = ids
+    return out, borders + np.arange(n + 1)
+
+
+def _narrow(ids: np.ndarray) -> bytes:
     """A width byte, then the ids in 16 bits each where they fit."""
-    ids = np.frombuffer(raw, "<u4")
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + raw
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
 
 
 def _widen(raw: bytes) -> np.ndarray:

@@ -40,10 +40,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for b in batches:
             texts = text_column(b, "_text")
             _, off = flat(texts)
-            counts = [0] * len(texts)
+            n = np.zeros(len(texts), np.int64)
             for lo, hi in slices(texts, SLICE):
-                counts[lo:hi] = enc.count(texts.slice(lo, hi - lo).to_pylist(), proven)
-            n = np.array(counts, np.int64)
+                n[lo:hi] = enc.count(texts.slice(lo, hi - lo), proven)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)],
                                              names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

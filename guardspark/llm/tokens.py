@@ -1,12 +1,14 @@
-"""Byte-level BPE over pre-tokens with a bounded cache.
+"""Byte-level BPE over pre-tokens, cut and looked up as arrays.
 
 The ids always come from the tokenizers library. A byte-level BPE merges
 inside one pre-token only, so each distinct pre-token needs the library
-once: texts are cut by the library's own pre-token pattern, known pre-tokens
-are looked up, the rest are encoded in one batch. The pattern here spells
-its character classes out for code points below U+0250, where they are
-settled; a text with others, or a tokenizer of another kind, goes through
-the library whole.
+once. A slice of texts is cut into pre-tokens by array operations on its
+bytes (the pattern of byte-level BPE, see :func:`cut`), pre-tokens are named
+by two 64-bit hashes, and the distinct ones are looked up in a sorted, bounded
+cache; those that are new are merged by the library's own model. A text with
+code points from U+0250 on (whose character classes depend on the Unicode
+version), one that holds a special string, and any tokenizer of another kind
+go through the library whole.
 
 The tokenizer file is read on the driver and shipped as text, so workers
 need no path.
@@ -15,44 +17,87 @@ from __future__ import annotations
 
 import json
 import os
-import re
-import sys
 import unicodedata
-from array import array
 
-assert sys.byteorder == "little" and array("I").itemsize == 4
-
-CACHE_ENTRIES = 300_000     # per worker and generation (no result depends on it)
-LIMIT = 0x250
-
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0"
-
-
-def _class(kind: str) -> str:
-    """Code points below LIMIT whose category starts with ``kind``, as ranges."""
-    out, run = [], None
-    for c in range(LIMIT + 1):
-        if c < LIMIT and unicodedata.category(chr(c))[0] == kind:
-            run = run if run is not None else c
-        elif run is not None:
-            out.append(re.escape(chr(run)) + ("-" + re.escape(chr(c - 1)) if c - 1 > run else ""))
-            run = None
-    return "".join(out)
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from .common import flat, segment_hash
 
-def pretoken_pattern() -> re.Pattern:
-    letters, numbers, space = _class("L"), _class("N"), re.escape(_SPACE)
-    # Words first: no contraction begins like one, so the order is free there.
-    return re.compile(f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+"
-                      f"|[{space}]+(?![^{space}])|[{space}]+")
+CACHE_ENTRIES = 1_000_000     # per worker (no result depends on it)
+LIMIT = 0x250
+LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
+_WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0)
 
 
-_OUTSIDE = re.compile(f"[^\\x00-{chr(LIMIT - 1)}]")
+def _classes() -> np.ndarray:
+    """Character class of every code point below LIMIT."""
+    kind = {"L": LETTER, "N": NUMBER}
+    out = np.array([kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(LIMIT)], np.uint8)
+    out[list(_WHITE)] = SPACE
+    return out
 
 
-def read_tokenizer(path: str) -> str:
-    with open(path, encoding="utf-8") as f:
-        return f.read()
+_CLASS = _classes()
+_ASCII = np.concatenate([_CLASS[:128], np.zeros(128, np.uint8)])
+_UNSAFE = np.arange(256) >= 0xC0 | (LIMIT >> 6)
+
+
+def _byte_classes(data: np.ndarray) -> np.ndarray:
+    """Class of the character that each byte belongs to (safe texts)."""
+    c = _ASCII[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        point = (data[lead].astype(np.int64) & 0x1F) << 6 | (data[lead + 1] & 0x3F)
+        c[lead] = c[lead + 1] = _CLASS[point]
+    return c
+
+
+def cut(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Start positions of the pre-tokens of the texts data[off[i]:off[i+1]]
+    (each ends where the next starts).
+
+    Runs of letters, numbers and other characters are pre-tokens; a plain
+    space right before one belongs to it. Of white space before one, the last
+    character is cut off (joined if it is a plain space, else alone). A lone
+    apostrophe that no space joins takes s, t, m, d, re, ve or ll behind it.
+    """
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    c = _byte_classes(data)
+    first = np.zeros(n + 1, bool)               # a text begins here
+    first[off] = True
+    new = first[:n].copy()
+    new[0] = True
+    new[1:] |= c[1:] != c[:-1]
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], n)
+    kind = c[begin]
+    # White space with something behind it in the same text.
+    w = np.flatnonzero((kind == SPACE) & ~first[end] & (end < n))
+    tail = end[w] - np.where(data[end[w] - 1] < 0x80, 1, 2)       # its last character
+    plain = data[end[w] - 1] == 32
+    start = np.zeros(n, bool)
+    start[begin] = True
+    start[tail] = True
+    start[end[w][plain]] = False                                  # the run behind begins at the space
+    joined = np.zeros(n + 1, bool)
+    joined[end[w][plain]] = True
+    a = np.flatnonzero((data[begin] == 39) & (end - begin == 1) & ~joined[begin])
+    a = a[(a + 1 < len(begin))]
+    a = a[(kind[a + 1] == LETTER) & ~first[begin[a + 1]]]
+    if len(a):
+        at, room = begin[a + 1], end[a + 1] - begin[a + 1]
+        x, y = data[at], data[np.minimum(at + 1, n - 1)]
+        one = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+        two = (room >= 2) & (((x == ord("r")) & (y == ord("e"))) | ((x == ord("v")) & (y == ord("e"))) | ((x == ord("l")) & (y == ord("l"))))
+        take = np.where(one, 1, np.where(two, 2, 0))
+        at, room, take = at[take > 0], room[take > 0], take[take > 0]
+        start[at] = False
+        start[(at + take)[room > take]] = True
+    return np.flatnonzero(start)
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -70,30 +115,54 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
-class Generations:
-    """A bounded cache in two generations: a full young one becomes the old
-    one, and what is still asked for comes back from there."""
+def read_tokenizer(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+class Known:
+    """Pre-tokens met so far, sorted by hash: a second hash, and where their
+    ids lie in one flat array."""
 
     def __init__(self):
-        self.fixed: dict = {}
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def get_all(self, keys: list, make) -> list:
-        if len(self.young) > CACHE_ENTRIES:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        values = list(map(self.fixed.get, keys)) if self.fixed else list(map(young.get, keys))
-        if None in values:
-            gaps = [i for i, v in enumerate(values) if v is None]
-            for i in gaps:
-                key = keys[i]
-                v = young.get(key)
-                if v is None:
-                    v = old.get(key)
-                    young[key] = v = make(key) if v is None else v
-                values[i] = v
-        return values
+        self.clear()
+
+    def clear(self):
+        self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.n, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Place of each hash pair, -1 where it is new."""
+        if not len(self.h1):
+            return np.full(len(h1), -1)
+        i = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        ok = (self.h1[i] == h1) & (self.h2[i] == h2)
+        self.used[i[ok]] = True
+        return np.where(ok, i, -1)
+
+    def shrink(self):
+        """Too many: keep those that were asked for again since the last
+        time, or start again if that is no less than half."""
+        if len(self.h1) <= CACHE_ENTRIES:
+            return
+        keep = self.used
+        if 2 * keep.sum() > CACHE_ENTRIES:
+            return self.clear()
+        n, at = self.n[keep], self.at[keep]
+        new = np.concatenate([[0], np.cumsum(n)])
+        self.ids = self.ids[np.repeat(at - new[:-1], n) + np.arange(new[-1])]
+        self.h1, self.h2, self.n, self.at = self.h1[keep], self.h2[keep], n, new[:-1]
+        self.used = np.zeros(len(n), bool)
+
+    def add(self, h1, h2, ids: list[list[int]]):
+        n = np.array([len(x) for x in ids], np.int64)
+        at = len(self.ids) + np.cumsum(n) - n
+        self.ids = np.concatenate([self.ids, np.array([y for x in ids for y in x], np.uint32)])
+        place = np.searchsorted(self.h1, h1)
+        self.h1, self.h2 = np.insert(self.h1, place, h1), np.insert(self.h2, place, h2)
+        self.at, self.n = np.insert(self.at, place, at), np.insert(self.n, place, n)
+        self.used = np.insert(self.used, place, False)
 
 
 class Pretokens:
@@ -115,72 +184,118 @@ class Pretokens:
         self.tok.no_truncation()
         self.tok.no_padding()
         j = json.loads(spec)
-        pre, added = j.get("pre_tokenizer") or {}, j.get("added_tokens") or []
+        pre = j.get("pre_tokenizer") or {}
         self.by_pretoken = (
             j.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
-            and not pre.get("add_prefix_space") and j["model"].get("type") == "BPE" and not j["model"].get("dropout")
-            and not any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added))
-        self.special = {a["content"]: a["id"] for a in added}
-        names = sorted(self.special, key=len, reverse=True)
-        self.split_special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.findall = pretoken_pattern().findall
-        self.ids, self.counts = Generations(), Generations()
-
-    def pieces(self, text: str):
-        """Pre-tokens of a text in order, special strings as such; None if
-        the text has to go through the library whole."""
-        if not self.by_pretoken or not (text.isascii() or _OUTSIDE.search(text) is None):
-            return None
-        if self.split_special is None or self.split_special.search(text) is None:
-            return self.findall(text)
-        out = []
-        for part in self.split_special.split(text):
-            if part in self.special:
-                out.append(part)
-            elif part:
-                out.extend(self.findall(part))
-        return out
+            and not pre.get("add_prefix_space") and j["model"].get("type") == "BPE" and not j["model"].get("dropout"))
+        self.special = [a["content"] for a in j.get("added_tokens") or []]
+        self.known = Known()
+        self.proven: tuple | None = None
 
-    def _library(self, texts: list[str]):
+    def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merge(self, piece: str) -> array:
+    def _merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the library's merges on its byte alphabet."""
-        if piece in self.special:
-            return array("I", [self.special[piece]])
-        return array("I", [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))])
-
-    def _look_up(self, texts: list[str], cache: "Generations", make, whole) -> list[list]:
-        """One list of values per text: ``make`` of each pre-token's ids, kept
-        in ``cache``, or ``whole`` of the library's ids."""
-        flat, borders, alone = [], [0], {}
-        for i, t in enumerate(texts):
-            cut = self.pieces(t)
-            if cut is None:
-                alone[i] = [whole(self._library([t])[0])]
-            else:
-                flat += cut
-            borders.append(len(flat))
-        values = cache.get_all(flat, lambda piece: make(self._merge(piece)))
-        return [alone[i] if i in alone else values[a:b] for i, (a, b) in enumerate(zip(borders, borders[1:]))]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        found = self._look_up(texts, self.ids, array.tobytes, lambda ids: array("I", ids).tobytes())
-        return [b"".join(f) for f in found]
-
-    def count(self, texts: list[str], proven: dict[str, int]) -> list[int]:
-        """Number of ids of each text; ``proven`` pre-tokens count one each
-        without a merge."""
-        self.counts.fixed = proven
-        return [sum(f) for f in self._look_up(texts, self.counts, len, len)]
-
-    def whole_tokens(self) -> dict[str, int]:
+        return [t.id for t in self.tok.model.tokenize(piece.decode("latin-1").translate(_ALPHABET))]
+
+    def _whole(self, texts: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Which texts have to go through the library whole."""
+        if not self.by_pretoken:
+            return np.ones(len(texts), bool)
+        unsafe = np.concatenate([[0], np.cumsum(_UNSAFE[data])])
+        out = np.diff(unsafe[off]) > 0
+        for s in self.special:
+            out |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        return out
+
+    def _cut(self, texts: pa.Array):
+        """(pre-token starts and ends, their texts' borders, bytes) of the
+        texts that are cut; whole texts have no pre-tokens here."""
+        data, off = flat(texts)
+        whole = self._whole(texts, data, off)
+        if whole.any():
+            keep = pc.if_else(pa.array(whole), "", texts)
+            data, off = flat(keep.combine_chunks() if isinstance(keep, pa.ChunkedArray) else keep)
+        start = cut(data, off)
+        return data, start, np.append(start[1:], len(data)), np.searchsorted(start, off), np.flatnonzero(whole)
+
+    def _names(self, data, start, end):
+        return segment_hash(data, start, end, 0), segment_hash(data, start, end, 1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, borders): text i has ids[borders[i]:borders[i+1]]."""
+        data, start, end, first, whole = self._cut(texts)
+        h1, h2 = self._names(data, start, end)
+        self.known.shrink()
+        distinct, example, inverse = np.unique(h1, return_index=True, return_inverse=True)
+        place = self.known.find(distinct, h2[example])
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw = data.tobytes()
+            at = example[new]
+            self.known.add(distinct[new], h2[at], [self._merge(raw[a:b]) for a, b in zip(start[at].tolist(), end[at].tolist())])
+            place = self.known.find(distinct, h2[example])
+        if len(h1) and not (h2 == h2[example][inverse]).all():
+            raise ValueError("two pre-tokens share a 64-bit hash")       # 2**-64 a pair
+        n, at = self.known.n[place][inverse], self.known.at[place][inverse]
+        out = np.concatenate([[0], np.cumsum(n)])
+        ids = self.known.ids[np.repeat(at - out[:-1], n) + np.arange(out[-1])]
+        borders = out[first]
+        if len(whole):
+            parts = [ids[a:b] for a, b in zip(borders, borders[1:])]
+            for i, x in zip(whole, self._library([texts[int(i)].as_py() for i in whole])):
+                parts[i] = np.array(x, np.uint32)
+            borders = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            ids = np.concatenate(parts)
+        return ids, borders
+
+    def count(self, texts: pa.Array, proven: list[bytes]) -> np.ndarray:
+        """Number of ids of each text. A pre-token among ``proven`` counts
+        one and is not merged."""
+        if self.proven is None:
+            raw = np.frombuffer(b"".join(proven), np.uint8)
+            size = np.array([len(p) for p in proven], np.int64)
+            h1, h2 = self._names(raw, np.cumsum(size) - size, np.cumsum(size))
+            order = np.argsort(h1)
+            self.proven = h1[order], h2[order]
+        data, start, end, first, whole = self._cut(texts)
+        h1, h2 = self._names(data, start, end)
+        p1, p2 = self.proven
+        i = np.minimum(np.searchsorted(p1, h1), len(p1) - 1) if len(p1) else None
+        rest = np.flatnonzero((p1[i] != h1) | (p2[i] != h2)) if len(p1) else np.arange(len(h1))
+        n = np.ones(len(h1), np.int64)
+        self.known.shrink()
+        distinct, example, inverse = np.unique(h1[rest], return_index=True, return_inverse=True)
+        second = h2[rest][example]
+        place = self.known.find(distinct, second)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw = data.tobytes()
+            at = rest[example[new]]
+            self.known.add(distinct[new], second[new], [self._merge(raw[a:b]) for a, b in zip(start[at].tolist(), end[at].tolist())])
+            place = self.known.find(distinct, second)
+        if len(rest) and not (h2[rest] == second[inverse]).all():
+            raise ValueError("two pre-tokens share a 64-bit hash")       # 2**-64 a pair
+        if len(rest):
+            n[rest] = self.known.n[place][inverse]
+        out = np.diff(np.concatenate([[0], np.cumsum(n)])[first])
+        if len(whole):
+            out[whole] = [len(x) for x in self._library([texts[int(i)].as_py() for i in whole])]
+        return out
+
+    def whole_tokens(self) -> list[bytes]:
         """The vocabulary strings proven to encode alone as one token: each
         is one pre-token, and the library returns just its own id for it."""
+        if not self.by_pretoken:
+            return []
         vocab = self.tok.get_vocab(with_added_tokens=False)
         ids = list(vocab.values())
         texts = self.tok.decode_batch([[i] for i in ids], skip_special_tokens=False)
-        alone = [(i, t) for i, t in zip(ids, texts) if t and t not in self.special and self.pieces(t) == [t]]
+        arr = pa.array(texts, pa.string())
+        _, _, _, first, whole = self._cut(arr)
+        one = np.diff(first) == 1
+        one[whole] = False
+        alone = [(ids[i], texts[i]) for i in np.flatnonzero(one)]
         got = self._library([t for _, t in alone])
-        return {t: 1 for (i, t), g in zip(alone, got) if g == [i]}
+        return [t.encode() for (i, t), g in zip(alone, got) if g == [i]]

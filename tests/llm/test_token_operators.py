@@ -4,11 +4,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from guardspark.llm import packing, token_codec, token_counts
+from guardspark.llm import packing, token_codec, token_counts, tokens
 from guardspark.llm.common import Stage
 from guardspark.llm.tokens import LIMIT, Pretokens, read_tokenizer
 
@@ -31,16 +32,30 @@ def test_pretokens_equal_the_library(library):
     texts += [chr(i) + "a " + chr(i) for i in range(LIMIT)] + [t or "" for _, t in TEXTS]
     proven = enc.whole_tokens()
     assert len(proven) > 40_000
+    texts += ["".join(rnd.choice("'stmdrevl a\n") for _ in range(30)) for _ in range(1000)]
     want = [library(t) for t in texts]
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
-    assert enc.count(texts, proven) == [len(x) for x in want]
+    ids, borders = enc.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(borders, borders[1:])] == want
+    assert enc.count(pa.array(texts), proven).tolist() == [len(x) for x in want]
+    enc.count(pa.array([""]), proven)
+    assert len(enc.encode(pa.array([], pa.string()))[0]) == 0
+
+
+def test_a_small_cache_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 50)
+    enc = Pretokens(read_tokenizer(PATH))
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(40)) for _ in range(60)]
+    for t in texts:
+        assert enc.encode(pa.array([t, ""]))[0].tolist() == library(t)
+    assert len(enc.known.h1) < 150
 
 
 def test_other_tokenizers_go_through_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     enc, tok = Pretokens(read_tokenizer(path)), Tokenizer.from_file(path)
     texts = ["Hello there  World", "", "<|endoftext|> x"]
-    assert enc.count(texts, enc.whole_tokens()) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert enc.count(pa.array(texts), enc.whole_tokens()).tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_token_counts(odd, none, library):
