@@ -46,3 +46,10 @@ def preview(c, n: int) -> Column:
     c = col(c)
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
+
+
+def pair_id(a, b) -> Column:
+    """60-bit id of a pair of numbers, from the md5 of ``a:b``: no part has a
+    range that it must stay in."""
+    text = F.concat_ws(":", col(a).cast("string"), col(b).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")

@@ -114,18 +114,27 @@ def cosine_to_constant(counts: str, qnorm: str, const: list[int]) -> Column:
     return F.expr(f"IF({qn} > 0, CAST(({dot}) AS DOUBLE) / sqrt(CAST({qn} * {sn} AS DOUBLE)), 0.0D)")
 
 
-def model_embeddings(text, load_model, dim: int, batch_rows: int = 256) -> Column:
+def _model_id(load_model) -> str:
+    """Digest of the serialised loader: what it closes over is part of it."""
+    from pyspark import cloudpickle
+    return hashlib.sha256(cloudpickle.dumps(load_model)).hexdigest()
+
+
+def model_embeddings(text, load_model, dim: int, batch_rows: int = 256, model_id: str | None = None) -> Column:
     """Embed with a user model: ``load_model()`` returns an object with
     ``embed(list[str]) -> array (n, dim)``; it is called once per Python
     worker process (iterator pandas UDF, cached across tasks), and texts go
     through it in Arrow batches of ``batch_rows``. Rows are L2-normalised;
-    a zero vector stays zero."""
+    a zero vector stays zero. Models are told apart by ``model_id``, by
+    default a digest of the serialised loader."""
     import numpy as np
     import pandas as pd
     from pyspark.sql import types as T
 
+    key = model_id if model_id is not None else _model_id(load_model)
+
     def embed(batches):
-        model = _model_cache(load_model)
+        model = _model_cache(key, load_model)
         for texts in batches:
             out = []
             vals = texts.fillna("").tolist()
@@ -143,8 +152,7 @@ def model_embeddings(text, load_model, dim: int, batch_rows: int = 256) -> Colum
 _MODELS: dict = {}
 
 
-def _model_cache(load_model):
-    key = getattr(load_model, "__qualname__", repr(load_model))
-    if key not in _MODELS:
-        _MODELS[key] = load_model()
-    return _MODELS[key]
+def _model_cache(model_id: str, load_model):
+    if model_id not in _MODELS:
+        _MODELS[model_id] = load_model()
+    return _MODELS[model_id]

@@ -1,26 +1,23 @@
 """Exact cosine top-k retrieval and context assembly.
 
-Top-k is exact brute force, like a flat inner-product index, but no pair
-of (query, vector) ever becomes a row. Two physical strategies:
-
-* ``broadcast``: the query matrix, after a size check, is broadcast once;
-  every corpus partition multiplies it in numpy and keeps a local top-k
-  per query. The corpus is never shuffled.
-* ``sharded``: corpus rows are hashed into shards, queries into blocks;
-  each (shard, block) group is multiplied in one task (``cogroup``), again
-  keeping a local top-k. Memory per task is bounded by the shard and block
-  sizes, whatever the totals.
-
-Either way only ``tasks x queries x k`` candidates are shuffled, and a
-per-query ``row_number`` (planned as a WindowGroupLimit) picks the global
-top-k. Ties break on the smaller corpus id. Scores are
-``dot / sqrt(|q|^2 |c|^2)`` in float64; for integer count vectors this is
-exact and identical in every engine.
+Top-k is exact brute force, like a flat inner-product index, but no pair of
+(query, vector) ever becomes a row and nothing passes through the driver.
+One plan at every size: corpus rows are hashed into shards and queries into
+blocks, each (shard, block) group is one cogrouped task, and only its k best
+candidates per query go on. Shards and blocks hold about GROUP_BYTES of
+vectors each (from the row counts and the vector width, or as the caller
+says), and inside a task the product is formed in tiles, so that memory is
+bounded by the two inputs of the task and one tile.
+
+``tasks x queries x k`` candidates are shuffled at most, and a per-query
+``row_number`` (planned as a WindowGroupLimit) picks the global top-k. Ties
+break on the smaller corpus id. Scores are ``dot / sqrt(|q|^2 |c|^2)`` in
+float64; for integer count vectors this is exact and identical in every
+engine.
 """
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,16 +27,8 @@ from ..functions.text import preview
 
 CAND_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()),
                             T.StructField("score", T.DoubleType())])
-MAX_BROADCAST_BYTES = 256 << 20
-ROWS_PER_SHARD = 200_000        # corpus rows multiplied in one task (sharded)
-ROWS_PER_BLOCK = 50_000         # query rows multiplied in one task (sharded)
-
-
-def _matrix(vectors) -> np.ndarray:
-    rows = [np.asarray(v, dtype=np.float64) for v in vectors]
-    if not rows:
-        return np.zeros((0, 0))
-    return np.vstack(rows)
+GROUP_BYTES = 32 << 20           # of vectors, per side of a (shard, block) group
+TILE_QUERIES, TILE_ROWS = 1024, 4096
 
 
 def _ordered_topk(ids: np.ndarray, scores: np.ndarray, k: int):
@@ -68,13 +57,14 @@ def _ordered_topk(ids: np.ndarray, scores: np.ndarray, k: int):
     return np.take_along_axis(sel_ids, order, axis=1), np.take_along_axis(sel_sc, order, axis=1)
 
 
-def _scores(qm: np.ndarray, cm: np.ndarray) -> np.ndarray:
+def _scores(qm: np.ndarray, qn: np.ndarray, cm: np.ndarray, cn: np.ndarray) -> np.ndarray:
+    """Cosines of one tile; ``qn``, ``cn``: squared norms."""
     dots = qm @ cm.T
-    qn = np.einsum("ij,ij->i", qm, qm)
-    cn = np.einsum("ij,ij->i", cm, cm)
-    den = np.sqrt(np.outer(qn, cn))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(den > 0, dots / den, 0.0)
+    for i in range(len(qm)):                 # row by row: no second matrix of the tile's size
+        den = np.sqrt(qn[i] * cn)
+        np.divide(dots[i], den, out=dots[i], where=den > 0)
+        dots[i][den <= 0] = 0.0
+    return dots
 
 
 class _RunningTopK:
@@ -82,6 +72,7 @@ class _RunningTopK:
 
     def __init__(self, qids: np.ndarray, qm: np.ndarray, k: int):
         self.qids, self.qm, self.k = qids, qm, k
+        self.qn = np.einsum("ij,ij->i", qm, qm) if qm.size else np.zeros(len(qids))
         self.ids = np.zeros((len(qids), 0), dtype=np.int64)
         self.sc = np.zeros((len(qids), 0), dtype=np.float64)
 
@@ -90,23 +81,21 @@ class _RunningTopK:
             return
         by_id = np.argsort(cids, kind="stable")
         cids, cm = cids[by_id], cm[by_id]
-        bid, bsc = _ordered_topk(cids, _scores(self.qm, cm), self.k)
-        ids = np.concatenate([self.ids, bid], axis=1)
-        sc = np.concatenate([self.sc, bsc], axis=1)
-        order = np.lexsort((ids, -sc), axis=1)[:, :self.k]
-        self.ids, self.sc = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sc, order, axis=1)
-
-    def frame(self) -> pd.DataFrame:
+        cn = np.einsum("ij,ij->i", cm, cm)
+        for c in range(0, len(cids), TILE_ROWS):
+            rows = slice(c, c + TILE_ROWS)
+            best = [_ordered_topk(cids[rows], _scores(self.qm[q:q + TILE_QUERIES], self.qn[q:q + TILE_QUERIES], cm[rows], cn[rows]), self.k)
+                    for q in range(0, len(self.qids), TILE_QUERIES)]
+            ids = np.concatenate([self.ids, np.concatenate([b[0] for b in best])], axis=1)
+            sc = np.concatenate([self.sc, np.concatenate([b[1] for b in best])], axis=1)
+            order = np.lexsort((ids, -sc), axis=1)[:, :self.k]
+            self.ids, self.sc = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sc, order, axis=1)
+
+    def table(self):
+        import pyarrow as pa
         kk = self.ids.shape[1]
-        return pd.DataFrame({"query_id": np.repeat(self.qids, kk).astype("int64"),
-                             "id": self.ids.reshape(-1).astype("int64"), "score": self.sc.reshape(-1)})
-
-
-def _local_topk(qids: np.ndarray, qm: np.ndarray, cids: np.ndarray, cm: np.ndarray, k: int) -> pd.DataFrame:
-    """Top-k (score desc, id asc) of every query against one corpus block."""
-    r = _RunningTopK(qids, qm, k)
-    r.add(cids, cm)
-    return r.frame()
+        return pa.table({"query_id": pa.array(np.repeat(self.qids, kk), pa.int64()),
+                         "id": pa.array(self.ids.reshape(-1), pa.int64()), "score": pa.array(self.sc.reshape(-1), pa.float64())})
 
 
 def _arrow_matrix(col) -> np.ndarray:
@@ -135,103 +124,48 @@ def _finish(cands: DataFrame, k: int, threshold: float) -> DataFrame:
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold: float = SIMILARITY_THRESHOLD,
                 query_id: str = "query_id", query_vec: str = "vector", corpus_id: str = "id",
-                corpus_vec: str = "vector", strategy: str = "auto", shards: int | None = None,
-                query_blocks: int | None = None, dim: int | None = None, payload: list[str] | None = None) -> DataFrame:
+                corpus_vec: str = "vector", shards: int | None = None, query_blocks: int | None = None,
+                payload: list[str] | None = None) -> DataFrame:
     """Exact top-k neighbours by cosine for every query row.
 
     Returns (query_id, id, rank, score) plus the corpus ``payload`` columns.
-    ``strategy`` is ``broadcast``, ``sharded`` or ``auto`` (broadcast when
-    the query matrix is provably below :data:`MAX_BROADCAST_BYTES`, sharded
-    otherwise). Payload is attached by id after the top-k: with a known
-    query count the hits (at most queries x k rows) are broadcast against a
-    scan of the corpus; otherwise it is a shuffle join.
+    Without ``shards`` and ``query_blocks`` one aggregate counts the rows and
+    the widest vector of each side. Rows without a vector take no part.
+    Corpus rows that repeat an id each count as a neighbour (a re-ingested
+    chunk is found twice); they share one of their payloads, so a query never
+    gets more than k rows.
     """
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("v"))
-    c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).alias("v"))
-    spark = queries.sparkSession
-    rows = None
-    if strategy in ("auto", "broadcast"):
-        # Fetch at most one row more than the broadcast budget allows: the
-        # driver never holds more than the bound, and one job decides.
-        width = dim if dim is not None else 384
-        max_rows = max(1, MAX_BROADCAST_BYTES // (8 * width))
-        rows = q.limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
-            if strategy == "broadcast":
-                raise ValueError("query matrix exceeds the broadcast budget; use strategy='sharded'")
-            strategy, rows = "sharded", None
-        else:
-            strategy = "broadcast"
-    if strategy == "broadcast":
-        cands = _broadcast_candidates(spark, rows, c, k)
-    elif strategy == "sharded":
-        cands = _sharded_candidates(spark, q, c, k, shards, query_blocks)
-    else:
-        raise ValueError(strategy)
-    hits = _finish(cands, k, threshold)
-    if not payload:
-        return hits
-    side = corpus.select(F.col(corpus_id).cast("long").alias("id"), *payload)
-    small = rows is not None and len(rows) * k * 64 <= MAX_BROADCAST_BYTES
-    return (side.join(F.broadcast(hits), "id") if small else hits.join(side, "id")) \
-        .select("query_id", "id", "rank", "score", *payload)
-
-
-BLOCK_ROWS = 8192      # corpus rows multiplied at once inside a partition
-
-
-def _broadcast_candidates(spark, rows, c: DataFrame, k: int) -> DataFrame:
-    qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    qm = _matrix([r["v"] for r in rows])
-    bq = spark.sparkContext.broadcast((qids, qm))
-
-    def part(batches):
-        # One running top-k per query across the whole partition, fed in
-        # blocks of up to BLOCK_ROWS corpus rows, so a partition emits at
-        # most queries x k candidates.
-        import pyarrow as pa
-        qi, qmat = bq.value
-        run = _RunningTopK(qi, qmat, k)
-        pend, n = [], 0
-        for b in batches:
-            if b.num_rows:
-                pend.append(b)
-                n += b.num_rows
-            if n >= BLOCK_ROWS:
-                t = pa.Table.from_batches(pend)
-                run.add(t.column("id").to_numpy().astype(np.int64), _arrow_matrix(t.column("v")))
-                pend, n = [], 0
-        if pend:
-            t = pa.Table.from_batches(pend)
-            run.add(t.column("id").to_numpy().astype(np.int64), _arrow_matrix(t.column("v")))
-        if run.ids.shape[1]:
-            yield pa.RecordBatch.from_pandas(run.frame(), preserve_index=False)
-
-    return c.mapInArrow(part, CAND_SCHEMA)
-
-
-def _sharded_candidates(spark, q: DataFrame, c: DataFrame, k: int, shards: int | None,
-                        query_blocks: int | None) -> DataFrame:
-    # Unless given, size shards and blocks from the row counts so one task
-    # never multiplies more than ROWS_PER_SHARD x ROWS_PER_BLOCK vectors.
-    if shards is None:
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-c.count() // ROWS_PER_SHARD))
-    if query_blocks is None:
-        query_blocks = max(1, -(-q.count() // ROWS_PER_BLOCK))
-    s, b = shards, max(1, query_blocks)
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).cast("array<double>").alias("v")) \
+               .where(F.col("v").isNotNull())
+    c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).cast("array<double>").alias("v")) \
+              .where(F.col("v").isNotNull())
+    s = _groups(c) if shards is None else max(1, shards)
+    b = _groups(q) if query_blocks is None else max(1, query_blocks)
     # Each corpus row goes to one shard and every query block; each query to
     # one block and every shard (a generator, not a join).
-    cs = (c.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(s)))
+    cs = (c.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(s)).cast("int"))
            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))))
-    qs = (q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(b)))
+    qs = (q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(b)).cast("int"))
            .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(s - 1)))))
 
-    def group(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        return _local_topk(qpdf["query_id"].to_numpy(np.int64), _matrix(qpdf["v"]),
-                           cpdf["id"].to_numpy(np.int64), _matrix(cpdf["v"]), k)
+    def group(qt, ct):
+        run = _RunningTopK(qt.column("query_id").to_numpy(), _arrow_matrix(qt.column("v")), k)
+        run.add(ct.column("id").to_numpy(), _arrow_matrix(ct.column("v")))
+        return run.table()
+
+    cands = qs.groupBy("shard", "block").cogroup(cs.groupBy("shard", "block")).applyInArrow(group, CAND_SCHEMA)
+    hits = _finish(cands, k, threshold)
+    if not payload:
+        return hits
+    side = (corpus.select(F.col(corpus_id).cast("long").alias("id"), *payload)
+                  .join(hits.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    return hits.join(side, "id").select("query_id", "id", "rank", "score", *payload)
+
 
-    return (qs.groupBy("shard", "block").cogroup(cs.groupBy("shard", "block"))
-              .applyInPandas(group, CAND_SCHEMA))
+def _groups(vectors: DataFrame) -> int:
+    """How many groups of about GROUP_BYTES the vectors make."""
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    return max(1, -(-n * 8 * (width or 1) // GROUP_BYTES))
 
 
 def attach_chunks(hits: DataFrame, chunks: DataFrame, chunk_cols: list[str]) -> DataFrame:

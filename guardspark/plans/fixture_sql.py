@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from ..functions.patterns import EVENT_ACTIONS, EVENT_TEXT_CHARS
 from ..sources.fixtures import AUDIT_CATEGORIES, AUDIT_TYPE_MAP
+from . import sqlgen as S
 
 
 def _names(names) -> str:
@@ -52,7 +53,7 @@ def prompt_ctes() -> list[str]:
         "turns AS (SELECT c.*, n.role AS next_role, n.text AS next_text FROM conversations c LEFT JOIN conversations n "
         "ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)",
         "sysp AS (SELECT conv_id, arg_min(text, turn) AS _sys FROM turns WHERE role = 'system' GROUP BY conv_id)",
-        f"prompts AS (SELECT u.conv_id * 1000 + u.turn AS prompt_id, u.conv_id, u.turn, "
+        f"prompts AS (SELECT " + S.pair_id("u.conv_id", "u.turn") + " AS prompt_id, u.conv_id, u.turn, "
         f"CASE WHEN {h} % 4 <> 0 THEN u.text || ' ' || {_pick(PROMPT_PHRASES, f'{h} % {len(PROMPT_PHRASES)}')} "
         f"ELSE u.text END AS query, ((u.conv_id + u.turn) % 5 <> 0) AS guardrails, "
         f"CASE WHEN u.conv_id % 2 = 0 THEN s._sys || ' ' || {_pick(SYSTEM_PHRASES, f'u.conv_id % {len(SYSTEM_PHRASES)}')} "
@@ -68,7 +69,7 @@ def prompt_ctes() -> list[str]:
 def system_turns_cte() -> str:
     from ..sources.fixtures import SYSTEM_PHRASES
     h = "(conv_id * 13 + turn)"
-    return (f"system_turns AS (SELECT conv_id * 1000 + turn AS prompt_id, CASE WHEN {h} % 4 <> 0 THEN text || ' ' || "
+    return (f"system_turns AS (SELECT {S.pair_id('conv_id', 'turn')} AS prompt_id, CASE WHEN {h} % 4 <> 0 THEN text || ' ' || "
             f"{_pick(SYSTEM_PHRASES, f'{h} % {len(SYSTEM_PHRASES)}')} ELSE text END AS system_prompt "
             f"FROM conversations WHERE role = 'system')")
 

@@ -7,7 +7,7 @@ staged DataFrames joined by ``prompt_id``:
     prompts -> screen (column expressions)
             -> persisted screened rows (reused by both branches below)
     blocked:  refusal rows
-    allowed:  exact top-k over the chunk table (broadcast or sharded)
+    allowed:  exact top-k over the chunk table
               -> trust + sanitize per hit (column expressions)
               -> per-prompt window: average trust, cap, running length
               -> left join answers -> canary scan -> output guard
@@ -51,7 +51,7 @@ def retrieve_for(prompts: DataFrame, chunks: DataFrame, k: int = P.CHAT_TOP_K,
     """Hits of each prompt: (prompt_id, id, rank, score, source_file, chunk_index, content)."""
     pv = prompts.select("prompt_id", V.hashed_counts("query").alias("vector"))
     hits = R.cosine_topk(pv, chunks, k=k, threshold=threshold, query_id="prompt_id", query_vec="vector",
-                         corpus_id="id", corpus_vec="vector", dim=V.DIM,
+                         corpus_id="id", corpus_vec="vector",
                          payload=["source_file", "chunk_index", "content"])
     return hits.withColumnRenamed("query_id", "prompt_id")
 

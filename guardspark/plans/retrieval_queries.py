@@ -5,6 +5,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.text import pair_id
 from ..operators import chunking as CH
 from ..operators import retrieval as R
 from ..sources import fixtures as FX
@@ -14,13 +15,11 @@ from .fixture_sql import prompt_ctes
 from .registry import register
 from .text_queries import _CLEAN_SRC, clean_docs
 
-CHUNK_ID_SHIFT = 1 << 20     # chunk id = doc_id * 2^20 + chunk_index
-
 
 def chunk_table(spark, sf):
     """Chunks of the cleaned corpus with ids and hashed token counts."""
     ch = CH.chunk_documents(clean_docs(spark, sf), "text", ["doc_id", "source_file"])
-    return (ch.withColumn("id", F.col("doc_id") * CHUNK_ID_SHIFT + F.col("chunk_index"))
+    return (ch.withColumn("id", pair_id("doc_id", "chunk_index"))
               .withColumn("vector", V.hashed_counts("content")))
 
 
@@ -43,7 +42,7 @@ def _knn_sql(k: int, threshold: float, extra: str = "") -> str:
 def _knn(spark, sf, k, threshold):
     e = spread_rows(read_table(spark, sf, "embeddings"))
     hits = R.cosine_topk(e, e, k=k, threshold=threshold, query_id="vec_id", query_vec="embedding",
-                         corpus_id="vec_id", corpus_vec="embedding", dim=64)
+                         corpus_id="vec_id", corpus_vec="embedding")
     return hits, e
 
 
@@ -59,7 +58,7 @@ def retrieve_with_scores_q(spark, sf):
     """Same search with threshold 0 and the neighbour's label attached."""
     e = spread_rows(read_table(spark, sf, "embeddings"))
     hits = R.cosine_topk(e, e, k=10, threshold=0.0, query_id="vec_id", query_vec="embedding",
-                         corpus_id="vec_id", corpus_vec="embedding", dim=64, payload=["label"])
+                         corpus_id="vec_id", corpus_vec="embedding", payload=["label"])
     return hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "label")
 
 
@@ -80,7 +79,7 @@ def l2_normalize_q(spark, sf):
 # --- prompts against the chunk corpus (hashed vectors) ---------------------
 def _retrieve_ctes(k: int = 5, threshold: float = 0.3) -> list[str]:
     return (prompt_ctes() + S.chunk_ctes(_CLEAN_SRC)
-            + [f"ch AS (SELECT *, doc_id * {CHUNK_ID_SHIFT} + chunk_index AS id FROM chunks)"]
+            + [f"ch AS (SELECT *, {S.pair_id('doc_id', 'chunk_index')} AS id FROM chunks)"]
             + S.tokens_bucket_ctes("ch", "id", "content", "cv")
             + S.tokens_bucket_ctes("prompts", "prompt_id", "query", "pv")
             + ["dots AS (SELECT p.k AS query_id, c.k AS id, sum(p.n * c.n) AS d FROM pv_b p JOIN cv_b c ON p.b = c.b "
@@ -98,7 +97,7 @@ def retrieve_hits(spark, sf, prompts=None, k=5, threshold=0.3):
     chunks = chunk_table(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     pv = prompt_vectors(spark, sf, prompts)
     return R.cosine_topk(pv, chunks, k=k, threshold=threshold, query_id="prompt_id", query_vec="vector",
-                         corpus_id="id", corpus_vec="vector", dim=V.DIM,
+                         corpus_id="id", corpus_vec="vector",
                          payload=["source_file", "chunk_index", "content"])
 
 
@@ -155,7 +154,7 @@ def source_preview_q(spark, sf):
 
 
 @register("embed_text", lambda: S.with_ctes(S.chunk_ctes(_CLEAN_SRC) + [
-    f"ch AS (SELECT *, doc_id * {CHUNK_ID_SHIFT} + chunk_index AS id FROM chunks)"]
+    f"ch AS (SELECT *, {S.pair_id('doc_id', 'chunk_index')} AS id FROM chunks)"]
     + S.tokens_bucket_ctes("ch", "id", "content", "cv"),
     "SELECT ch.id, CAST(coalesce(n.qn, 0) AS BIGINT) AS sq_norm, CAST(coalesce(b.nb, 0) AS BIGINT) AS buckets_used "
     "FROM ch LEFT JOIN cv_n n ON n.k = ch.id LEFT JOIN (SELECT k, count(*) AS nb FROM cv_b GROUP BY 1) b ON b.k = ch.id"))

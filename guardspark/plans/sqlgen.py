@@ -253,3 +253,8 @@ def judge_parse_cols(raw: str) -> dict[str, str]:
         "category": f"CASE WHEN {ok} THEN coalesce(json_extract_string({blob}, '$.category'), '') ELSE '' END",
         "rationale": f"CASE WHEN {ok} THEN left(coalesce(json_extract_string({blob}, '$.reason'), ''), 300) ELSE '' END",
     }
+
+
+def pair_id(a: str, b: str) -> str:
+    """SQL of :func:`guardspark.functions.text.pair_id`."""
+    return f"CAST('0x' || left(md5(CAST({a} AS VARCHAR) || ':' || CAST({b} AS VARCHAR)), 15) AS BIGINT)"

@@ -70,9 +70,9 @@ def corpus_status_q(spark, sf):
 
 def _ingest_sql() -> str:
     return S.with_ctes(S.chunk_ctes(_CLEAN_SRC) + S.tokens_bucket_ctes(
-        "(SELECT *, doc_id * 1048576 + chunk_index AS id FROM chunks)", "id", "content", "cv"),
-        "SELECT c.doc_id * 1048576 + c.chunk_index AS id, c.doc_id, c.source_file, c.chunk_index, "
-        "CAST(coalesce(n.qn, 0) AS BIGINT) AS sq_norm FROM chunks c LEFT JOIN cv_n n ON n.k = c.doc_id * 1048576 + c.chunk_index")
+        f"(SELECT *, {S.pair_id('doc_id', 'chunk_index')} AS id FROM chunks)", "id", "content", "cv"),
+        f"SELECT {S.pair_id('c.doc_id', 'c.chunk_index')} AS id, c.doc_id, c.source_file, c.chunk_index, "
+        f"CAST(coalesce(n.qn, 0) AS BIGINT) AS sq_norm FROM chunks c LEFT JOIN cv_n n ON n.k = {S.pair_id('c.doc_id', 'c.chunk_index')}")
 
 
 @register("ingest_corpus", _ingest_sql)

@@ -2,9 +2,9 @@
 append, delete, clear and report.
 
 The chunk table is plain parquet: ``id, doc_id, source_file, chunk_index,
-start_index, end_index, content, vector``. Chunk ids are
-``doc_id * 2**20 + chunk_index``: unique, increasing in (document, chunk)
-order and computed row by row, so appends need no global sort or counter.
+start_index, end_index, content, vector``. Chunk ids are hashes of
+(doc_id, chunk_index), computed row by row, so appends need no global sort or
+counter and neither part has a bound.
 """
 from __future__ import annotations
 
@@ -12,12 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import MAX_FILE_BYTES, TEXT_SUFFIXES
-from ..functions.text import clean_text
+from ..functions.text import clean_text, pair_id
 from ..functions.vectors import hashed_counts
 from ..operators.chunking import chunk_documents
 
-CHUNK_ID_SHIFT = 1 << 20
-
 
 def scan_text_corpus(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Text files under ``path`` (recursively): allowed suffixes compared
@@ -50,7 +48,7 @@ def ingest_corpus(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source_col).alias("source_file"),
                     clean_text(text_col).alias("text"))
     ch = chunk_documents(d, "text", ["doc_id", "source_file"])
-    return (ch.withColumn("id", F.col("doc_id") * CHUNK_ID_SHIFT + F.col("chunk_index"))
+    return (ch.withColumn("id", pair_id("doc_id", "chunk_index"))
               .withColumn("vector", hashed_counts("content"))
               .select("id", "doc_id", "source_file", "chunk_index", "start_index", "end_index", "content", "vector"))
 

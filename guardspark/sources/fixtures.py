@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import EVENT_ACTIONS, EVENT_TEXT_CHARS
+from ..functions.text import pair_id
 from .tables import read_table
 
 # Ten category names the audit fixture cycles through.
@@ -164,7 +165,7 @@ def prompts(spark: SparkSession, sf_dir: str, turns: DataFrame | None = None) ->
                 ).otherwise(F.col("_sys"))
     u = t.where(F.col("role") == "user")
     return (u.join(sysp, "conv_id", "left")
-             .select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), "conv_id", "turn",
+             .select(pair_id("conv_id", "turn").alias("prompt_id"), "conv_id", "turn",
                      F.when(h % 4 != 0, F.concat(F.col("text"), F.lit(" "),
                                                  _phrase(PROMPT_PHRASES, h % len(PROMPT_PHRASES))))
                       .otherwise(F.col("text")).alias("query"),
@@ -200,7 +201,7 @@ def system_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """System turns as attempted system-prompt overrides (planted)."""
     c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "system")
     h = F.col("conv_id") * 13 + F.col("turn")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"),
+    return c.select(pair_id("conv_id", "turn").alias("prompt_id"),
                     F.when(h % 4 != 0, F.concat(F.col("text"), F.lit(" "),
                                                 _phrase(SYSTEM_PHRASES, h % len(SYSTEM_PHRASES))))
                      .otherwise(F.col("text")).alias("system_prompt"))

@@ -26,7 +26,7 @@ def test_timeline_is_one_aggregate(spark):
 def test_topk_uses_group_limit(spark):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     hits = R.cosine_topk(e, e, k=5, query_id="vec_id", query_vec="embedding", corpus_id="vec_id",
-                         corpus_vec="embedding", strategy="sharded", shards=2)
+                         corpus_vec="embedding", shards=2)
     assert "WindowGroupLimit" in _plan(hits)
     assert "CartesianProduct" not in _plan(hits) and "BroadcastNestedLoopJoin" not in _plan(hits)
 

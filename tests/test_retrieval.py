@@ -20,13 +20,13 @@ def _brute(vecs, ids, k, thr):
     return out
 
 
-@pytest.mark.parametrize("strategy,shards,blocks", [("broadcast", None, 1), ("sharded", 3, 1), ("sharded", 5, 3)])
-def test_topk_strategies(spark, strategy, shards, blocks):
+@pytest.mark.parametrize("shards,blocks", [(None, None), (3, 1), (5, 3)])
+def test_topk_groups(spark, shards, blocks):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").limit(120)
     rows = e.collect()
     want = _brute([r.embedding for r in rows], [r.vec_id for r in rows], 7, 0.2)
     hits = R.cosine_topk(e, e, k=7, threshold=0.2, query_id="vec_id", query_vec="embedding", corpus_id="vec_id",
-                         corpus_vec="embedding", strategy=strategy, shards=shards, query_blocks=blocks)
+                         corpus_vec="embedding", shards=shards, query_blocks=blocks)
     got = {(r.query_id, r.id, r.rank, round(r.score, 9)) for r in hits.collect()}
     assert got == want
 
@@ -35,10 +35,50 @@ def test_ties_break_on_id(spark):
     df = spark.createDataFrame([(i, [1, 0, 0]) for i in range(6)] + [(9, [0, 1, 0])], "id long, v array<int>")
     q = spark.createDataFrame([(100, [1, 0, 0])], "query_id long, v array<int>")
     got = [(r.id, r.rank) for r in R.cosine_topk(q, df, k=3, threshold=0.0, query_vec="v", corpus_vec="v",
-                                               strategy="sharded", shards=2).orderBy("rank").collect()]
+                                               shards=2).orderBy("rank").collect()]
     assert got == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_repeated_ids_give_exactly_k_rows(spark):
+    corpus = spark.createDataFrame([(5, [1.0, 0.0], "a"), (5, [1.0, 0.0], "a"), (6, [0.9, 0.1], "b")],
+                                   "id long, v array<double>, content string")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, v array<double>")
+    hits = R.cosine_topk(q, corpus, k=2, query_vec="v", corpus_vec="v", payload=["content"]).collect()
+    assert [(h.id, h.content) for h in hits] == [(5, "a"), (5, "a")]
+
+
+def test_kernel_memory_is_one_tile():
+    """5,000 queries x 20,000 vectors: the product would take 800 MB."""
+    import tracemalloc
+    rng = np.random.default_rng(0)
+    q, c = rng.normal(size=(5000, 32)), rng.normal(size=(20_000, 32))
+    run = R._RunningTopK(np.arange(5000), q, 10)
+    tracemalloc.start()
+    run.add(np.arange(20_000), c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    s = (q[:5] @ c.T) / np.sqrt(np.outer((q[:5] ** 2).sum(1), (c ** 2).sum(1)))
+    assert (run.ids[:5] == np.argsort(-s, axis=1, kind="stable")[:, :10]).all()
+
+
+def test_two_models_from_one_factory(spark):
+    from pyspark.sql import functions as F
+
+    from guardspark.functions.vectors import model_embeddings
+
+    def factory(i):
+        class Constant:
+            def embed(self, texts):
+                return [[float(j == i) for j in range(3)] for _ in texts]
+        return lambda: Constant()
+
+    df = spark.createDataFrame([(str(i),) for i in range(20)], "t string").repartition(2)
+    for i in range(3):
+        got = df.select(model_embeddings("t", factory(i), 3).alias("v")).distinct().collect()
+        assert [list(r.v) for r in got] == [[float(j == i) for j in range(3)]]
+
+
 def test_format_context_cap(spark):
     hits = spark.createDataFrame([(1, 0, "f", 0, "a" * 300), (1, 1, "g", 1, "b" * 900), (1, 2, "h", 2, "c" * 10)],
                                  "query_id long, rank long, source_file string, chunk_index long, content string")
