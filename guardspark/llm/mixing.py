@@ -134,7 +134,7 @@ def leaf_cutoffs(light: DataFrame, target_share: float, weights: dict, seed: int
                    .select("path", F.col("e.bucket").alias("bucket"), F.col("e.before").alias("before")))
     # Peers in (hash, id) are summed together: the default range frame.
     inside = Window.partitionBy("path", "bucket").orderBy("h", "_id")
-    last = (ordered.join(edge, ["path", "bucket"])
+    last = (ordered.join(F.broadcast(edge), ["path", "bucket"])        # one row per leaf
                    .withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside)).where("upto <= rest")
                    .groupBy("path").agg(F.max(F.struct("h", "_id")).alias("last")))
     return (table.join(edge.select("path", F.col("bucket").alias("edge")), "path", "left").join(last, "path", "left")
