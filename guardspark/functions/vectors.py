@@ -149,6 +149,42 @@ def model_embeddings(text, load_model, dim: int, batch_rows: int = 256, model_id
     return F.pandas_udf(embed, T.ArrayType(T.FloatType()))(col(text))
 
 
+class HashedEmbedder:
+    """The built-in embedder: integer counts, cosines exact in every engine."""
+
+    def column(self, text) -> Column:
+        return hashed_counts(text)
+
+    def with_similarities(self, df, text_col: str, phrases: list[str], out: str):
+        """``df`` with ``out``: the cosine of the text to every phrase."""
+        df = df.withColumn("_qc", self.column(text_col)).withColumn("_qn", sq_norm("_qc"))
+        return df.withColumn(out, F.array(*(cosine_to_constant("_qc", "_qn", py_hashed_counts(p)) for p in phrases))) \
+                 .drop("_qc", "_qn")
+
+
+class ModelEmbedder:
+    """A user model (see :func:`model_embeddings`) for ingest, retrieval and
+    screening alike; the few constant phrases are embedded on the driver."""
+
+    def __init__(self, load_model, dim: int, model_id: str | None = None, batch_rows: int = 256):
+        self.load_model, self.dim, self.model_id, self.batch_rows = load_model, dim, model_id, batch_rows
+
+    def column(self, text) -> Column:
+        return model_embeddings(text, self.load_model, self.dim, self.batch_rows, self.model_id)
+
+    def with_similarities(self, df, text_col: str, phrases: list[str], out: str):
+        import numpy as np
+        m = np.asarray(self.load_model().embed(list(phrases)), dtype=np.float64).reshape(-1, self.dim)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        unit = np.where(n > 0, m / np.where(n > 0, n, 1.0), 0.0)
+        seeds = [F.lit([float(x) for x in row]) for row in unit]
+        df = df.withColumn("_qv", self.column(text_col))
+        return df.withColumn(out, F.array(*(dot("_qv", seed) for seed in seeds))).drop("_qv")
+
+
+HASHED = HashedEmbedder()
+
+
 _MODELS: dict = {}
 
 

@@ -62,31 +62,37 @@ def sanitize_for_embedding(c) -> Column:
     return py_strip(t)
 
 
+def _instruction_items(t: Column, samples: int, sample_chars: int) -> Column:
+    """ARRAY<STRUCT<category, n_matches, samples>> of the deletion patterns."""
+    return F.array(*[F.struct(F.lit(c).alias("category"),
+                              F.regexp_count(t, F.lit(jp)).cast("bigint").alias("n_matches"),
+                              F.transform(F.slice(F.regexp_extract_all(t, F.lit(jp), F.lit(0)), 1, samples),
+                                          lambda m: F.substring(m, 1, sample_chars)).alias("samples"))
+                     for jp, c in DELETE_JAVA])
+
+
 def detect_instructions(df: DataFrame, key_cols: list[str], text_col: str, samples: int = 3,
                         sample_chars: int = 100) -> DataFrame:
     """Long form: (key, category, n_matches, samples) for each deletion
     pattern that matches the raw text (no homoglyph step)."""
-    t = F.col(text_col)
-    items = F.array(*[F.struct(F.lit(c).alias("category"),
-                               F.regexp_count(t, F.lit(jp)).cast("bigint").alias("n_matches"),
-                               F.transform(F.slice(F.regexp_extract_all(t, F.lit(jp), F.lit(0)), 1, samples),
-                                           lambda m: F.substring(m, 1, sample_chars)).alias("samples"))
-                      for jp, c in DELETE_JAVA])
+    items = _instruction_items(F.col(text_col), samples, sample_chars)
     return (df.select(*key_cols, F.inline(items)).where(F.col("n_matches") > 0))
 
 
-def sanitization_report(df: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
-    """Lengths before/after, characters removed, removal percent and the
-    number of instruction kinds found."""
-    s = sanitize_text(df.select(*key_cols, text_col), text_col, "_san")
-    t = F.col(text_col)
-    kinds = sum((F.when(t.rlike(jp), 1).otherwise(0) for jp, _ in DELETE_JAVA), F.lit(0))
-    n0, n1 = F.length(t), F.length("_san")
+def sanitization_report(df: DataFrame, key_cols: list[str], text_col: str, samples: int = 3,
+                        sample_chars: int = 100) -> DataFrame:
+    """Lengths before/after, characters removed, removal percent, the number
+    of instruction kinds found and the list of them."""
+    items = _instruction_items(F.col(text_col), samples, sample_chars)
+    s = sanitize_text(df.select(*key_cols, text_col, items.alias("_items")), text_col, "_san")
+    found = F.filter("_items", lambda i: i["n_matches"] > 0)
+    n0, n1 = F.length(text_col), F.length("_san")
     return s.select(*key_cols, n0.cast("bigint").alias("original_length"),
                     n1.cast("bigint").alias("sanitized_length"),
                     (n0 - n1).cast("bigint").alias("characters_removed"),
                     F.round(F.when(n0 > 0, (n0 - n1) / n0 * 100.0).otherwise(F.lit(0.0)), 6).alias("removal_percentage"),
-                    kinds.cast("bigint").alias("instruction_kinds"))
+                    F.coalesce(F.size(found), F.lit(0)).cast("bigint").alias("instruction_kinds"),
+                    found.alias("instructions"))
 
 
 def trust_score(content: str, retrieval_score: str | None = None, verified: str | None = None,
@@ -121,14 +127,18 @@ def trusted(trust) -> Column:
 
 
 def trust_report(df: DataFrame, key_cols: list[str], content_col: str, retrieval_col: str | None = None) -> DataFrame:
-    """Score plus the pattern categories that moved it and a recommendation."""
+    """Score, the patterns that moved it (category, impact, number of
+    matches) and a recommendation."""
     c = F.col(content_col)
 
     def hits(bank):
-        return F.filter(F.array(*[F.when(c.rlike(java(p)), F.lit(cat)) for p, _, cat in bank]),
-                        lambda x: x.isNotNull())
+        items = F.array(*[F.struct(F.lit(cat).alias("category"), F.lit(float(delta)).alias("impact"),
+                                   F.regexp_count(c, F.lit(java(p))).cast("bigint").alias("count")) for p, delta, cat in bank])
+        return F.filter(items, lambda x: x["count"] > 0)
 
+    retrieval = F.lit(0.5) if retrieval_col is None else F.col(retrieval_col).cast("double")
     return (df.select(*key_cols, trust_score(content_col, retrieval_col).alias("trust_score"),
+                      retrieval.alias("retrieval_score"),
                       hits(P.TRUST_NEGATIVE).alias("suspicious_patterns"),
                       hits(P.TRUST_POSITIVE).alias("trust_patterns"),
                       F.length(c).cast("bigint").alias("content_length"))

@@ -47,9 +47,9 @@ def _log(stage, action, reason=None, threat=None, source=None, chunk=None) -> F.
 
 
 def retrieve_for(prompts: DataFrame, chunks: DataFrame, k: int = P.CHAT_TOP_K,
-                 threshold: float = P.SIMILARITY_THRESHOLD) -> DataFrame:
+                 threshold: float = P.SIMILARITY_THRESHOLD, embedder=V.HASHED) -> DataFrame:
     """Hits of each prompt: (prompt_id, id, rank, score, source_file, chunk_index, content)."""
-    pv = prompts.select("prompt_id", V.hashed_counts("query").alias("vector"))
+    pv = prompts.select("prompt_id", embedder.column("query").alias("vector"))
     hits = R.cosine_topk(pv, chunks, k=k, threshold=threshold, query_id="prompt_id", query_vec="vector",
                          corpus_id="id", corpus_vec="vector",
                          payload=["source_file", "chunk_index", "content"])
@@ -58,21 +58,22 @@ def retrieve_for(prompts: DataFrame, chunks: DataFrame, k: int = P.CHAT_TOP_K,
 
 def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, verdicts: DataFrame | None = None,
                   judge_enabled: bool = False, k: int = P.CHAT_TOP_K, canary_enabled: bool = True,
-                  strict_output: bool = True) -> DataFrame:
+                  strict_output: bool = True, embedder=V.HASHED) -> DataFrame:
     """Guarded answering for a prompt table (``prompt_id, query, system_prompt``).
 
     ``chunks`` needs ``id, source_file, chunk_index, content, vector``;
-    ``answers`` holds ``prompt_id, raw_answer``. One output row per prompt.
+    ``answers`` holds ``prompt_id, raw_answer``; ``embedder`` is the one that
+    made the chunks' vectors. One output row per prompt.
     """
     screened = SCR.screen_prompts(prompts.select("prompt_id", "query", "system_prompt"), "query", "prompt_id",
-                                  verdicts=verdicts, judge_enabled=judge_enabled)
+                                  verdicts=verdicts, judge_enabled=judge_enabled, embedder=embedder)
     screened = (screened.select("prompt_id", "query", "system_prompt", "blocked", "decision", "threat_level",
-                                "reason", "categories", "regex_score", "semantic_score", "input_trace")
+                                "reason", "categories", "category_votes", "regex_score", "semantic_score", "input_trace")
                         .persist(StorageLevel.MEMORY_AND_DISK))   # reused twice and filtered on `blocked`
     allowed = screened.where(~F.col("blocked"))
 
     # S2-S3: retrieve, then trust on raw text and sanitize per hit.
-    hits = retrieve_for(allowed, chunks, k)
+    hits = retrieve_for(allowed, chunks, k, embedder=embedder)
     hits = hits.withColumn("trust_score", SC.trust_score("content", "score"))
     hits = SC.sanitize_text(hits, "content", "sanitized")
     hits = hits.withColumn("was_sanitized", F.col("sanitized") != F.col("content"))
@@ -176,7 +177,7 @@ def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, ver
         F.when(leaked, F.lit(P.LEAK_EVENT_THREAT)).otherwise(F.col("threat_level")).alias("threat_level"),
         F.when(leaked, F.lit(PR.LEAK_REASON)).otherwise(F.lit(None).cast("string")).alias("block_reason"),
         "categories", "n_sources", "n_sanitized", "avg_trust", "max_context", "n_context_chunks", "context_limited",
-        "context", "override_blocked", "canary_leaked", F.col("out_blocked").alias("output_blocked"),
+        "regex_score", "semantic_score", "category_votes", "context", "override_blocked", "canary_leaked", F.col("out_blocked").alias("output_blocked"),
         F.col("out_had_issues").alias("output_had_issues"), "out_issues",
         F.when(leaked, F.lit(PR.REFUSE_LEAK)).when(F.col("out_blocked"), F.lit(PR.REFUSE_OUTPUT))
          .otherwise(F.col("out_sanitized")).alias("answer"),
@@ -193,7 +194,7 @@ def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, ver
         F.lit(0).cast("bigint").alias("n_sources"), F.lit(0).cast("bigint").alias("n_sanitized"),
         F.lit(None).cast("double").alias("avg_trust"), F.lit(None).cast("int").alias("max_context"),
         F.lit(0).cast("bigint").alias("n_context_chunks"), F.lit(False).alias("context_limited"),
-        F.lit("").alias("context"), F.lit(False).alias("override_blocked"), F.lit(False).alias("canary_leaked"),
+        "regex_score", "semantic_score", "category_votes", F.lit("").alias("context"), F.lit(False).alias("override_blocked"), F.lit(False).alias("canary_leaked"),
         F.lit(False).alias("output_blocked"), F.lit(False).alias("output_had_issues"),
         F.array().cast(f"array<{OS._ISSUE}>").alias("out_issues"),
         F.lit(PR.REFUSE_INPUT).alias("answer"),
@@ -253,12 +254,20 @@ def derive_events(result: DataFrame) -> DataFrame:
     cats = F.col("categories")
     empty = F.array().cast("array<string>")
 
-    def ev(etype, text, threat, action, categories=None, reason=None, chunk=None, cond=None):
+    issues = F.array_sort(F.array_distinct(F.transform("out_issues", lambda i: i["category"])))
+
+    def more(found=None, scored=False):
+        def of(name, kind):
+            return (F.col(name) if scored else F.lit(None)).cast(kind).alias(name)
+        return ((F.lit(None) if found is None else found).cast("array<string>").alias("issues"), of("regex_score", "double"),
+                of("semantic_score", "double"), of("category_votes", "map<string,double>"))
+
+    def ev(etype, text, threat, action, categories=None, reason=None, chunk=None, cond=None, extra=None):
         return F.when(cond, F.array(F.struct(
             F.lit(etype).alias("event_type"), F.substring(text, 1, P.EVENT_TEXT_CHARS).alias("input_text"),
             F.struct((categories if categories is not None else empty).alias("categories"),
                      empty.alias("patterns_matched"), F.lit(reason).cast("string").alias("reason"),
-                     F.lit(chunk).cast("bigint").alias("chunk_index")).alias("details"),
+                     F.lit(chunk).cast("bigint").alias("chunk_index"), *(more() if extra is None else extra)).alias("details"),
             threat.cast("double").alias("threat_level"), F.lit(action).alias("action_taken")))) \
             .otherwise(F.array())
 
@@ -267,19 +276,20 @@ def derive_events(result: DataFrame) -> DataFrame:
                                          F.substring(l["source"], 1, P.EVENT_TEXT_CHARS).alias("input_text"),
                                          F.struct(empty.alias("categories"), empty.alias("patterns_matched"),
                                                   F.lit(None).cast("string").alias("reason"),
-                                                  l["chunk"].alias("chunk_index")).alias("details"),
+                                                  l["chunk"].alias("chunk_index"), *more()).alias("details"),
                                          F.lit(0.0).alias("threat_level"), F.lit("sanitized").alias("action_taken")))
     input_blocked = F.col("blocked") & ~F.col("canary_leaked")
     events = F.concat(
-        ev("INPUT_BLOCKED", F.col("query"), F.col("threat_level"), "blocked", cats, cond=input_blocked),
+        ev("INPUT_BLOCKED", F.col("query"), F.col("threat_level"), "blocked", cats, cond=input_blocked,
+           extra=more(scored=True)),
         san,
         ev("PROMPT_OVERRIDE_BLOCKED", F.coalesce(F.col("system_prompt"), F.lit("")), F.lit(P.OVERRIDE_EVENT_THREAT), "blocked",
            cond=F.col("override_blocked")),
         ev("PROMPT_LEAK_BLOCKED", F.col("query"), F.lit(P.LEAK_EVENT_THREAT), "blocked",
            reason="canary token leaked in output", cond=F.col("canary_leaked")),
         ev("OUTPUT_BLOCKED", F.col("query"), F.lit(0.0), "blocked",
-           cond=~F.col("canary_leaked") & F.col("output_blocked")),
+           cond=~F.col("canary_leaked") & F.col("output_blocked"), extra=more(issues)),
         ev("OUTPUT_SANITIZED", F.col("query"), F.lit(0.0), "sanitized",
-           cond=~F.col("canary_leaked") & ~F.col("output_blocked") & F.col("output_had_issues")))
+           cond=~F.col("canary_leaked") & ~F.col("output_blocked") & F.col("output_had_issues"), extra=more(issues)))
     return r.select("prompt_id", F.posexplode(events).alias("seq", "e")).select(
         "prompt_id", F.col("seq").cast("bigint").alias("seq"), "e.*")

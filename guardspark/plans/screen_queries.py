@@ -156,11 +156,15 @@ def threat_summary_q(spark, sf):
 
 
 @register("semantic_similarity", lambda: S.with_ctes(prompt_ctes() + S.semantic_ctes("prompts", "prompt_id", "query"),
-          "SELECT k AS prompt_id, round(sem_score, 6) AS sem_score, sem_category, sem_example FROM sem"))
+          "SELECT s.k AS prompt_id, round(sem_score, 6) AS sem_score, sem_category, sem_example, coalesce(cats, '') AS categories, "
+          "coalesce(cat_sum, 0.0) AS category_sum FROM sem s LEFT JOIN sem_cats c ON c.k = s.k"))
 def semantic_similarity_q(spark, sf):
     """Nearest attack seed per prompt (hashed bag-of-words cosine)."""
     s = SCR.semantic_similarity(FX.prompts(spark, sf), "query")
-    return s.select("prompt_id", F.round("sem_score", 6).alias("sem_score"), "sem_category", "sem_example")
+    total = F.aggregate(F.map_values("sem_per_category"), F.lit(0.0), lambda a, x: a + x)
+    return s.select("prompt_id", F.round("sem_score", 6).alias("sem_score"), "sem_category", "sem_example",
+                    F.array_join(F.sort_array(F.map_keys("sem_per_category")), ",").alias("categories"),
+                    F.round(total, 6).alias("category_sum"))
 
 
 def _judge_parse_sql() -> str:

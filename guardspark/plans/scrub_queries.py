@@ -58,34 +58,38 @@ def sanitize_for_embedding_q(spark, sf):
 def _detect_sql() -> str:
     parts = []
     for p, _, cat in S.sanitizer_delete_re2():
-        first = f"regexp_extract_all(text, {S.lit(p)})[1]"
-        if cat == "labeled_instruction":
-            first = f"regexp_replace({first}, '\\n\\n$', '')"
+        one = "regexp_replace(m, '\\n\\n$', '')" if cat == "labeled_instruction" else "m"
         parts.append(f"SELECT id, '{cat}' AS category, {S.count_matches('text', p)} AS n_matches, "
-                     f"left({first}, 100) AS first_sample FROM dirty_texts")
+                     f"array_to_string(list_transform(regexp_extract_all(text, {S.lit(p)})[1:3], lambda m: left({one}, 100)), ' ¦ ') "
+                     f"AS samples FROM dirty_texts")
     return _w(f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n_matches > 0")
 
 
 @register("detect_instructions", _detect_sql)
 def detect_instructions_q(spark, sf):
-    """Instruction patterns found per planted document, with a first sample."""
+    """Instruction patterns found per planted document, with up to three samples."""
     d = SC.detect_instructions(dirty_texts(spark, sf), ["id"], "text")
-    return d.select("id", "category", "n_matches", F.get("samples", 0).alias("first_sample"))
+    return d.select("id", "category", "n_matches", F.array_join("samples", " ¦ ").alias("samples"))
 
 
 def _report_sql() -> str:
     kinds = " + ".join(f"CASE WHEN {S.matches('text', p)} THEN 1 ELSE 0 END" for p, _, _ in S.sanitizer_delete_re2())
+    each = ", ".join(f"CASE WHEN {S.matches('text', p)} THEN '{c}:' || {S.count_matches('text', p)} END"
+                     for p, _, c in S.sanitizer_delete_re2())
     return _w("SELECT id, CAST(n0 AS BIGINT) AS original_length, CAST(n1 AS BIGINT) AS sanitized_length, "
               "CAST(n0 - n1 AS BIGINT) AS characters_removed, "
               "round(CASE WHEN n0 > 0 THEN (n0 - n1) / n0 * 100.0 ELSE 0.0 END, 6) AS removal_percentage, "
-              f"CAST(k AS BIGINT) AS instruction_kinds FROM (SELECT id, length(text) AS n0, "
+              f"CAST(k AS BIGINT) AS instruction_kinds, array_to_string(list_filter(e, lambda x: x IS NOT NULL), ',') AS instructions "
+              f"FROM (SELECT id, [{each}] AS e, length(text) AS n0, "
               f"length({S.sanitize('text')}) AS n1, {kinds} AS k FROM dirty_texts)")
 
 
 @register("sanitization_report", _report_sql)
 def sanitization_report_q(spark, sf):
     """Per document: characters removed, percent and instruction kinds."""
-    return SC.sanitization_report(dirty_texts(spark, sf), ["id"], "text")
+    r = SC.sanitization_report(dirty_texts(spark, sf), ["id"], "text")
+    return r.withColumn("instructions", F.array_join(F.transform("instructions", lambda i: F.concat_ws(
+        ":", i["category"], i["n_matches"])), ","))
 
 
 @register("trust_score", lambda: _w(f"SELECT id, round({S.trust('text')}, 6) AS trust_score FROM dirty_texts"))
@@ -98,7 +102,8 @@ def _trust_report_sql() -> str:
     from ..functions.patterns import TRUST_NEGATIVE, TRUST_POSITIVE
 
     def hits(bank):
-        items = ", ".join(f"CASE WHEN {S.matches('text', S.re2(p))} THEN '{c}' END" for p, _, c in bank)
+        items = ", ".join(f"CASE WHEN {S.matches('text', S.re2(p))} THEN '{c}:{round(d * 100)}:' || {S.count_matches('text', S.re2(p))} END"
+                          for p, d, c in bank)
         return f"array_to_string(list_filter([{items}], lambda x: x IS NOT NULL), ',')"
 
     return _w(f"SELECT id, round(t, 6) AS trust_score, sus AS suspicious_patterns, pos AS trust_patterns, "
@@ -113,8 +118,8 @@ def trust_report_q(spark, sf):
     """Trust, pattern categories that moved it, context cap, recommendation."""
     r = SC.trust_report(dirty_texts(spark, sf), ["id"], "text")
     return r.select("id", F.round("trust_score", 6).alias("trust_score"),
-                    F.array_join("suspicious_patterns", ",").alias("suspicious_patterns"),
-                    F.array_join("trust_patterns", ",").alias("trust_patterns"),
+                    *(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["category"], F.round(x["impact"] * 100).cast("int"), x["count"])),
+                                   ",").alias(c) for c in ("suspicious_patterns", "trust_patterns")),
                     "max_context_allowed", "recommendation")
 
 

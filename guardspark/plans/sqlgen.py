@@ -233,6 +233,8 @@ def semantic_ctes(src: str, key: str, text: str, out: str = "sem") -> list[str]:
         f"{out} AS (SELECT k, CASE WHEN blank THEN 0.0 ELSE greatest(0.0, sim) END AS sem_score, "
         f"CASE WHEN blank THEN '' ELSE cat END AS sem_category, CASE WHEN blank THEN '' ELSE phrase END AS sem_example "
         f"FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sim DESC, j) AS rn FROM {out}_sims) WHERE rn = 1)",
+        f"{out}_cats AS (SELECT k, string_agg(cat, ',' ORDER BY cat) AS cats, round(sum(m), 6) AS cat_sum FROM "
+        f"(SELECT k, cat, max(sim) AS m FROM {out}_sims WHERE NOT blank GROUP BY 1, 2 HAVING max(sim) > 0) GROUP BY 1)",
     ]
 
 

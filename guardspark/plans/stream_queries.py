@@ -3,6 +3,8 @@ stream to completion (``availableNow``) and returns the sink's final state,
 which must equal the batch query of the same name without the prefix."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import audit as A
 from ..sources import fixtures as FX
 from ..sources.fixtures import audit_events
@@ -16,9 +18,16 @@ def _same_oracle(batch_name: str):
 
 def _landed_events(spark, sf, name):
     d = ST.work_dir(spark, name)
-    ST.land(audit_events(spark, sf), f"{d}/in", "timestamp")
+    files = ST.land(audit_events(spark, sf), f"{d}/in", "timestamp")
+    schema = spark.read.parquet(f"{d}/in").schema
+    return d, ST.stream_events(spark, f"{d}/in", schema, files)
+
+
+def _landed(spark, df, name):
+    d = ST.work_dir(spark, name)
+    files = ST.land(df, f"{d}/in")
     schema = spark.read.parquet(f"{d}/in").schema
-    return d, ST.stream_events(spark, f"{d}/in", schema)
+    return d, spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{d}/in")
 
 
 @register("stream_timeline", _same_oracle("activity_timeline"))
@@ -48,19 +57,25 @@ def stream_high_threat_q(spark, sf):
 @register("stream_screen", _same_oracle("screen_prompts"))
 def stream_screen_q(spark, sf):
     """Prompts screened as they arrive."""
-    d = ST.work_dir(spark, "screen")
-    ST.land(FX.prompts(spark, sf).select("prompt_id", "query"), f"{d}/in", "prompt_id")
-    s = spark.readStream.schema(spark.read.parquet(f"{d}/in").schema).parquet(f"{d}/in")
+    d, s = _landed(spark, FX.prompts(spark, sf).select("prompt_id", "query"), "screen")
     ST.stream_screen(s, f"{d}/out", f"{d}/ckpt")
-    return spark.read.parquet(f"{d}/out")
+    return spark.read.parquet(f"{d}/out").drop("batch_id")
+
+
+@register("stream_events", lambda: (
+    "SELECT prompt_id, 'INPUT_BLOCKED' AS event_type, categories, threat_level, 'blocked' AS action_taken "
+    f"FROM ({QUERIES['screen_prompts'].oracle()}) WHERE blocked"))
+def stream_events_q(spark, sf):
+    """Audit events that the screening stream appends for blocked prompts."""
+    d, s = _landed(spark, FX.prompts(spark, sf).select("prompt_id", "query"), "events")
+    ST.stream_screen(s, f"{d}/out", f"{d}/ckpt", f"{d}/events")
+    return spark.read.parquet(f"{d}/events").select(
+        "prompt_id", "event_type", F.array_join("categories", ",").alias("categories"), "threat_level", "action_taken")
 
 
 @register("stream_redact", _same_oracle("check_outputs"))
 def stream_redact_q(spark, sf):
     """Answers scanned and redacted in flight."""
-    d = ST.work_dir(spark, "redact")
-    p = FX.prompts(spark, sf)
-    ST.land(FX.answers(spark, sf, p), f"{d}/in", "prompt_id")
-    s = spark.readStream.schema(spark.read.parquet(f"{d}/in").schema).parquet(f"{d}/in")
+    d, s = _landed(spark, FX.answers(spark, sf, FX.prompts(spark, sf)), "redact")
     ST.stream_redact(s, f"{d}/out", f"{d}/ckpt")
     return spark.read.parquet(f"{d}/out")

@@ -62,10 +62,8 @@ def _chunk_stats_sql() -> str:
 @register("corpus_status", _chunk_stats_sql)
 def corpus_status_q(spark, sf):
     """Chunk table status per source: chunks, documents, characters."""
-    ch = CH.chunk_documents(clean_docs(spark, sf), "text", ["doc_id", "source_file"])
-    return ch.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_chunks"),
-                                         F.countDistinct("doc_id").alias("n_docs"),
-                                         F.sum(F.length("content")).cast("bigint").alias("n_chars"))
+    from ..sources.corpus import corpus_status
+    return corpus_status(CH.chunk_documents(clean_docs(spark, sf), "text", ["doc_id", "source_file"]))
 
 
 def _ingest_sql() -> str:
@@ -90,6 +88,9 @@ def ingest_corpus_q(spark, sf):
           "GROUP BY source_file"))
 def delete_by_source_q(spark, sf):
     """Chunk counts per source left after deleting one source's chunks."""
-    ch = CH.chunk_documents(clean_docs(spark, sf), "text", ["doc_id", "source_file"])
-    return (ch.where(F.col("source_file") != "src0").groupBy("source_file")
-              .agg(F.count(F.lit(1)).alias("n_chunks")))
+    from ..sources import corpus as C
+    from ..streaming.streams import work_dir
+    d = work_dir(spark, "delete")
+    C.save_chunks(CH.chunk_documents(clean_docs(spark, sf), "text", ["doc_id", "source_file"]), f"{d}/t")
+    C.delete_by_source(spark, f"{d}/t", "src0", f"{d}/left")
+    return C.corpus_status(C.load_chunks(spark, f"{d}/left")).select("source_file", "n_chunks")

@@ -8,48 +8,75 @@ counter and neither part has a bound.
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import MAX_FILE_BYTES, TEXT_SUFFIXES
 from ..functions.text import clean_text, pair_id
-from ..functions.vectors import hashed_counts
+from ..functions.vectors import HASHED
 from ..operators.chunking import chunk_documents
 
 
+def _case_glob(suffix: str) -> str:
+    return "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix.lstrip("."))
+
+
+def list_text_corpus(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES) -> DataFrame:
+    """Files with an allowed suffix (compared case-insensitively) under
+    ``path``; the suffix is part of the listing, so other files are not read."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .option("pathGlobFilter", "{" + ",".join(map(_case_glob, suffixes)) + "}").load(path)
+                 .withColumn("source_file", F.element_at(F.split("path", "/"), -1)))
+
+
 def scan_text_corpus(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Text files under ``path`` (recursively): allowed suffixes compared
-    case-insensitively, files above ``max_bytes`` rejected."""
-    alt = "|".join(s.lstrip(".").replace(".", r"\.") for s in suffixes)
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return (df.where(F.lower("path").rlike(rf"\.({alt})$") & (F.col("length") <= max_bytes))
-              .select("path", F.element_at(F.split("path", "/"), -1).alias("source_file"), "length", "content"))
+    """Text files of at most ``max_bytes``; see :func:`rejected_files`."""
+    return list_text_corpus(spark, path, suffixes).where(F.col("length") <= max_bytes) \
+        .select("path", "source_file", "length", "content")
+
+
+def rejected_files(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Text files that are too large, with the reason (no content is read)."""
+    return (list_text_corpus(spark, path, suffixes).where(F.col("length") > max_bytes)
+            .select("path", "source_file", "length", F.format_string("larger than %d bytes", F.lit(max_bytes)).alias("reason")))
 
 
 def decode_text(df: DataFrame, content_col: str = "content", out_col: str = "text",
                 fallback_charset: str | None = None) -> DataFrame:
     """Bytes to text: UTF-16 by byte-order mark, UTF-8 (BOM dropped) when
     valid, else ``fallback_charset`` if given, else UTF-8 with U+FFFD for
-    invalid sequences."""
+    invalid sequences. No bytes fail the job: what a charset cannot decode
+    becomes U+FFFD."""
+    names = {"ISO-8859-1": "latin-1"}
+
+    def decoder(charset):
+        @F.pandas_udf("string")
+        def run(content: pd.Series) -> pd.Series:
+            return content.map(lambda b: None if b is None else bytes(b).decode(charset, errors="replace"))
+        return run
+
     b = F.col(content_col)
     head2 = F.hex(F.substring(b, 1, 2))
+    utf16 = head2.isin("FFFE", "FEFF")
     utf8 = F.when(F.hex(F.substring(b, 1, 3)) == "EFBBBF", F.expr(f"substring({content_col}, 4)")).otherwise(b)
-    fallback = (F.decode(b, fallback_charset) if fallback_charset else F.make_valid_utf8(b.cast("string")))
-    text = (F.when(head2.isin("FFFE", "FEFF"), F.decode(b, "UTF-16"))
-             .when(F.is_valid_utf8(b.cast("string")), utf8.cast("string"))
-             .otherwise(fallback))
-    return df.withColumn(out_col, text)
+    valid = F.is_valid_utf8(b.cast("string"))
+    # Only the rows that need a tolerant decoder send bytes to Python.
+    wide = decoder("utf-16")(F.when(utf16, b))
+    other = F.make_valid_utf8(b.cast("string")) if fallback_charset is None else \
+        decoder(names.get(fallback_charset, fallback_charset))(F.when(~utf16 & ~valid, b))
+    return df.withColumn(out_col, F.when(utf16, wide).when(valid, utf8.cast("string")).otherwise(other))
 
 
 def ingest_corpus(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text",
-                  source_col: str = "source_file") -> DataFrame:
+                  source_col: str = "source_file", embedder=HASHED) -> DataFrame:
     """Clean, chunk and embed documents into chunk-table rows (blank
     documents produce no rows)."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source_col).alias("source_file"),
                     clean_text(text_col).alias("text"))
     ch = chunk_documents(d, "text", ["doc_id", "source_file"])
     return (ch.withColumn("id", pair_id("doc_id", "chunk_index"))
-              .withColumn("vector", hashed_counts("content"))
+              .withColumn("vector", embedder.column("content"))
               .select("id", "doc_id", "source_file", "chunk_index", "start_index", "end_index", "content", "vector"))
 
 
@@ -83,6 +110,7 @@ def clear_chunks(spark: SparkSession, path: str, schema) -> None:
 
 
 def corpus_status(chunks: DataFrame) -> DataFrame:
-    """Chunks and documents per source (one row per source)."""
+    """Chunks, documents and characters per source (one row per source)."""
     return chunks.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_chunks"),
-                                             F.countDistinct("doc_id").alias("n_docs"))
+                                             F.countDistinct("doc_id").alias("n_docs"),
+                                             F.sum(F.length("content")).cast("bigint").alias("n_chars"))

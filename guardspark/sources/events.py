@@ -17,6 +17,11 @@ DETAILS = T.StructType([
     T.StructField("patterns_matched", T.ArrayType(T.StringType())),
     T.StructField("reason", T.StringType()),
     T.StructField("chunk_index", T.LongType()),
+    T.StructField("issues", T.ArrayType(T.StringType())),
+    T.StructField("regex_score", T.DoubleType()),
+    T.StructField("semantic_score", T.DoubleType()),
+    T.StructField("category_votes", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("type", T.StringType()),
 ])
 EVENT_SCHEMA = T.StructType([
     T.StructField("timestamp", T.TimestampType()),
@@ -37,9 +42,16 @@ def load_events(spark: SparkSession, path: str, fmt: str = "parquet", json_array
     one JSON array per file (the service's log file); malformed records land
     in ``_corrupt_record`` instead of failing the read."""
     if fmt == "json":
-        schema = T.StructType(EVENT_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
-        return (spark.read.schema(schema).option("multiLine", str(json_array).lower()).option("mode", "PERMISSIVE")
+        # ``categories`` may be a list or one string, so it is read as text.
+        raw = T.StructType([T.StructField("categories", T.StringType())] + DETAILS.fields[1:])
+        schema = T.StructType([T.StructField("details", raw) if f.name == "details" else f for f in EVENT_SCHEMA.fields]
+                              + [T.StructField("_corrupt_record", T.StringType())])
+        read = (spark.read.schema(schema).option("multiLine", str(json_array).lower()).option("mode", "PERMISSIVE")
                      .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+        c = F.col("details.categories")
+        listed = F.when(c.startswith("["), F.from_json(c, "array<string>")).when(c.isNotNull(), F.array(c))
+        return read.withColumn("details", F.when(F.col("details").isNotNull(), F.struct(
+            listed.alias("categories"), *(F.col(f"details.{f.name}") for f in DETAILS.fields[1:]))))
     return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 
@@ -54,8 +66,17 @@ def prepare_events(events: DataFrame) -> DataFrame:
                   .withColumn("event_date", F.to_date("timestamp")))
 
 
+def full_details(events: DataFrame) -> DataFrame:
+    """``details`` with every field of the log's schema, absent ones null."""
+    have = {f.name for f in events.schema["details"].dataType.fields}
+    return events.withColumn("details", F.struct(*(
+        (F.col(f"details.{f.name}") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in DETAILS.fields)))
+
+
 def append_events(events: DataFrame, path: str) -> None:
-    prepare_events(events).write.mode("append").partitionBy("event_date").parquet(path)
+    """Append to the date-partitioned log, clustered by date so that a day's
+    rows come from few tasks (AQE splits a large day again)."""
+    prepare_events(full_details(events)).repartition("event_date", F.pmod(F.xxhash64("session_id", "timestamp"), F.lit(8))).write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def export_events(events: DataFrame, path: str) -> None:

@@ -1,12 +1,14 @@
 """Structured Streaming versions of the screening, redaction and dashboard
 jobs.
 
-The column logic is the batch logic (stateless operators run unchanged on
-a stream). Stateful panels use an event-time watermark; the timeline runs
-in update mode and is upserted per micro-batch into a keyed parquet table
-(rows carry their batch id; readers keep the newest row per hour). All
-files live under the session's checkpoint folder, which a cluster points
-at shared storage.
+The column logic is the batch logic (stateless operators run unchanged on a
+stream). Stateful panels use an event-time watermark. Every sink is a table
+of one folder per micro-batch, written with overwrite: a batch that is run
+again replaces its own folder, so results are exactly once, and a reader
+never meets a half-written table. The timeline keeps the newest row of each
+window (:func:`compact_timeline` folds old batches into one), the KPI panel
+the newest batch. All files live under the session's checkpoint folder, which
+a cluster points at shared storage.
 """
 from __future__ import annotations
 
@@ -15,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import HIGH_THREAT
+from ..functions.patterns import EVENT_TEXT_CHARS, HIGH_THREAT
 from ..operators import audit as A
 from ..operators import output_scan as OS
 from ..operators import screen as SCR
@@ -28,11 +30,30 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/guardspark-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def land(df: DataFrame, path: str, order_col: str | None = None, files: int = 8) -> None:
-    """Write a table as a landing folder of parquet files (time-ordered
-    ranges when ``order_col`` is given), the way an upstream writer would."""
-    out = df.repartitionByRange(files, order_col) if order_col else df.repartition(files)
-    out.write.mode("overwrite").parquet(path)
+ROWS_PER_FILE = 100_000
+SLICES = 8                   # landing slices at least, so that a stream takes several micro-batches
+
+
+def land(df: DataFrame, path: str, order_col: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Write a table as a landing folder, the way upstream writers would, and
+    return how many files a micro-batch of one slice has.
+
+    The file count follows the rows. With ``order_col`` the slices are
+    consecutive ranges of it, written one after the other (sources take files
+    by age, and rows older than the watermark would count as late).
+    """
+    files = max(SLICES, -(-df.count() // rows_per_file))
+    per_slice = -(-files // SLICES)
+    if order_col is None:
+        df.repartition(per_slice * SLICES).write.mode("overwrite").parquet(path)
+        return per_slice
+    at = F.unix_micros(F.col(order_col).cast("timestamp"))
+    cuts = df.select(at.cast("double").alias("at")).approxQuantile("at", [i / SLICES for i in range(1, SLICES)], 0.001)
+    bounds = [None, *sorted(set(cuts)), None]
+    for lo, hi in zip(bounds, bounds[1:]):
+        part = df.where((F.lit(True) if lo is None else at >= lo) & (F.lit(True) if hi is None else at < hi))
+        part.coalesce(per_slice).write.mode("append").parquet(path)
+    return per_slice
 
 
 def _run(writer, checkpoint: str):
@@ -41,9 +62,25 @@ def _run(writer, checkpoint: str):
     return q
 
 
-def stream_events(spark: SparkSession, path: str, schema) -> DataFrame:
+def data_batches(query) -> int:
+    """Micro-batches of a finished query that carried rows."""
+    return sum(p["numInputRows"] > 0 for p in query.recentProgress)
+
+
+def late_rows(query) -> int:
+    """Rows that came later than the watermark and were dropped by the state."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
+def _per_batch(out_path: str):
+    def write(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+    return write
+
+
+def stream_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """Event stream with ``timestamp`` as TIMESTAMP (watermarks reject NTZ)."""
-    s = spark.readStream.schema(schema).parquet(path)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return s.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
 
@@ -58,43 +95,46 @@ def stream_timeline(events: DataFrame, out_path: str, checkpoint: str, watermark
                  .groupBy(F.window("timestamp", "1 hour").alias("w"), hour.alias("hour"))
                  .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("action_taken") == "blocked").alias("blocked")))
 
-    def upsert(batch: DataFrame, batch_id: int):
-        (batch.select(F.col("w.start").alias("window_start"), "hour", "total", "blocked",
-                      F.lit(batch_id).alias("batch_id"))
-              .write.mode("append").parquet(out_path))
+    rows = agg.select(F.col("w.start").alias("window_start"), "hour", "total", "blocked")
+    return _run(rows.writeStream.outputMode("update").foreachBatch(_per_batch(out_path)), checkpoint)
+
 
-    return _run(agg.writeStream.outputMode("update").foreachBatch(upsert), checkpoint)
+def _newest_windows(spark: SparkSession, out_path: str) -> DataFrame:
+    w = Window.partitionBy("window_start", "hour").orderBy(F.col("batch_id").desc())
+    return spark.read.parquet(out_path).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def compact_timeline(spark: SparkSession, out_path: str, to_path: str) -> None:
+    """Write the table's current windows, one row each, as a table of one
+    batch (the newest so far) for readers and later batches to go on from."""
+    t = _newest_windows(spark, out_path)
+    last = spark.read.parquet(out_path).agg(F.max("batch_id")).first()[0]
+    t.drop("batch_id").write.mode("overwrite").parquet(f"{to_path}/batch_id={last}")
 
 
 def read_timeline(spark: SparkSession, out_path: str) -> DataFrame:
-    """Current timeline: the newest upserted row of every hour."""
-    t = spark.read.parquet(out_path)
-    w = Window.partitionBy("window_start", "hour").orderBy(F.col("batch_id").desc())
-    latest = t.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return latest.groupBy("hour").agg(F.sum("total").cast("bigint").alias("total"),
-                                      F.sum("blocked").cast("bigint").alias("blocked"))
+    """Current timeline: the newest upserted row of every window, by hour."""
+    return _newest_windows(spark, out_path).groupBy("hour").agg(F.sum("total").cast("bigint").alias("total"),
+                                                                F.sum("blocked").cast("bigint").alias("blocked"))
 
 
 def stream_kpis(events: DataFrame, out_path: str, checkpoint: str):
-    """Running KPIs (complete mode); each batch overwrites the one-row table."""
+    """Running KPIs (complete mode): one row per batch, the newest counts."""
     agg = events.agg(F.count(F.lit(1)).alias("total_events"),
                      F.count_if(F.col("action_taken") == "blocked").alias("blocked_count"),
                      F.count_if(F.col("action_taken") == "sanitized").alias("sanitized_count"),
-                     F.sum("threat_level").alias("_sum"),
+                     F.sum("threat_level").alias("_sum"), F.count("threat_level").alias("_scored"),
                      F.count_if(F.col("threat_level") >= HIGH_THREAT).alias("high_threat_count"))
 
-    def write(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(out_path)
-
-    return _run(agg.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
+    return _run(agg.writeStream.outputMode("complete").foreachBatch(_per_batch(out_path)), checkpoint)
 
 
 def read_kpis(spark: SparkSession, out_path: str) -> DataFrame:
-    k = spark.read.parquet(out_path)
+    k = spark.read.parquet(out_path).orderBy(F.col("batch_id").desc()).limit(1)
     return k.select("total_events", "blocked_count", "sanitized_count",
                     F.coalesce(F.bround(F.try_divide(F.col("blocked_count"), F.col("total_events")), 3),
                                F.lit(0.0)).alias("block_rate"),
-                    F.coalesce(F.bround(F.try_divide(F.col("_sum"), F.col("total_events")), 3),
+                    F.coalesce(F.bround(F.try_divide(F.col("_sum"), F.col("_scored")), 3),
                                F.lit(0.0)).alias("avg_threat_level"),
                     "high_threat_count")
 
@@ -105,14 +145,30 @@ def stream_high_threat(events: DataFrame, out_path: str, checkpoint: str):
     return _run(alerts.writeStream.outputMode("append").format("parquet").option("path", out_path), checkpoint)
 
 
-def stream_screen(prompts: DataFrame, out_path: str, checkpoint: str):
-    """Screen prompts as they arrive; decisions are appended."""
+def stream_screen(prompts: DataFrame, out_path: str, checkpoint: str, events_path: str | None = None):
+    """Screen prompts as they arrive; decisions are appended, and blocked
+    prompts also become events at ``events_path``."""
     s = SCR.screen_prompts(prompts, "query", "prompt_id")
     cols = ["prompt_id", "regex_score", "semantic_score", "semantic_category", "judge_used", "threat_level",
-            "decision", "blocked", "primary_category", "reason",
-            F.array_join("categories", ",").alias("categories")]
-    return _run(s.select(*cols).writeStream.outputMode("append").format("parquet").option("path", out_path),
-                checkpoint)
+            "decision", "blocked", "primary_category", "reason"]
+    joined = F.array_join("categories", ",").alias("categories")
+
+    def write(batch: DataFrame, batch_id: int):
+        batch = batch.persist()
+        _per_batch(out_path)(batch.select(*cols, joined), batch_id)
+        if events_path is not None:
+            _per_batch(events_path)(blocked_events(batch), batch_id)
+        batch.unpersist()
+
+    return _run(s.select(*cols, "categories", "query").writeStream.outputMode("append").foreachBatch(write), checkpoint)
+
+
+def blocked_events(screened: DataFrame) -> DataFrame:
+    """Audit events of screened prompts that were blocked."""
+    return screened.where("blocked").select(
+        "prompt_id", F.lit("INPUT_BLOCKED").alias("event_type"),
+        F.substring("query", 1, EVENT_TEXT_CHARS).alias("input_text"), "categories", "regex_score", "semantic_score",
+        F.col("threat_level").cast("double").alias("threat_level"), F.lit("blocked").alias("action_taken"))
 
 
 def stream_redact(answers: DataFrame, out_path: str, checkpoint: str, text_col: str = "raw_answer"):

@@ -125,3 +125,32 @@ def test_model_embeddings_plug_in(spark):
         assert np.allclose(r.v, w, atol=1e-6)
     hits = R.cosine_topk(emb, emb, k=3, query_id="doc_id", query_vec="v", corpus_id="doc_id", corpus_vec="v")
     assert hits.where(F.col("rank") == 0).count() == len(rows)
+
+
+def test_one_model_runs_ingest_retrieval_screening_and_the_guarded_job(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    from guardspark.functions.patterns import ATTACK_SEEDS
+    from guardspark.functions.vectors import ModelEmbedder
+    from guardspark.operators import screen as SCR
+    from guardspark.plans import guarded as G
+    from guardspark.sources import corpus as C
+
+    e = ModelEmbedder(_ProjectionModel, 16)
+    docs = spark.createDataFrame([(i, f"f{i}", f"Document {i} about rivers and stones. " * 3) for i in range(6)],
+                                 "doc_id long, source_file string, text string")
+    chunks = C.ingest_corpus(docs, embedder=e).cache()
+    assert {len(r.vector) for r in chunks.collect()} == {16}
+    prompts = spark.createDataFrame([(1, "Document 3 about rivers and stones. " * 3, None), (2, ATTACK_SEEDS[0][1], None)],
+                                    "prompt_id long, query string, system_prompt string")
+    hits = G.retrieve_for(prompts.where("prompt_id = 1"), chunks, 2, embedder=e).collect()
+    assert len(hits) == 2 and hits[0].score > 0.99
+    sem = {r.prompt_id: r for r in SCR.semantic_similarity(prompts, "query", e).collect()}
+    assert sem[2].sem_score > 0.999999 and sem[2].sem_example == ATTACK_SEEDS[0][1]
+    assert all(v > 0 for v in sem[1].sem_per_category.values())
+    answers = spark.createDataFrame([(1, "Rivers have stones.")], "prompt_id long, raw_answer string")
+    out = {r.prompt_id: r for r in G.guarded_batch(prompts, chunks, answers, embedder=e).collect()}
+    assert len(out) == 2 and out[2].blocked

@@ -38,6 +38,9 @@ def test_scan_and_decode(spark):
     assert got["b.MD"] == docs[1].text
     assert got["c.markdown"] == docs[2].text
     assert got["d.txt"] == b"caf\xe9 latin-1".decode("utf-8", errors="replace")
+    rejected = C.rejected_files(spark, d, max_bytes=1024).collect()
+    assert ("big.txt", 2048, "larger than 1024 bytes") in [(r.source_file, r.length, r.reason) for r in rejected]
+    assert {r.source_file for r in rejected} | {r.source_file for r in small.collect()} == set(names)
     latin = {r.source_file: r.text for r in C.decode_text(df, fallback_charset="ISO-8859-1").collect()}
     assert latin["d.txt"] == "café latin-1"
 
@@ -92,3 +95,39 @@ def test_event_log_json_array(spark):
                 '"session_id": ""}]')
     rows = E.load_events(spark, d, fmt="json", json_array=True).select("event_type", "details.categories").collect()
     assert [(r.event_type, r.categories) for r in rows] == [("INPUT_BLOCKED", ["jailbreak"]), ("OUTPUT_SANITIZED", None)]
+
+
+def test_malformed_bytes_never_fail_the_job(spark):
+    rows = [(0, b"\xff\xfe\x00\xd8\x41"), (1, b"\xfe\xff\xd8\x00"), (2, b"caf\xe9"), (3, b""), (4, None), (5, b"\xc3\xa9 ok")]
+    df = spark.createDataFrame(rows, "id long, content binary")
+    plain = {r.id: r.text for r in C.decode_text(df).collect()}
+    ascii_ = {r.id: r.text for r in C.decode_text(df, fallback_charset="US-ASCII").collect()}
+    for i in (0, 1):
+        assert plain[i] == ascii_[i] == rows[i][1].decode("utf-16", errors="replace")
+    assert plain[2] == ascii_[2] == "caf\ufffd"
+    assert (plain[3], plain[4], plain[5]) == ("", None, "é ok")
+
+
+def test_chunk_ids_past_a_million_chunks_and_long_conversations(spark):
+    """Ids of (document, chunk) and (conversation, turn) stay apart whatever
+    either part's size."""
+    from guardspark.functions.text import pair_id
+    wide = spark.range(3).crossJoin(spark.range(0, 1 << 21, 1 << 10).withColumnRenamed("id", "part"))
+    assert wide.select(pair_id("id", "part").alias("i")).distinct().count() == 3 * (1 << 11)
+    turns = spark.createDataFrame([(c, t) for c in range(4) for t in range(1500)], "conv long, turn long")
+    assert turns.select(pair_id("conv", "turn").alias("i")).distinct().count() == 6000
+
+
+def test_event_details_of_every_kind_survive_the_log(spark):
+    d = _tmp()
+    with open(os.path.join(d, "log.json"), "w") as f:
+        f.write('[{"timestamp": "2024-05-01T10:00:00", "event_type": "A", "details": {"categories": "one", "issues": ["x"], '
+                '"regex_score": 0.5, "semantic_score": 0.25, "category_votes": {"k": 2}, "type": "t"}}, '
+                '{"timestamp": "2024-05-01T11:00:00", "event_type": "B", "details": {"categories": ["p", "q"]}}, {"event_type": "C"}]')
+    got = E.load_events(spark, d, fmt="json", json_array=True)
+    E.append_events(got.drop("_corrupt_record"), f"{d}/table")
+    for t in (got, E.load_events(spark, f"{d}/table")):
+        r = {x.event_type: x.details for x in t.collect()}
+        assert r["A"].categories == ["one"] and r["A"].issues == ["x"] and r["A"].category_votes == {"k": 2}
+        assert (r["A"].regex_score, r["A"].semantic_score, r["A"].type) == (0.5, 0.25, "t")
+        assert r["B"].categories == ["p", "q"] and r["B"].issues is None
