@@ -174,7 +174,7 @@ def _powers(n: int):
     return _POW[0], _POW[1]
 
 
-def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, window: int = 1 << 20) -> np.ndarray:
+def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, window: int = 1 << 16) -> np.ndarray:
     """64-bit hash of every byte segment (ascending, disjoint), by prefix sums
     over byte windows, so that memory does not follow the longest text."""
     table = _BYTE64 if salt == 0 else mix64(_BYTE64 + np.uint64(salt))

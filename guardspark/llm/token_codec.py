@@ -38,7 +38,7 @@ from .common import Stage, slices, text_column
 from .tokens import Pretokens, read_tokenizer
 
 END_ID = 0
-SCALE_BITS = 20
+SCALE_BITS = 18             # tables of a size that caches hold
 BLOCK_IDS = 1 << 20         # a block closes at the document that reaches this
 LANES = 1024
 CHECKPOINT_STEPS = 256

@@ -203,8 +203,8 @@ class Pretokens:
         """Which texts have to go through the library whole."""
         if not self.by_pretoken:
             return np.ones(len(texts), bool)
-        unsafe = np.concatenate([[0], np.cumsum(_UNSAFE[data])])
-        out = np.diff(unsafe[off]) > 0
+        out, unsafe = np.zeros(len(texts), bool), np.flatnonzero(_UNSAFE[data])
+        out[np.searchsorted(off, unsafe, side="right") - 1] = True
         for s in self.special:
             out |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         return out
@@ -223,21 +223,33 @@ class Pretokens:
     def _names(self, data, start, end):
         return segment_hash(data, start, end, 0), segment_hash(data, start, end, 1)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, borders): text i has ids[borders[i]:borders[i+1]]."""
-        data, start, end, first, whole = self._cut(texts)
-        h1, h2 = self._names(data, start, end)
+    def _places(self, data, start, end, at, h1, h2) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``known`` of the distinct pre-tokens among those ``at``,
+        the new ones merged and added, and which of them each one is."""
         self.known.shrink()
-        distinct, example, inverse = np.unique(h1, return_index=True, return_inverse=True)
-        place = self.known.find(distinct, h2[example])
+        order = np.argsort(h1)
+        ranked = h1[order]
+        new_run = np.ones(len(order), bool)
+        new_run[1:] = ranked[1:] != ranked[:-1]
+        distinct, example = ranked[new_run], order[new_run]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new_run) - 1
+        second = h2[example]
+        if not (h2 == second[inverse]).all():
+            raise ValueError("two pre-tokens share a 64-bit hash")       # 2**-64 a pair
+        place = self.known.find(distinct, second)
         new = np.flatnonzero(place < 0)
         if len(new):
-            raw = data.tobytes()
-            at = example[new]
-            self.known.add(distinct[new], h2[at], [self._merge(raw[a:b]) for a, b in zip(start[at].tolist(), end[at].tolist())])
-            place = self.known.find(distinct, h2[example])
-        if len(h1) and not (h2 == h2[example][inverse]).all():
-            raise ValueError("two pre-tokens share a 64-bit hash")       # 2**-64 a pair
+            raw, first = data.tobytes(), at[example[new]]
+            self.known.add(distinct[new], second[new],
+                           [self._merge(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist())])
+            place = self.known.find(distinct, second)
+        return place, inverse
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, borders): text i has ids[borders[i]:borders[i+1]]."""
+        data, start, end, first, whole = self._cut(texts)
+        place, inverse = self._places(data, start, end, np.arange(len(start)), *self._names(data, start, end))
         n, at = self.known.n[place][inverse], self.known.at[place][inverse]
         out = np.concatenate([[0], np.cumsum(n)])
         ids = self.known.ids[np.repeat(at - out[:-1], n) + np.arange(out[-1])]
@@ -265,18 +277,7 @@ class Pretokens:
         i = np.minimum(np.searchsorted(p1, h1), len(p1) - 1) if len(p1) else None
         rest = np.flatnonzero((p1[i] != h1) | (p2[i] != h2)) if len(p1) else np.arange(len(h1))
         n = np.ones(len(h1), np.int64)
-        self.known.shrink()
-        distinct, example, inverse = np.unique(h1[rest], return_index=True, return_inverse=True)
-        second = h2[rest][example]
-        place = self.known.find(distinct, second)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            raw = data.tobytes()
-            at = rest[example[new]]
-            self.known.add(distinct[new], second[new], [self._merge(raw[a:b]) for a, b in zip(start[at].tolist(), end[at].tolist())])
-            place = self.known.find(distinct, second)
-        if len(rest) and not (h2[rest] == second[inverse]).all():
-            raise ValueError("two pre-tokens share a 64-bit hash")       # 2**-64 a pair
+        place, inverse = self._places(data, start, end, rest, h1[rest], h2[rest])
         if len(rest):
             n[rest] = self.known.n[place][inverse]
         out = np.diff(np.concatenate([[0], np.cumsum(n)])[first])
