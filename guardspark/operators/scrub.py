@@ -35,6 +35,26 @@ def _java_delete(p: str, category: str) -> str:
 
 
 DELETE_JAVA = [(_java_delete(p, c), c) for p, c in P.SANITIZER_DELETE]
+# Patterns of an opener, a lazy scan and a closer. Without a closer every
+# opener would scan to the end of the text: so one opener without a closer
+# takes all the rest (no later one has a closer either) and puts it back, and
+# counts look at the text up to its last closer only.
+SPANS = {c: p.split(".*?") for p, c in P.SANITIZER_DELETE
+         if c.endswith("_comment") or c in ("bracketed_instruction", "xml_instruction", "code_block_instruction")}
+
+
+def _deletion(jp: str, category: str) -> tuple[str, str]:
+    """(pattern, replacement) that deletes the category's matches in one pass."""
+    if category not in SPANS:
+        return jp, ""
+    return f"{jp}|({SPANS[category][0]}.*)", "$1"
+
+
+def _countable(t: Column, category: str) -> Column:
+    """The part of the text that the category's matches can lie in."""
+    return F.regexp_extract(t, java("^.*", "plain").replace("(?", "(?s", 1) + SPANS[category][1], 0) if category in SPANS else t
+
+
 REDACT_JAVA = [(java(p), r) for p, r in P.SANITIZER_REDACT]
 
 
@@ -43,7 +63,7 @@ def sanitize_text(df: DataFrame, text_col: str, out_col: str = "sanitized") -> D
     markers -> collapse 3+ newlines -> strip. Null and empty stay as they are."""
     stages = ["_sz0"]
     df = df.withColumn("_sz0", normalize_homoglyphs(text_col))
-    steps = [(jp, "") for jp, _ in DELETE_JAVA] + REDACT_JAVA
+    steps = [_deletion(jp, c) for jp, c in DELETE_JAVA] + REDACT_JAVA
     for i, (jp, repl) in enumerate(steps, 1):
         df = df.withColumn(f"_sz{i}", F.expr(f"regexp_replace(_sz{i - 1}, {sql_lit(jp)}, {sql_lit(repl)})"))
         stages.append(f"_sz{i}")
@@ -57,16 +77,16 @@ def sanitize_text(df: DataFrame, text_col: str, out_col: str = "sanitized") -> D
 def sanitize_for_embedding(c) -> Column:
     """Light pass before embedding: homoglyphs, drop HTML and C comments, strip."""
     t = normalize_homoglyphs(c)
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?s)/\*.*?\*/", "")
+    t = F.regexp_replace(t, r"(?s)<!--.*?-->|(<!--.*)", "$1")
+    t = F.regexp_replace(t, r"(?s)/\*.*?\*/|(/\*.*)", "$1")
     return py_strip(t)
 
 
 def _instruction_items(t: Column, samples: int, sample_chars: int) -> Column:
     """ARRAY<STRUCT<category, n_matches, samples>> of the deletion patterns."""
     return F.array(*[F.struct(F.lit(c).alias("category"),
-                              F.regexp_count(t, F.lit(jp)).cast("bigint").alias("n_matches"),
-                              F.transform(F.slice(F.regexp_extract_all(t, F.lit(jp), F.lit(0)), 1, samples),
+                              F.regexp_count(_countable(t, c), F.lit(jp)).cast("bigint").alias("n_matches"),
+                              F.transform(F.slice(F.regexp_extract_all(_countable(t, c), F.lit(jp), F.lit(0)), 1, samples),
                                           lambda m: F.substring(m, 1, sample_chars)).alias("samples"))
                      for jp, c in DELETE_JAVA])
 

@@ -155,3 +155,33 @@ def test_fusion_thresholds(spark):
     st_ = [r.x for r in df.select(SCR.status(SCR.decayed_sum(F.col("s"), SCR.FUSION_WEIGHTS), 0.45, 0.75)
                                   .alias("x")).collect()]
     assert st_ == ["block", "warn", "pass", "block", "pass"]
+
+
+def test_unclosed_openers_are_linear_and_change_nothing(spark):
+    """1 MiB of openers without a closer, for every opener, and openers on
+    both sides of the last closer."""
+    import re
+    import time
+
+    from guardspark.functions import patterns as P
+    from guardspark.operators import scrub as SC
+
+    openers = ["[system]", "<system>", "<!--", "/*", "{#"]        # a code fence closes the one before it
+    long = [(i, o * ((1 << 20) // len(o)) + " tail") for i, o in enumerate(openers)]
+    mixed = [(10, "a [system] x [/system] b [prompt] y [/prompt] c [system] rest"), (11, "<!-- 1 --> k <!-- 2"),
+             (12, "```system\nx``` y ```system\nz"), (13, "/* a */ b */ c /* d"), (14, "--> <!-- x"), (15, "{# a #}{# b")]
+    df = spark.createDataFrame(long + mixed, "id long, text string").repartition(4)
+    t = time.time()
+    got = {r.id: r for r in SC.sanitize_text(df, "text").collect()}
+    seen = SC.detect_instructions(df, ["id"], "text").collect()
+    assert time.time() - t < 60
+    for i, text in long:
+        assert got[i].sanitized == text
+    for i, text in mixed:
+        want = text
+        for p, c in P.SANITIZER_DELETE:
+            if c in SC.SPANS:
+                n = len(re.findall(p, want if want == text else text, re.I | re.S | re.M))
+                assert sum(r.n_matches for r in seen if r.id == i and r.category == c) == n
+            want = re.sub(p, "", want, flags=re.I | re.S | re.M)
+        assert got[i].sanitized == want.strip(), i
