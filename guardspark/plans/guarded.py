@@ -58,12 +58,13 @@ def retrieve_for(prompts: DataFrame, chunks: DataFrame, k: int = P.CHAT_TOP_K,
 
 def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, verdicts: DataFrame | None = None,
                   judge_enabled: bool = False, k: int = P.CHAT_TOP_K, canary_enabled: bool = True,
-                  strict_output: bool = True, embedder=V.HASHED) -> DataFrame:
+                  strict_output: bool = True, embedder=V.HASHED, hits: DataFrame | None = None) -> DataFrame:
     """Guarded answering for a prompt table (``prompt_id, query, system_prompt``).
 
     ``chunks`` needs ``id, source_file, chunk_index, content, vector``;
     ``answers`` holds ``prompt_id, raw_answer``; ``embedder`` is the one that
-    made the chunks' vectors. One output row per prompt.
+    made the chunks' vectors. ``hits``: the prompts' rows of
+    :func:`retrieve_for`, where they are known already. One output row per prompt.
     """
     screened = SCR.screen_prompts(prompts.select("prompt_id", "query", "system_prompt"), "query", "prompt_id",
                                   verdicts=verdicts, judge_enabled=judge_enabled, embedder=embedder)
@@ -73,7 +74,8 @@ def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, ver
     allowed = screened.where(~F.col("blocked"))
 
     # S2-S3: retrieve, then trust on raw text and sanitize per hit.
-    hits = retrieve_for(allowed, chunks, k, embedder=embedder)
+    hits = (retrieve_for(allowed, chunks, k, embedder=embedder) if hits is None
+            else hits.join(allowed.select("prompt_id"), "prompt_id", "left_semi"))
     hits = hits.withColumn("trust_score", SC.trust_score("content", "score"))
     hits = SC.sanitize_text(hits, "content", "sanitized")
     hits = hits.withColumn("was_sanitized", F.col("sanitized") != F.col("content"))
@@ -205,28 +207,38 @@ def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, ver
     return allowed_rows.unionByName(blocked_rows)
 
 
-def unguarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, k: int = P.CHAT_TOP_K) -> DataFrame:
-    """No checks: full context, the caller's (or permissive) system prompt,
-    the raw answer."""
-    hits = retrieve_for(prompts, chunks, k)
+def unguarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, k: int = P.CHAT_TOP_K,
+                    embedder=V.HASHED, hits: DataFrame | None = None) -> DataFrame:
+    """No checks: full context and its sources, the caller's (or permissive)
+    system prompt, the raw answer."""
+    hits = (retrieve_for(prompts, chunks, k, embedder=embedder) if hits is None
+            else hits.join(prompts.select("prompt_id"), "prompt_id", "left_semi"))
     ctx = R.format_context(hits.withColumnRenamed("prompt_id", "query_id"),
                            prompts.select(F.col("prompt_id").alias("query_id")))
-    n = hits.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_sources"))
+    part = F.struct("rank", F.col("source_file").alias("file"), F.col("chunk_index").alias("chunk"), "score",
+                    F.when(F.length("content") > 200, F.concat(F.substring("content", 1, 200), F.lit("...")))
+                     .otherwise(F.col("content")).alias("preview"))
+    n = hits.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_sources"), F.array_sort(F.collect_list(part)).alias("_src")) \
+            .select("prompt_id", "n_sources", F.transform("_src", lambda h: h.dropFields("rank")).alias("sources"))
     p = (prompts.select("prompt_id", "query", "system_prompt")
                 .join(ctx.withColumnRenamed("query_id", "prompt_id"), "prompt_id", "left")
                 .join(n, "prompt_id", "left")
                 .join(answers.select("prompt_id", "raw_answer"), "prompt_id", "left"))
     return p.select("prompt_id", "query", F.lit(False).alias("guardrails_active"), F.lit(False).alias("blocked"),
-                    F.coalesce("n_sources", F.lit(0)).cast("bigint").alias("n_sources"), "context",
+                    F.coalesce("n_sources", F.lit(0)).cast("bigint").alias("n_sources"),
+                    F.coalesce("sources", F.array().cast("array<struct<file:string,chunk:bigint,score:double,preview:string>>"))
+                     .alias("unguarded_sources"), "context",
                     PR.effective_system_prompt(F.lit(False), "system_prompt").alias("effective_system_prompt"),
                     PR.fill(PR.UNGUARDED_TEMPLATE, context="context", query="query").alias("full_prompt"),
                     F.coalesce("raw_answer", F.lit("")).alias("answer"))
 
 
 def route_mode(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, **kw) -> DataFrame:
-    """Guarded rows where ``guardrails`` is true, unguarded elsewhere."""
-    g = guarded_batch(prompts.where(F.col("guardrails")), chunks, answers, **kw)
-    u = unguarded_batch(prompts.where(~F.col("guardrails")), chunks, answers)
+    """Guarded rows where ``guardrails`` is true, unguarded elsewhere; one
+    retrieval serves both."""
+    hits = retrieve_for(prompts, chunks).persist(StorageLevel.MEMORY_AND_DISK)
+    g = guarded_batch(prompts.where(F.col("guardrails")), chunks, answers, hits=hits, **kw)
+    u = unguarded_batch(prompts.where(~F.col("guardrails")), chunks, answers, hits=hits)
     return g.unionByName(u, allowMissingColumns=True)
 
 

@@ -166,7 +166,7 @@ def test_unclosed_openers_are_linear_and_change_nothing(spark):
     from guardspark.functions import patterns as P
     from guardspark.operators import scrub as SC
 
-    openers = ["[system]", "<system>", "<!--", "/*", "{#"]        # a code fence closes the one before it
+    openers = ["[system]", "<system>", "<!--", "/*-", "{#-"]      # a code fence closes the one before it
     long = [(i, o * ((1 << 20) // len(o)) + " tail") for i, o in enumerate(openers)]
     mixed = [(10, "a [system] x [/system] b [prompt] y [/prompt] c [system] rest"), (11, "<!-- 1 --> k <!-- 2"),
              (12, "```system\nx``` y ```system\nz"), (13, "/* a */ b */ c /* d"), (14, "--> <!-- x"), (15, "{# a #}{# b")]
