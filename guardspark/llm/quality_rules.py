@@ -34,6 +34,7 @@ WORD_SEPARATORS = "[ \\t\\n\\x0B\\f\\r]"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
+MIN_DUP_LINES = 5        # a short text may well say a line twice
 SAMPLE_ROWS = 2000
 
 
@@ -107,7 +108,8 @@ RULES = (
          lambda: 2 * F.regexp_count("_t", F.lit("[A-Z]")) > F.col("word_chars"), _chars(1.5)),
     Rule("exclaiming", (WORDS, N_WORDS), lambda: 2 * F.regexp_count("_t", F.lit("!")) > F.col("n_words"), _chars(1)),
     Rule("repeated_lines", (N_DUP_LINES,),
-         lambda: 10 * F.col("n_dup_lines") > 3 * (F.regexp_count("_t", F.lit("\n")) + 1), _chars(1.5)),
+         lambda: (F.col("n_dup_lines") >= MIN_DUP_LINES)
+         & (10 * F.col("n_dup_lines") > 3 * (F.regexp_count("_t", F.lit("\n")) + 1)), _chars(1.5)),
 )
 
 

@@ -57,7 +57,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
             OR NOT (word_chars BETWEEN 2 * n_words AND 15 * n_words)
             OR 2 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > word_chars
             OR 2 * (length(t) - length(replace(t, '!', ''))) > n_words
-            OR 10 * n_dup_lines > 3 * (length(t) - length(replace(t, chr(10), '')) + 1)) AS kept
+            OR (n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * (length(t) - length(replace(t, chr(10), '')) + 1))) AS kept
 FROM f
 """
 

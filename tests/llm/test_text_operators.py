@@ -27,7 +27,7 @@ def py_rules(text):
     n, chars, sym, dup = len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines))
     base = n < 20 or 100 * len(covered) > 30 * n
     bad = (base or 10 * sym > n or not 2 * n <= chars <= 15 * n or 2 * len(re.findall("[A-Z]", t)) > chars
-           or 2 * t.count("!") > n or 10 * dup > 3 * (t.count("\n") + 1))
+           or 2 * t.count("!") > n or dup >= 5 and 10 * dup > 3 * (t.count("\n") + 1))
     return n, chars, sym, dup, len(covered), base, not bad
 
 
