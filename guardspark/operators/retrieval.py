@@ -125,8 +125,9 @@ def _finish(cands: DataFrame, k: int, threshold: float) -> DataFrame:
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold: float = SIMILARITY_THRESHOLD,
                 query_id: str = "query_id", query_vec: str = "vector", corpus_id: str = "id",
                 corpus_vec: str = "vector", shards: int | None = None, query_blocks: int | None = None,
-                payload: list[str] | None = None) -> DataFrame:
-    """Exact top-k neighbours by cosine for every query row.
+                payload: list[str] | None = None, k_col: str | None = None) -> DataFrame:
+    """Exact top-k neighbours by cosine for every query row; ``k_col`` names a
+    query column with its own number of neighbours, up to ``k``.
 
     Returns (query_id, id, rank, score) plus the corpus ``payload`` columns.
     Without ``shards`` and ``query_blocks`` one aggregate counts the rows and
@@ -155,6 +156,9 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold
 
     cands = qs.groupBy("shard", "block").cogroup(cs.groupBy("shard", "block")).applyInArrow(group, CAND_SCHEMA)
     hits = _finish(cands, k, threshold)
+    if k_col is not None:
+        own = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(k_col).cast("int").alias("_k")).distinct()
+        hits = hits.join(own, "query_id").where(F.col("rank") < F.coalesce("_k", F.lit(k))).drop("_k")
     if not payload:
         return hits
     side = (corpus.select(F.col(corpus_id).cast("long").alias("id"), *payload)

@@ -47,6 +47,13 @@ def test_repeated_ids_give_exactly_k_rows(spark):
     assert [(h.id, h.content) for h in hits] == [(5, "a"), (5, "a")]
 
 
+def test_each_query_may_ask_for_its_own_number(spark):
+    corpus = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "id long, v array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0], 2), (2, [1.0, 1.0], 4), (3, [0.0, 1.0], None)], "query_id long, v array<double>, want int")
+    hits = R.cosine_topk(q, corpus, k=5, threshold=-1.0, query_vec="v", corpus_vec="v", k_col="want")
+    assert {r.query_id: r["count"] for r in hits.groupBy("query_id").count().collect()} == {1: 2, 2: 4, 3: 5}
+
+
 def test_kernel_memory_is_one_tile():
     """5,000 queries x 20,000 vectors: the product would take 800 MB."""
     import tracemalloc

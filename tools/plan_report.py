@@ -18,9 +18,7 @@ KEY = [
     ("get_events", "filter pushed into the scan; top-k without a full sort"),
     ("redact_sensitive", "ten regex stages in one codegen stage; no shuffle beyond spreading one split"),
     ("chunk_documents", "Arrow map + generator; no shuffle"),
-    ("cosine_topk", "block matmul in an Arrow map; group-limited window; no cartesian product"),
-    ("retrieve", "hits broadcast against the chunk scan for the payload"),
-    ("guarded_batch", "screened rows cached once; per-prompt windows over bounded hits"),
+    ("cosine_topk", "cogrouped (shard, block) products; group-limited window; no cartesian product"),
 ]
 
 
@@ -43,6 +41,7 @@ def main():
         df = qs[name].build(spark, a.sf)
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = re.split(r"\n.*== Initial Plan ==", plan)[0]
         out += [f"## `{name}` — {why}", "", "```"] + [short(x) for x in plan.splitlines() if x.strip()] + ["```", ""]
         spark.catalog.clearCache()
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as f:
