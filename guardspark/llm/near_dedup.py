@@ -45,7 +45,8 @@ SHINGLE_WORDS = 5
 THRESHOLD_PCT = 75
 COORDINATES = 96
 MATCHES = 48
-LEADER_TURNS = 2        # rounds of leader links on the refined lists before pairs across components
+LIKELY_TURNS = 1        # rounds of likely pairs on the refined lists before all pairs across components
+PARTNERS = 3            # of a list's largest component, for each member outside it
 
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()),
                        T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
@@ -159,43 +160,53 @@ def shingle_postings(members: DataFrame, docs: DataFrame, id_col: str, text_col:
                    .select(F.col("p.key").alias("key"), "rep", "n", (F.col("m") - F.col("pos")).alias("room")))
 
 
-def fine_leader_pairs(fine: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
-    """Each shingle list's members paired with its member of the smallest
-    component, where the two are not in one component yet."""
+def _outside_largest(fine: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the lists that hold several components: the members outside each
+    list's largest one (x...), and all members with ``in_main`` (y...)."""
     m = (fine.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
              .withColumn("comp", F.coalesce("comp", "rep")))
-    lead = F.min(F.struct("comp", "rep", "n", "room")).over(Window.partitionBy("key"))
-    return (m.withColumn("lead", lead).where(F.col("lead.comp") < F.col("comp"))
-             .where(_may_overlap(F.col("lead.n"), F.col("lead.room"), F.col("n"), F.col("room"), pct))
-             .select(F.least("lead.rep", "rep").alias("a"), F.greatest("lead.rep", "rep").alias("b")).distinct())
-
-
-def _may_overlap(n1, room1, n2, room2, pct: int):
-    """Upper bound of the overlap from a common posting on (sets ordered
-    alike share nothing before their first common one) against what the
-    similarity needs: 100 I >= pct (n1 + n2 - I)."""
-    return F.least(room1, room2) * (100 + pct) >= (n1 + n2) * pct
-
-
-def cross_pairs(lists: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
-    """Pairs of list members in different components that may still overlap
-    enough. Only members outside a list's largest component start pairs."""
-    m = (lists.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-              .withColumn("comp", F.coalesce("comp", "rep")))
     per = (m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
             .groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"))
             .where("comps > 1").drop("comps"))
     m = m.join(per, "key")
     x = m.where("comp <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("room").alias("xr"),
-                                          F.col("comp").alias("xc"))
+                                       F.col("comp").alias("xc"))
     y = m.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("room").alias("yr"), F.col("comp").alias("yc"),
                  (F.col("comp") == F.col("main")).alias("in_main"))
+    return x, y
+
+
+def _paired(x: DataFrame, y: DataFrame, pct: int) -> DataFrame:
     return (x.join(y, "key")
              .where((F.col("xc") != F.col("yc")) & (F.col("in_main") | (F.col("x") < F.col("y"))))
              .where(_may_overlap(F.col("xn"), F.col("xr"), F.col("yn"), F.col("yr"), pct))
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
+def likely_pairs(fine: DataFrame, labels: DataFrame, pct: int, partners: int, turn: int) -> DataFrame:
+    """Members outside a list's largest component, each with a few of its
+    members: first those with the most left to share (ties dealt anew per
+    list), in later turns any. A member that one of them joins need not meet
+    the others."""
+    x, y = _outside_largest(fine, labels)
+    best = [F.col("yr").desc()] if turn == 0 else []
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(*best, F.xxhash64(F.lit(turn), "key", "y")))
+    return _paired(x, y.where("in_main").withColumn("nth", nth).where(F.col("nth") <= partners), pct)
+
+
+def _may_overlap(n1, room1, n2, room2, pct: int):
+    """Upper bound of the overlap from a common posting on (sets ordered
+    alike share nothing before their first common one) against what the
+    similarity needs: 100 I >= pct (n1 + n2 - I)."""
+    return F.least(room1, room2) * (100 + pct) >= (n1 + n2) * pct
+
+
+def cross_pairs(fine: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
+    """All pairs of list members in different components that may still
+    overlap enough."""
+    return _paired(*_outside_largest(fine, labels), pct)
+
+
 def count_matches(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     """Pairs whose signatures collide in at least ``matches`` coordinates."""
     sig = classes.select("rep", "sig")
@@ -256,6 +267,20 @@ def components(links: DataFrame, stage: Stage, name: str = "cc") -> DataFrame:
         labels._stage_path = new._stage_path
 
 
+def extended(labels: DataFrame, links: DataFrame, stage: Stage) -> DataFrame:
+    """Labels after further links: only the components that these join are
+    worked out, on a graph whose nodes are the components so far."""
+    def side(c):
+        return labels.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
+
+    nodes = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    between = (links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+                    .select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
+    joined = components(between, stage, "joined").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    known = labels.unionByName(nodes.join(labels, "id", "left_anti").select("id", F.col("id").alias("comp")))
+    return stage.put(known.join(joined, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
                     pct: int = THRESHOLD_PCT, coords: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
@@ -276,20 +301,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links, stage, "cc")
     split = stage.put(multi_component_members(lists, labels), "split")
     fine = stage.put(shingle_postings(split, docs, id_col, text_col, k, pct), "fine-lists")
-    for turn in range(LEADER_TURNS):
-        pairs = stage.put(fine_leader_pairs(fine, labels, pct).join(tested, ["a", "b"], "left_anti"), f"leaders-{turn}")
+    for turn in range(LIKELY_TURNS):
+        pairs = stage.put(likely_pairs(fine, labels, pct, PARTNERS, turn).join(tested, ["a", "b"], "left_anti"), f"likely-{turn}")
         if pairs.isEmpty():
             break
         more = found(pairs)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links, stage, "cc")
+            labels = extended(labels, more, stage)
         tested = tested.unionByName(pairs)
     rest = stage.put(cross_pairs(fine, labels, pct).join(tested, ["a", "b"], "left_anti"), "cross-pairs")
     if not rest.isEmpty():
         more = found(rest)
         if not more.isEmpty():
-            labels = components(links.unionByName(more), stage, "cc")
+            labels = extended(labels, more, stage)
     comp = (classes.select("k1", "k2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
                    .select("k1", "k2", F.coalesce("comp", "rep").alias("component_id")))
     rows = (signed.where("n > 0").select("doc_id", "n", "k1", "k2").join(comp, ["k1", "k2"])
