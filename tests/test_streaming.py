@@ -33,7 +33,8 @@ def _event(hour, i):
 def test_rows_behind_the_watermark_are_counted_as_late(spark):
     d = _tmp()
     schema = "timestamp timestamp, action_taken string, threat_level double"
-    for hour in (0, 1, 0, 9, 2, 10):               # hour 2 comes after hour 9: later than the watermark
+    # Hour 2 comes two batches after hour 9: a batch judges by the watermark of the one before it.
+    for hour in (0, 1, 0, 9, 10, 2):
         spark.createDataFrame([_event(hour, i) for i in range(5)], schema).coalesce(1).write.mode("append").parquet(f"{d}/in")
     q = ST.stream_timeline(ST.stream_events(spark, f"{d}/in", spark.read.parquet(f"{d}/in").schema), f"{d}/out", f"{d}/ckpt")
     assert ST.data_batches(q) >= 6
