@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (cover_tree, language_mix, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, token_codec,
-               token_counts)
+from . import (cover_tree, fm_index, language_mix, line_dedup, mixing, near_dedup, nra_search, packing, quality_model,
+               quality_rules, token_codec, token_counts, whitening)
 from .common import Stage, at_least_slots, documents
 
 QUERIES: dict = {}
@@ -177,3 +177,67 @@ def op7(spark, sf_dir):
     df = mixing.mix(documents(spark, sf_dir), mixing_levels(), mixing.word_tokens(F.col("text")))
     return df.select("_row.doc_id", F.col("path")[0].alias("domain"), F.col("path")[1].alias("lang"),
                      F.col("path")[2].alias("source"), "n_tokens", "epoch")
+
+
+def _terms_sql(table: str, key: str) -> str:
+    """(key, w): the terms of every text, as a list."""
+    return (f"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w " f"FROM {table}")
+
+
+_NRA_SQL = f"""
+WITH d AS ({_terms_sql("documents", "doc_id")}),
+i AS ({_terms_sql("benchmark", "item_id")}),
+total AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d),
+asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(w) AS t FROM i) GROUP BY 1, 2),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY 1, 2, 3),
+weight AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, total WHERE t IN (SELECT t FROM asked) GROUP BY t, big_n),
+scored AS (
+  SELECT item_id, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * big_n) // big_l)))) AS score
+  FROM asked JOIN weight USING (t) JOIN tf USING (t), total GROUP BY 1, 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op11_nra_search", _NRA_SQL)
+def op11(spark, sf_dir):
+    return nra_search.ranked_search(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf_dir):
+    return whitening.whiten(at_least_slots(read_table(spark, sf_dir, "embeddings")))
+
+
+_FM_SQL = f"""
+WITH d AS ({_terms_sql("documents", "doc_id")}),
+i AS ({_terms_sql("benchmark", "item_id")}),
+win AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[p:p + m - 1], ' ') AS g
+  FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS p
+        FROM (SELECT item_id, w, least(10, len(w)) AS m FROM i WHERE len(w) > 0 AND item_id IS NOT NULL))),
+spot AS (
+  SELECT doc_id, p, m, array_to_string(w[p:p + m - 1], ' ') AS g
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p
+        FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
+hit AS (SELECT DISTINCT doc_id, p, m, item_id FROM spot JOIN win USING (m, g)),
+words AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + m)) AS x FROM hit) GROUP BY 1),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
+"""
+
+
+@query("op13_fm_index_decontamination", _FM_SQL)
+def op13(spark, sf_dir):
+    df = fm_index.contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+    return df.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

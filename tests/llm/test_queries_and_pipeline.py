@@ -24,7 +24,7 @@ def test_query_matches_sql(spark, name):
 def test_one_query_per_operator_and_the_pipeline():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and set(QUERIES) <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_matches_plain_python(spark):
