@@ -1,19 +1,18 @@
 """Exact cosine top-k retrieval and context assembly.
 
-Top-k is exact brute force, like a flat inner-product index, but no pair of
-(query, vector) ever becomes a row and nothing passes through the driver.
-One plan at every size: corpus rows are hashed into shards and queries into
-blocks, each (shard, block) group is one cogrouped task, and only its k best
-candidates per query go on. Shards and blocks hold about GROUP_BYTES of
-vectors each (from the row counts and the vector width, or as the caller
-says), and inside a task the product is formed in tiles, so that memory is
-bounded by the two inputs of the task and one tile.
-
-``tasks x queries x k`` candidates are shuffled at most, and a per-query
-``row_number`` (planned as a WindowGroupLimit) picks the global top-k. Ties
-break on the smaller corpus id. Scores are ``dot / sqrt(|q|^2 |c|^2)`` in
-float64; for integer count vectors this is exact and identical in every
-engine.
+Top-k is exact, like a flat inner-product index, but no pair of (query,
+vector) ever becomes a row, no side is broadcast and nothing passes through
+the driver. One plan at every size: corpus rows are hashed into shards of
+about GROUP_BYTES of vectors (as many as there are task slots where rows
+suffice), each of them is sent once whatever the number of queries, and
+queries go to every shard. A task reads its shard, sorts the rows into blocks
+with inverted lists of block maxima, and streams the queries through in tiles
+(:mod:`pruned_topk`): memory is the shard and one tile.
+
+Only the k best per query and shard go on, and a per-query ``row_number``
+(planned as a WindowGroupLimit) picks the global top-k. Ties break on the
+smaller corpus id. Scores are ``dot / sqrt(|q|^2 |c|^2)`` in float64; for
+integer count vectors this is exact and identical in every engine.
 """
 from __future__ import annotations
 
@@ -24,78 +23,12 @@ from pyspark.sql import types as T
 
 from ..functions.patterns import NO_CONTEXT, SIMILARITY_THRESHOLD, TOP_K
 from ..functions.text import preview
+from . import pruned_topk as PT
 
 CAND_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()),
                             T.StructField("score", T.DoubleType())])
-GROUP_BYTES = 32 << 20           # of vectors, per side of a (shard, block) group
-TILE_QUERIES, TILE_ROWS = 1024, 4096
-
-
-def _ordered_topk(ids: np.ndarray, scores: np.ndarray, k: int):
-    """Per row of ``scores`` (queries x candidates), the k best columns by
-    (score desc, id asc): returns (ids, scores), each queries x kk.
-
-    Exact without sorting whole rows: the k-th best score splits the
-    columns into sure winners (strictly better) and ties, and ties are
-    taken in id order (``ids`` must be ascending).
-    """
-    q, c = scores.shape
-    kk = min(k, c)
-    if kk == 0:
-        return np.zeros((q, 0), dtype=np.int64), np.zeros((q, 0))
-    if kk < c:
-        kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
-        better = scores > kth[:, None]
-        tied = scores == kth[:, None]
-        need = kk - better.sum(axis=1)
-        take = better | (tied & (np.cumsum(tied, axis=1) <= need[:, None]))
-        cols = np.nonzero(take)[1].reshape(q, kk)
-    else:
-        cols = np.broadcast_to(np.arange(c), (q, c))
-    sel_ids, sel_sc = ids[cols], np.take_along_axis(scores, cols, axis=1)
-    order = np.lexsort((sel_ids, -sel_sc), axis=1)
-    return np.take_along_axis(sel_ids, order, axis=1), np.take_along_axis(sel_sc, order, axis=1)
-
-
-def _scores(qm: np.ndarray, qn: np.ndarray, cm: np.ndarray, cn: np.ndarray) -> np.ndarray:
-    """Cosines of one tile; ``qn``, ``cn``: squared norms."""
-    dots = qm @ cm.T
-    for i in range(len(qm)):                 # row by row: no second matrix of the tile's size
-        den = np.sqrt(qn[i] * cn)
-        np.divide(dots[i], den, out=dots[i], where=den > 0)
-        dots[i][den <= 0] = 0.0
-    return dots
-
-
-class _RunningTopK:
-    """Best k corpus ids per query over successive corpus blocks."""
-
-    def __init__(self, qids: np.ndarray, qm: np.ndarray, k: int):
-        self.qids, self.qm, self.k = qids, qm, k
-        self.qn = np.einsum("ij,ij->i", qm, qm) if qm.size else np.zeros(len(qids))
-        self.ids = np.zeros((len(qids), 0), dtype=np.int64)
-        self.sc = np.zeros((len(qids), 0), dtype=np.float64)
-
-    def add(self, cids: np.ndarray, cm: np.ndarray):
-        if len(cids) == 0 or len(self.qids) == 0:
-            return
-        by_id = np.argsort(cids, kind="stable")
-        cids, cm = cids[by_id], cm[by_id]
-        cn = np.einsum("ij,ij->i", cm, cm)
-        for c in range(0, len(cids), TILE_ROWS):
-            rows = slice(c, c + TILE_ROWS)
-            best = [_ordered_topk(cids[rows], _scores(self.qm[q:q + TILE_QUERIES], self.qn[q:q + TILE_QUERIES], cm[rows], cn[rows]), self.k)
-                    for q in range(0, len(self.qids), TILE_QUERIES)]
-            ids = np.concatenate([self.ids, np.concatenate([b[0] for b in best])], axis=1)
-            sc = np.concatenate([self.sc, np.concatenate([b[1] for b in best])], axis=1)
-            order = np.lexsort((ids, -sc), axis=1)[:, :self.k]
-            self.ids, self.sc = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sc, order, axis=1)
-
-    def table(self):
-        import pyarrow as pa
-        kk = self.ids.shape[1]
-        return pa.table({"query_id": pa.array(np.repeat(self.qids, kk), pa.int64()),
-                         "id": pa.array(self.ids.reshape(-1), pa.int64()), "score": pa.array(self.sc.reshape(-1), pa.float64())})
+GROUP_BYTES = 32 << 20           # of vectors in a shard
+SHARD_ROWS = 2048                # at least, where more shards would only serve more task slots
 
 
 def _arrow_matrix(col) -> np.ndarray:
@@ -122,40 +55,87 @@ def _finish(cands: DataFrame, k: int, threshold: float) -> DataFrame:
                  .select("query_id", "id", (F.col("_rn") - 1).cast("bigint").alias("rank"), "score"))
 
 
+def _vector_type(*sides: DataFrame) -> str:
+    """Vectors travel as they are where both sides agree, else as doubles."""
+    kinds = {df.schema["v"].dataType.simpleString() for df in sides}
+    return kinds.pop() if len(kinds) == 1 and kinds <= {"array<int>", "array<float>"} else "array<double>"
+
+
+def _shards(vectors: DataFrame) -> int:
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    slots = vectors.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n * 8 * (width or 1) // GROUP_BYTES), min(slots, n // SHARD_ROWS))
+
+
+def _segments(batch):
+    """(kind, lo, hi) runs of a batch sorted by kind."""
+    kind = batch.column("kind").to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
+    return [(int(kind[lo]), lo, hi) for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
+
+
+def _shard_search(k: int, floor: float):
+    """Task of one shard: its corpus rows come first, then the queries."""
+    import pyarrow as pa
+
+    def hits(shard, ids, vectors):
+        q, c, s = shard.search(vectors, k, floor)
+        return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())],
+                                          names=CAND_SCHEMA.fieldNames())
+
+    def joined(parts):
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def run(batches):
+        corpus, queries, waiting, shard = [], [], 0, None
+        for b in batches:
+            for kind, lo, hi in _segments(b):
+                part = b.slice(lo, hi - lo)
+                rows = (part.column("id").to_numpy(), _arrow_matrix(part.column("v")))
+                if kind == 0:
+                    corpus.append(rows)
+                    continue
+                if shard is None:
+                    if not corpus:
+                        return
+                    shard = PT.Shard(*joined(corpus))
+                    corpus = []
+                queries.append(rows)
+                waiting += hi - lo
+                if waiting >= PT.TILE_QUERIES:
+                    ids, m = joined(queries)
+                    for t in range(0, len(ids) - PT.TILE_QUERIES + 1, PT.TILE_QUERIES):
+                        yield hits(shard, ids[t:t + PT.TILE_QUERIES], m[t:t + PT.TILE_QUERIES])
+                    rest = len(ids) - len(ids) % PT.TILE_QUERIES
+                    queries, waiting = [(ids[rest:], m[rest:])], len(ids) - rest
+        if shard is not None and waiting:
+            yield hits(shard, *joined(queries))
+
+    return run
+
+
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold: float = SIMILARITY_THRESHOLD,
                 query_id: str = "query_id", query_vec: str = "vector", corpus_id: str = "id",
-                corpus_vec: str = "vector", shards: int | None = None, query_blocks: int | None = None,
-                payload: list[str] | None = None, k_col: str | None = None) -> DataFrame:
+                corpus_vec: str = "vector", shards: int | None = None, payload: list[str] | None = None,
+                k_col: str | None = None) -> DataFrame:
     """Exact top-k neighbours by cosine for every query row; ``k_col`` names a
-    query column with its own number of neighbours, up to ``k``.
+    query column with its own number of neighbours, up to ``k`` (null: ``k``).
 
     Returns (query_id, id, rank, score) plus the corpus ``payload`` columns.
-    Without ``shards`` and ``query_blocks`` one aggregate counts the rows and
-    the widest vector of each side. Rows without a vector take no part.
-    Corpus rows that repeat an id each count as a neighbour (a re-ingested
-    chunk is found twice); they share one of their payloads, so a query never
-    gets more than k rows.
+    Without ``shards`` one aggregate counts the corpus rows and the widest
+    vector. Rows without an id or a vector take no part. Corpus rows that
+    repeat an id each count as a neighbour (a re-ingested chunk is found
+    twice); they share one of their payloads, so a query never gets more than
+    k rows.
     """
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).cast("array<double>").alias("v")) \
-               .where(F.col("v").isNotNull())
-    c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).cast("array<double>").alias("v")) \
-              .where(F.col("v").isNotNull())
-    s = _groups(c) if shards is None else max(1, shards)
-    b = _groups(q) if query_blocks is None else max(1, query_blocks)
-    # Each corpus row goes to one shard and every query block; each query to
-    # one block and every shard (a generator, not a join).
-    cs = (c.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(s)).cast("int"))
-           .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))))
-    qs = (q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(b)).cast("int"))
-           .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(s - 1)))))
-
-    def group(qt, ct):
-        run = _RunningTopK(qt.column("query_id").to_numpy(), _arrow_matrix(qt.column("v")), k)
-        run.add(ct.column("id").to_numpy(), _arrow_matrix(ct.column("v")))
-        return run.table()
-
-    cands = qs.groupBy("shard", "block").cogroup(cs.groupBy("shard", "block")).applyInArrow(group, CAND_SCHEMA)
-    hits = _finish(cands, k, threshold)
+    q = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).alias("v")).where("v is not null and id is not null")
+    c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).alias("v")).where("v is not null and id is not null")
+    kind = _vector_type(q, c)
+    s = _shards(c) if shards is None else max(1, shards)
+    rows = (c.select(F.pmod(F.xxhash64("id", "v"), F.lit(s)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", F.col("v").cast(kind))
+             .unionByName(q.select(F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("shard"), F.lit(1).alias("kind"), "id", F.col("v").cast(kind))))
+    dealt = rows.repartitionById(s, F.col("shard")).sortWithinPartitions("kind")
+    hits = _finish(dealt.select("kind", "id", "v").mapInArrow(_shard_search(k, threshold), CAND_SCHEMA), k, threshold)
     if k_col is not None:
         own = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(k_col).cast("int").alias("_k")).distinct()
         hits = hits.join(own, "query_id").where(F.col("rank") < F.coalesce("_k", F.lit(k))).drop("_k")
@@ -166,17 +146,6 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold
     return hits.join(side, "id").select("query_id", "id", "rank", "score", *payload)
 
 
-def _groups(vectors: DataFrame) -> int:
-    """How many groups of about GROUP_BYTES the vectors make."""
-    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    return max(1, -(-n * 8 * (width or 1) // GROUP_BYTES))
-
-
-def attach_chunks(hits: DataFrame, chunks: DataFrame, chunk_cols: list[str]) -> DataFrame:
-    """Equi-join hits to chunk columns by id."""
-    return hits.join(chunks.select("id", *chunk_cols), "id")
-
-
 def format_context(hits: DataFrame, queries: DataFrame, key: str = "query_id", max_length: int | None = None,
                    source_col: str = "source_file", index_col: str = "chunk_index",
                    content_col: str = "content") -> DataFrame:

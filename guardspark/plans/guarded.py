@@ -28,6 +28,7 @@ from ..operators import prompts as PR
 from ..operators import retrieval as R
 from ..operators import scrub as SC
 from ..operators import screen as SCR
+from ..sources.chunk_table import provenance
 
 STEP_T = "struct<stage:string,layer:string,status:string,score:double,detail:string,category:string>"
 LOG_T = "struct<stage:string,action:string,reason:string,threat_level:double,source:string,chunk:bigint>"
@@ -47,25 +48,36 @@ def _log(stage, action, reason=None, threat=None, source=None, chunk=None) -> F.
 
 
 def retrieve_for(prompts: DataFrame, chunks: DataFrame, k: int = P.CHAT_TOP_K,
-                 threshold: float = P.SIMILARITY_THRESHOLD, embedder=V.HASHED) -> DataFrame:
-    """Hits of each prompt: (prompt_id, id, rank, score, source_file, chunk_index, content)."""
+                 threshold: float = P.SIMILARITY_THRESHOLD, embedder=V.HASHED, k_col: str | None = None) -> DataFrame:
+    """Hits of each prompt: (prompt_id, id, rank, score, source_file, chunk_index, content),
+    and the chunks' ``metadata`` where they have it. ``k_col`` names a column
+    with each prompt's own number of hits (null: ``k``); one aggregate finds
+    the highest."""
     pv = prompts.select("prompt_id", embedder.column("query").alias("vector"))
-    hits = R.cosine_topk(pv, chunks, k=k, threshold=threshold, query_id="prompt_id", query_vec="vector",
-                         corpus_id="id", corpus_vec="vector",
-                         payload=["source_file", "chunk_index", "content"])
+    if k_col is not None:
+        own = F.greatest(F.coalesce(F.col(k_col).cast("int"), F.lit(k)), F.lit(0))
+        k = prompts.agg(F.max(own)).first()[0] or 0
+        pv = prompts.select("prompt_id", own.alias("_k"), embedder.column("query").alias("vector"))
+    hits = R.cosine_topk(pv, chunks, k=max(k, 1), threshold=threshold, query_id="prompt_id", query_vec="vector",
+                         corpus_id="id", corpus_vec="vector", k_col=None if k_col is None else "_k",
+                         payload=["source_file", "chunk_index", "content"] + [c for c in ("metadata",) if c in chunks.columns])
     return hits.withColumnRenamed("query_id", "prompt_id")
 
 
 def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, verdicts: DataFrame | None = None,
                   judge_enabled: bool = False, k: int = P.CHAT_TOP_K, canary_enabled: bool = True,
-                  strict_output: bool = True, embedder=V.HASHED, hits: DataFrame | None = None) -> DataFrame:
+                  strict_output: bool = True, embedder=V.HASHED, hits: DataFrame | None = None,
+                  k_col: str | None = None, as_of: str | None = None) -> DataFrame:
     """Guarded answering for a prompt table (``prompt_id, query, system_prompt``).
 
-    ``chunks`` needs ``id, source_file, chunk_index, content, vector``;
-    ``answers`` holds ``prompt_id, raw_answer``; ``embedder`` is the one that
-    made the chunks' vectors. ``hits``: the prompts' rows of
-    :func:`retrieve_for`, where they are known already. One output row per prompt.
+    ``chunks`` needs ``id, source_file, chunk_index, content, vector``; where
+    it has ``metadata``, provenance counts towards trust (:func:`provenance`,
+    with ``as_of``). ``answers`` holds ``prompt_id, raw_answer``; ``embedder``
+    is the one that made the chunks' vectors; ``k_col`` as in
+    :func:`retrieve_for`. ``hits``: the prompts' rows of :func:`retrieve_for`,
+    where they are known already. One output row per prompt.
     """
+    own_k = [] if k_col is None else [k_col]
     screened = SCR.screen_prompts(prompts.select("prompt_id", "query", "system_prompt"), "query", "prompt_id",
                                   verdicts=verdicts, judge_enabled=judge_enabled, embedder=embedder)
     screened = (screened.select("prompt_id", "query", "system_prompt", "blocked", "decision", "threat_level",
@@ -74,9 +86,13 @@ def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, ver
     allowed = screened.where(~F.col("blocked"))
 
     # S2-S3: retrieve, then trust on raw text and sanitize per hit.
-    hits = (retrieve_for(allowed, chunks, k, embedder=embedder) if hits is None
+    asking = allowed if k_col is None else allowed.join(prompts.select("prompt_id", *own_k), "prompt_id")
+    hits = (retrieve_for(asking, chunks, k, embedder=embedder, k_col=k_col) if hits is None
             else hits.join(allowed.select("prompt_id"), "prompt_id", "left_semi"))
-    hits = hits.withColumn("trust_score", SC.trust_score("content", "score"))
+    if "metadata" in hits.columns:
+        hits = provenance(hits, as_of).withColumn("trust_score", SC.trust_score("content", "score", "verified", "fresh"))
+    else:
+        hits = hits.withColumn("trust_score", SC.trust_score("content", "score"))
     hits = SC.sanitize_text(hits, "content", "sanitized")
     hits = hits.withColumn("was_sanitized", F.col("sanitized") != F.col("content"))
 
@@ -208,10 +224,10 @@ def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, ver
 
 
 def unguarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, k: int = P.CHAT_TOP_K,
-                    embedder=V.HASHED, hits: DataFrame | None = None) -> DataFrame:
+                    embedder=V.HASHED, hits: DataFrame | None = None, k_col: str | None = None) -> DataFrame:
     """No checks: full context and its sources, the caller's (or permissive)
     system prompt, the raw answer."""
-    hits = (retrieve_for(prompts, chunks, k, embedder=embedder) if hits is None
+    hits = (retrieve_for(prompts, chunks, k, embedder=embedder, k_col=k_col) if hits is None
             else hits.join(prompts.select("prompt_id"), "prompt_id", "left_semi"))
     ctx = R.format_context(hits.withColumnRenamed("prompt_id", "query_id"),
                            prompts.select(F.col("prompt_id").alias("query_id")))
@@ -236,7 +252,7 @@ def unguarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, k
 def route_mode(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, **kw) -> DataFrame:
     """Guarded rows where ``guardrails`` is true, unguarded elsewhere; one
     retrieval serves both."""
-    hits = retrieve_for(prompts, chunks).persist(StorageLevel.MEMORY_AND_DISK)
+    hits = retrieve_for(prompts, chunks, k_col=kw.get("k_col")).persist(StorageLevel.MEMORY_AND_DISK)
     g = guarded_batch(prompts.where(F.col("guardrails")), chunks, answers, hits=hits, **kw)
     u = unguarded_batch(prompts.where(~F.col("guardrails")), chunks, answers, hits=hits)
     return g.unionByName(u, allowMissingColumns=True)

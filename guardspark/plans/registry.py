@@ -36,5 +36,5 @@ def load_all() -> dict[str, Query]:
     """Import every query module (registration happens on import)."""
     from . import (event_queries, guard_queries, output_queries, retrieval_queries,  # noqa: F401
                    screen_queries, scrub_queries, text_queries)
-    from . import io_queries, stream_queries  # noqa: F401  (reuse batch oracles)
+    from . import chunk_queries, file_queries, io_queries, stream_queries  # noqa: F401  (reuse batch oracles)
     return QUERIES

@@ -164,12 +164,15 @@ def sanitize(x: str) -> str:
     return f"CASE WHEN {x} IS NULL OR {x} = '' THEN {x} ELSE {py_strip(t)} END"
 
 
-def trust(x: str, r: str = "0.5") -> str:
+def trust(x: str, r: str = "0.5", more: tuple[str, ...] = ()) -> str:
+    """``more``: further terms, added last."""
     from ..functions.patterns import TRUST_NEGATIVE, TRUST_POSITIVE
     t = f"(0.7 + ({r} - 0.5) * 0.3)"
     for p, d, _ in TRUST_NEGATIVE + TRUST_POSITIVE:
         t = f"({t} + CASE WHEN {matches(x, re2(p))} THEN {d!r} ELSE 0.0 END)"
     t = (f"({t} + CASE WHEN length({x}) < 50 THEN -0.1 WHEN length({x}) > 2000 THEN -0.05 ELSE 0.0 END)")
+    for term in more:
+        t = f"({t} + {term})"
     return f"greatest(0.0, least(1.0, {t}))"
 
 

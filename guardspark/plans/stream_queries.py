@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit as A
 from ..sources import fixtures as FX
 from ..sources.fixtures import audit_events
 from ..streaming import streams as ST
@@ -48,10 +47,10 @@ def stream_kpis_q(spark, sf):
 
 @register("stream_high_threat", _same_oracle("recent_high_threat"))
 def stream_high_threat_q(spark, sf):
-    """Alert feed appended by a stream; the panel shows its newest eight."""
+    """Panel of the newest eight alerts, kept by a stream."""
     d, s = _landed_events(spark, sf, "alerts")
     ST.stream_high_threat(s, f"{d}/out", f"{d}/ckpt")
-    return A.recent_high_threat(spark.read.parquet(f"{d}/out"))
+    return ST.read_high_threat(spark, f"{d}/out")
 
 
 @register("stream_screen", _same_oracle("screen_prompts"))
@@ -73,6 +72,28 @@ def stream_events_q(spark, sf):
         "prompt_id", "event_type", F.array_join("categories", ",").alias("categories"), "threat_level", "action_taken")
 
 
+@register("stream_events_once", _same_oracle("stream_events"))
+def stream_events_once_q(spark, sf):
+    """Events of blocked prompts when every prompt lands three times: twice
+    before the stream starts, and once more before it restarts from its
+    checkpoint. Each prompt gives one event."""
+    d = ST.work_dir(spark, "once")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("conv_id", F.lit(7200)) * 60 + F.pmod("turn", F.lit(60)))
+    p = FX.prompts(spark, sf).select("prompt_id", "query", at.alias("timestamp"))
+    files = ST.land(p.unionByName(p), f"{d}/in/first")
+    schema = spark.read.parquet(f"{d}/in/first").schema
+
+    def screen():
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{d}/in")
+        ST.stream_screen(ST.once_per_prompt(s).drop("timestamp"), f"{d}/out", f"{d}/ckpt", f"{d}/events")
+
+    screen()
+    ST.land(p, f"{d}/in/second")
+    screen()
+    return spark.read.parquet(f"{d}/events").select(
+        "prompt_id", "event_type", F.array_join("categories", ",").alias("categories"), "threat_level", "action_taken")
+
+
 @register("stream_redact", _same_oracle("check_outputs"))
 def stream_redact_q(spark, sf):
     """Answers scanned and redacted in flight."""

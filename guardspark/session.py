@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -64,6 +65,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/guardspark-{name}-{uuid.uuid4().hex[:12]}"
+
+
 _SHIPPED: set = set()
 
 

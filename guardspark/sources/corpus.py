@@ -16,6 +16,7 @@ from ..functions.patterns import MAX_FILE_BYTES, TEXT_SUFFIXES
 from ..functions.text import clean_text, pair_id
 from ..functions.vectors import HASHED
 from ..operators.chunking import chunk_documents
+from .chunk_table import metadata_map
 
 
 def _case_glob(suffix: str) -> str:
@@ -42,6 +43,22 @@ def rejected_files(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES, max_b
             .select("path", "source_file", "length", F.format_string("larger than %d bytes", F.lit(max_bytes)).alias("reason")))
 
 
+def scan_with_rejects(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) files under ``path``, from one listing of all of
+    them: text files of at most ``max_bytes`` with their content, and every
+    other file with the reason (its content is not read). Empty files hold no
+    text and are not listed."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                   .withColumn("source_file", F.element_at(F.split("path", "/"), -1)))
+    name = F.lower("source_file")
+    suffix = F.when(F.contains(name, F.lit(".")), F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1))).otherwise(F.lit(""))
+    reason = (F.when(~suffix.isin(*suffixes), F.format_string('unsupported type "%s"', suffix))
+               .when(F.col("length") > max_bytes, F.format_string("larger than %d bytes", F.lit(max_bytes))))
+    files = listed.withColumn("reason", reason)
+    return (files.where("reason is null").select("path", "source_file", "length", "content"),
+            files.where("reason is not null").select("path", "source_file", "length", "reason"))
+
+
 def decode_text(df: DataFrame, content_col: str = "content", out_col: str = "text",
                 fallback_charset: str | None = None) -> DataFrame:
     """Bytes to text: UTF-16 by byte-order mark, UTF-8 (BOM dropped) when
@@ -69,15 +86,18 @@ def decode_text(df: DataFrame, content_col: str = "content", out_col: str = "tex
 
 
 def ingest_corpus(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text",
-                  source_col: str = "source_file", embedder=HASHED) -> DataFrame:
+                  source_col: str = "source_file", embedder=HASHED, metadata_cols: list[str] | None = None) -> DataFrame:
     """Clean, chunk and embed documents into chunk-table rows (blank
-    documents produce no rows)."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source_col).alias("source_file"),
+    documents produce no rows). With ``metadata_cols`` every chunk carries
+    those columns of its document as a ``metadata`` map."""
+    extra = [] if metadata_cols is None else [metadata_map(metadata_cols).alias("metadata")]
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source_col).alias("source_file"), *extra,
                     clean_text(text_col).alias("text"))
-    ch = chunk_documents(d, "text", ["doc_id", "source_file"])
+    kept = ["doc_id", "source_file"] + ["metadata"] * len(extra)
+    ch = chunk_documents(d, "text", kept)
     return (ch.withColumn("id", pair_id("doc_id", "chunk_index"))
               .withColumn("vector", embedder.column("content"))
-              .select("id", "doc_id", "source_file", "chunk_index", "start_index", "end_index", "content", "vector"))
+              .select("id", *kept, "chunk_index", "start_index", "end_index", "content", "vector"))
 
 
 def save_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -98,10 +118,12 @@ def append_chunks(chunks: DataFrame, path: str) -> None:
 
 def delete_by_source(spark: SparkSession, path: str, source_file: str, out_path: str) -> int:
     """Write the table without ``source_file`` to ``out_path``; return the
-    number of rows removed. The caller swaps paths."""
+    number of rows removed (rows without a source stay). The caller swaps
+    paths; :func:`chunk_table.delete_sources` deletes in place."""
     t = load_chunks(spark, path)
-    removed = t.where(F.col("source_file") == source_file).count()
-    t.where(F.col("source_file") != source_file).write.mode("overwrite").parquet(out_path)
+    gone = F.col("source_file").eqNullSafe(F.lit(source_file))
+    removed = t.where(gone).count()
+    t.where(~gone).write.mode("overwrite").parquet(out_path)
     return removed
 
 

@@ -55,6 +55,33 @@ def load_events(spark: SparkSession, path: str, fmt: str = "parquet", json_array
     return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 
+FOREIGN_SCHEMA = T.StructType([T.StructField("details", T.VariantType()) if f.name == "details" else f for f in STORED_SCHEMA.fields])
+
+
+def load_foreign_events(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of another service's log: ``details`` may hold any fields of
+    any type and stays as it is, a VARIANT (null where it is not JSON);
+    malformed records land in ``_corrupt_record``."""
+    fields = [T.StructField("details", T.StringType()) if f.name == "details" else f for f in EVENT_SCHEMA.fields]
+    raw = (spark.read.schema(T.StructType([*fields, T.StructField("_corrupt_record", T.StringType())]))
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    return raw.withColumn("details", F.try_parse_json("details"))
+
+
+def append_foreign_events(events: DataFrame, path: str) -> None:
+    """Append events with VARIANT details to a date-partitioned log."""
+    _clustered(prepare_events(events)).write.mode("append").partitionBy("event_date").parquet(path)
+
+
+def load_foreign_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FOREIGN_SCHEMA).parquet(path)
+
+
+def _clustered(events: DataFrame) -> DataFrame:
+    """By date, so that a day's rows come from few tasks."""
+    return events.repartition("event_date", F.pmod(F.xxhash64("session_id", "timestamp"), F.lit(8)))
+
+
 def prepare_events(events: DataFrame) -> DataFrame:
     """Stamp missing times, cut ``input_text`` to 500 chars, default the
     threat level and action, and add the ``event_date`` partition column."""
@@ -76,7 +103,7 @@ def full_details(events: DataFrame) -> DataFrame:
 def append_events(events: DataFrame, path: str) -> None:
     """Append to the date-partitioned log, clustered by date so that a day's
     rows come from few tasks (AQE splits a large day again)."""
-    prepare_events(full_details(events)).repartition("event_date", F.pmod(F.xxhash64("session_id", "timestamp"), F.lit(8))).write.mode("append").partitionBy("event_date").parquet(path)
+    _clustered(prepare_events(full_details(events))).write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def export_events(events: DataFrame, path: str) -> None:

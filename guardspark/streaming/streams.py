@@ -12,22 +12,15 @@ a cluster points at shared storage.
 """
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.patterns import EVENT_TEXT_CHARS, HIGH_THREAT
 from ..operators import audit as A
 from ..operators import output_scan as OS
 from ..operators import screen as SCR
-from ..session import ensure_checkpoint_dir
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/guardspark-{name}-{uuid.uuid4().hex[:12]}"
+from ..session import work_dir  # noqa: F401  (callers take it from here)
 
 
 ROWS_PER_FILE = 100_000
@@ -39,23 +32,33 @@ def land(df: DataFrame, path: str, order_col: str | None = None, rows_per_file:
     return how many files a micro-batch of one slice has.
 
     The file count follows the rows. With ``order_col`` the slices are
-    consecutive ranges of it, written one after the other (sources take files
-    by age, and rows older than the watermark would count as late).
+    consecutive ranges of it, landed one after the other (sources take files
+    by age, and rows older than the watermark would count as late). Rows
+    without a value belong to the first slice.
     """
-    files = max(SLICES, -(-df.count() // rows_per_file))
-    per_slice = -(-files // SLICES)
     if order_col is None:
+        per_slice = _per_slice(df.count(), rows_per_file)
         df.repartition(per_slice * SLICES).write.mode("overwrite").parquet(path)
         return per_slice
     at = F.unix_micros(F.col(order_col).cast("timestamp"))
-    cuts = df.select(at.cast("double").alias("at")).approxQuantile("at", [i / SLICES for i in range(1, SLICES)], 0.001)
-    bounds = [None, *sorted(set(cuts)), None]
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = df.where((F.lit(True) if lo is None else at >= lo) & (F.lit(True) if hi is None else at < hi))
-        part.coalesce(per_slice).write.mode("append").parquet(path)
+    n, cuts = df.agg(F.count(F.lit(1)), F.percentile_approx(at, [i / SLICES for i in range(1, SLICES)], 10_000)).first()
+    per_slice = _per_slice(n, rows_per_file)
+    # The input is written once, by slice; the slices then land one by one.
+    later = [(at >= c).cast("int") for c in sorted(set(cuts or []))]
+    number = F.coalesce(sum(later, F.lit(0)), F.lit(0))
+    staged = f"{path}-slices"
+    df.withColumn("_slice", number).repartition(per_slice * SLICES, "_slice", F.pmod(F.xxhash64(order_col), F.lit(per_slice))) \
+      .write.mode("overwrite").partitionBy("_slice").parquet(staged)
+    slices = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(staged)
+    for i in range(len(later) + 1):
+        slices.where(F.col("_slice") == i).drop("_slice").coalesce(per_slice).write.mode("append").parquet(path)
     return per_slice
 
 
+def _per_slice(rows: int, rows_per_file: int) -> int:
+    return -(-max(SLICES, -(-rows // rows_per_file)) // SLICES)
+
+
 def _run(writer, checkpoint: str):
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -139,15 +142,57 @@ def read_kpis(spark: SparkSession, out_path: str) -> DataFrame:
                     "high_threat_count")
 
 
-def stream_high_threat(events: DataFrame, out_path: str, checkpoint: str):
-    """Alert feed: every event at or above the high-threat level, appended."""
-    alerts = events.where(F.col("threat_level") >= HIGH_THREAT)
-    return _run(alerts.writeStream.outputMode("append").format("parquet").option("path", out_path), checkpoint)
+PANEL_ROWS = 8
+
+
+def stream_high_threat(events: DataFrame, out_path: str, checkpoint: str, n: int = PANEL_ROWS):
+    """Alert panel: the newest ``n`` events at or above the high-threat level.
+
+    Every micro-batch picks its own newest ``n``, folds them into the ``n`` of
+    the batch before and writes the new panel, so what is kept is bounded and
+    a reader sorts nothing but the panel. Events may come in any order."""
+    spark = events.sparkSession
+    newest = [F.col("timestamp").desc(), F.col("event_id").asc()]
+
+    def write(batch: DataFrame, batch_id: int):
+        top = batch.where(F.col("threat_level") >= HIGH_THREAT).orderBy(*newest).limit(n)
+        before = _panel(spark, out_path, batch_id)
+        if before is not None:
+            top = before.unionByName(top).orderBy(*newest).limit(n)
+        _per_batch(out_path)(top.coalesce(1), batch_id)
+
+    return _run(events.writeStream.outputMode("append").foreachBatch(write), checkpoint)
+
+
+def _panel(spark: SparkSession, out_path: str, before: int | None = None) -> DataFrame | None:
+    """The panel of the newest whole batch (earlier than ``before``)."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    p = jvm.Path(out_path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    ids = sorted((int(x.split("=")[1]) for x in names if x.startswith("batch_id=")), reverse=True)
+    for i in ids:
+        if (before is None or i < before) and fs.exists(jvm.Path(f"{out_path}/batch_id={i}/_SUCCESS")):
+            return spark.read.parquet(f"{out_path}/batch_id={i}")
+    return None
+
+
+def read_high_threat(spark: SparkSession, out_path: str) -> DataFrame:
+    """The alert panel as of the newest micro-batch."""
+    return A.recent_high_threat(_panel(spark, out_path), PANEL_ROWS)
+
+
+def once_per_prompt(prompts: DataFrame, event_time: str = "timestamp", delay: str = "10 days", key: str = "prompt_id") -> DataFrame:
+    """A stream with each prompt once, however often its rows land, also
+    across restarts from the same checkpoint. Keys are remembered for
+    ``delay`` of event time; rows behind that are dropped as late."""
+    return prompts.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def stream_screen(prompts: DataFrame, out_path: str, checkpoint: str, events_path: str | None = None):
     """Screen prompts as they arrive; decisions are appended, and blocked
-    prompts also become events at ``events_path``."""
+    prompts also become events at ``events_path``. Where the same prompt may
+    land twice, pass the stream through :func:`once_per_prompt`."""
     s = SCR.screen_prompts(prompts, "query", "prompt_id")
     cols = ["prompt_id", "regex_score", "semantic_score", "semantic_category", "judge_used", "threat_level",
             "decision", "blocked", "primary_category", "reason"]

@@ -1,7 +1,8 @@
-"""Exact top-k: both physical strategies against numpy brute force."""
+"""Exact top-k against numpy brute force."""
 import numpy as np
 import pytest
 
+from guardspark.operators import pruned_topk as PT
 from guardspark.operators import retrieval as R
 
 from .conftest import SF_SMALL
@@ -20,13 +21,13 @@ def _brute(vecs, ids, k, thr):
     return out
 
 
-@pytest.mark.parametrize("shards,blocks", [(None, None), (3, 1), (5, 3)])
-def test_topk_groups(spark, shards, blocks):
+@pytest.mark.parametrize("shards", [None, 3, 5])
+def test_topk_groups(spark, shards):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").limit(120)
     rows = e.collect()
     want = _brute([r.embedding for r in rows], [r.vec_id for r in rows], 7, 0.2)
     hits = R.cosine_topk(e, e, k=7, threshold=0.2, query_id="vec_id", query_vec="embedding", corpus_id="vec_id",
-                         corpus_vec="embedding", shards=shards, query_blocks=blocks)
+                         corpus_vec="embedding", shards=shards)
     got = {(r.query_id, r.id, r.rank, round(r.score, 9)) for r in hits.collect()}
     assert got == want
 
@@ -59,14 +60,46 @@ def test_kernel_memory_is_one_tile():
     import tracemalloc
     rng = np.random.default_rng(0)
     q, c = rng.normal(size=(5000, 32)), rng.normal(size=(20_000, 32))
-    run = R._RunningTopK(np.arange(5000), q, 10)
+    shard = PT.Shard(np.arange(20_000), c)
     tracemalloc.start()
-    run.add(np.arange(20_000), c)
+    got = [shard.search(q[t:t + PT.TILE_QUERIES], 10) for t in range(0, 5000, PT.TILE_QUERIES)]
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200 << 20
     s = (q[:5] @ c.T) / np.sqrt(np.outer((q[:5] ** 2).sum(1), (c ** 2).sum(1)))
-    assert (run.ids[:5] == np.argsort(-s, axis=1, kind="stable")[:, :10]).all()
+    assert (got[0][1][:50].reshape(5, 10) == np.argsort(-s, axis=1, kind="stable")[:, :10]).all()
+
+
+def _counts(rng, n, dim, tokens):
+    m = np.zeros((n, dim))
+    for i in range(n):
+        np.add.at(m[i], rng.zipf(1.4, tokens) % dim, 1)
+    return m
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_blocks_that_cannot_reach_the_kth_score_are_left_out(signed):
+    """Ties, copies, zero vectors and floors, against a full sort."""
+    rng = np.random.default_rng(4)
+    c = _counts(rng, 4000, 256, 30)
+    c[1000:2500] = c[5]                       # a hot copy
+    c[2600:2620] = 0
+    q = np.vstack([_counts(rng, 60, 256, 8), c[5:6], np.zeros((1, 256))])
+    if signed:
+        c, q = c - 0.25 * (c > 2), q * np.where(rng.random(q.shape) < 0.2, -1, 1)
+    ids = rng.permutation(4000)
+    for k, floor in ((1, -np.inf), (10, 0.0), (10, 0.6), (5000, 0.2)):
+        shard = PT.Shard(ids, c)
+        query, got, score = shard.search(q, k, floor)
+        qn, cn = (q * q).sum(1), (c * c).sum(1)
+        full = PT.scores(q, qn, c, cn)
+        for i in range(len(q)):
+            order = np.lexsort((ids, -full[i]))[:k]
+            want = [(ids[j], full[i, j]) for j in order if full[i, j] >= floor]
+            assert [x for x, _ in want] == got[query == i].tolist()
+            assert np.allclose([x for _, x in want], score[query == i], rtol=1e-12)
+        if k == 1 and not signed:
+            assert shard.met < 0.7 * shard.pairs
 
 
 def test_two_models_from_one_factory(spark):
