@@ -1,7 +1,7 @@
 """Text column helpers shared by the operators."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import HOMOGLYPHS
@@ -12,6 +12,20 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def in_stages(df: DataFrame, steps: list[tuple[str, Column]], keep: list[str]) -> DataFrame:
+    """``df`` with the ``keep`` ones of columns that build on one another.
+
+    The steps are lateral aliases of one projection, so that a chain of
+    stages is analysed once and not once a stage; the analyser makes a
+    projection of each stage, which keeps it from being copied into the next.
+    A step whose name is taken replaces that column; steps that read the name
+    read the column."""
+    made = {name for name, _ in steps}
+    old = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    out = df.select(*old, *(c.alias(name) for name, c in steps))
+    return out.drop(*(name for name in made if name not in keep))
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: drop Unicode whitespace at both ends."""
     return F.btrim(col(c), F.lit(PY_WHITESPACE))

@@ -1,7 +1,9 @@
 """Vector helpers: L2 normalisation, dot products and the built-in hashed
 bag-of-words embedder.
 
-No sentence model ships with this package. The default embedder lower-cases
+Whole corpora are embedded in Arrow batches; screening, which compares short
+prompts with a few constant phrases, needs no vector and runs on built-in
+functions. No sentence model ships with this package. The default embedder lower-cases
 a text, splits it on ``[^a-z0-9]+`` and counts tokens into ``dim`` buckets
 chosen by the first 8 hex digits of the token's md5. Vectors are kept as
 integer counts, so a cosine is ``dot / sqrt(|a|^2 |b|^2)`` with an exact
@@ -12,12 +14,13 @@ embedding column instead.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import ident
+from .regex import ident, sql_lit
 from .text import col
 
 DIM = 64
@@ -51,6 +54,18 @@ def _hashed_counts_udf(dim: int):
     return _UDFS[dim]
 
 
+def token_buckets(text, dim: int = DIM) -> Column:
+    """ARRAY<INT>: the bucket of every token, by built-in functions alone."""
+    words = F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), TOKEN_SPLIT), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
+
+
+def bucket_counts(buckets, dim: int = DIM) -> Column:
+    """Token counts per bucket from :func:`token_buckets`."""
+    b = col(buckets)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(b) - F.size(F.array_remove(b, k)))
+
+
 def sq_norm(counts) -> Column:
     """Sum of squares as BIGINT (exact for integer counts)."""
     return F.aggregate(col(counts), F.lit(0).cast("bigint"), lambda a, x: a + (x * x).cast("bigint"))
@@ -101,17 +116,13 @@ def py_hashed_counts(text: str, dim: int = DIM) -> list[int]:
     return counts
 
 
-def cosine_to_constant(counts: str, qnorm: str, const: list[int]) -> Column:
-    """Cosine of a count column (with its squared norm ``qnorm``) against a
-    constant count vector, written as a sum over the constant's non-zero
-    buckets (no lambda, fully codegen'd, parsed as one expression)."""
-    nz = [(i, v) for i, v in enumerate(const) if v]
-    if not nz:
-        return F.lit(0.0)
-    c, qn = ident(counts), ident(qnorm)
-    dot = " + ".join(f"CAST({c}[{i}] AS BIGINT) * {v}" for i, v in nz)
-    sn = sum(v * v for v in const)
-    return F.expr(f"IF({qn} > 0, CAST(({dot}) AS DOUBLE) / sqrt(CAST({qn} * {sn} AS DOUBLE)), 0.0D)")
+def cosines_to_constants(buckets: str, qnorm: str, vectors: list[list[int]]) -> Column:
+    """ARRAY<DOUBLE>: cosines of a text's token buckets (with the squared norm
+    ``qnorm`` of its counts) to constant count vectors, linear in its tokens."""
+    bank = json.dumps([{"v": v, "n": sum(x * x for x in v)} for v in vectors])
+    b, qn = ident(buckets), ident(qnorm)
+    return F.expr(f"transform(from_json({sql_lit(bank)}, 'array<struct<v:array<int>,n:bigint>>'), s -> IF({qn} > 0 AND s.n > 0, "
+                  f"CAST(aggregate({b}, 0L, (a, x) -> a + s.v[x]) AS DOUBLE) / sqrt(CAST({qn} * s.n AS DOUBLE)), 0.0D))")
 
 
 def _model_id(load_model) -> str:
@@ -157,9 +168,8 @@ class HashedEmbedder:
 
     def with_similarities(self, df, text_col: str, phrases: list[str], out: str):
         """``df`` with ``out``: the cosine of the text to every phrase."""
-        df = df.withColumn("_qc", self.column(text_col)).withColumn("_qn", sq_norm("_qc"))
-        return df.withColumn(out, F.array(*(cosine_to_constant("_qc", "_qn", py_hashed_counts(p)) for p in phrases))) \
-                 .drop("_qc", "_qn")
+        df = df.withColumn("_qb", token_buckets(text_col)).withColumn("_qn", sq_norm(bucket_counts("_qb")))
+        return df.withColumn(out, cosines_to_constants("_qb", "_qn", [py_hashed_counts(p) for p in phrases])).drop("_qb", "_qn")
 
 
 class ModelEmbedder:

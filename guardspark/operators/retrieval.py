@@ -141,9 +141,11 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold
         hits = hits.join(own, "query_id").where(F.col("rank") < F.coalesce("_k", F.lit(k))).drop("_k")
     if not payload:
         return hits
-    side = (corpus.select(F.col(corpus_id).cast("long").alias("id"), *payload)
-                  .join(hits.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    return hits.join(side, "id").select("query_id", "id", "rank", "score", *payload)
+    # One row per hit again where ids repeat; the hits are worked out once.
+    side = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.struct(*payload).alias("_p"))
+    return (hits.join(side, "id").groupBy("query_id", "rank")
+                .agg(F.first("id").alias("id"), F.first("score").alias("score"), F.first("_p").alias("_p"))
+                .select("query_id", "id", "rank", "score", *(F.col(f"_p.{c}").alias(c) for c in payload)))
 
 
 def format_context(hits: DataFrame, queries: DataFrame, key: str = "query_id", max_length: int | None = None,

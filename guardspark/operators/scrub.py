@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.regex import ident, java, sql_lit
-from ..functions.text import col, normalize_homoglyphs, py_strip
+from ..functions.text import col, in_stages, normalize_homoglyphs, py_strip
 
 # Deletion patterns in Java form. The role-play pattern (8th) always matches
 # from the start of the text onward when it matches at all: a lazy dotall
@@ -26,11 +26,17 @@ ROLEPLAY_LINEAR = (r"\G(?:^|\n)(?>.*?(?:you are|you're|you will be|act as|preten
 OVERRIDE_LINEAR = r"(?:IGNORE|DISREGARD|FORGET)\s+(?:PREVIOUS|ABOVE|ALL)\s+[^\n]*"
 
 
+LABELED = "labeled_instruction"
+
+
 def _java_delete(p: str, category: str) -> str:
     if category == "roleplay_instruction":
         p = ROLEPLAY_LINEAR
     elif category == "override_instruction":
         p = OVERRIDE_LINEAR
+    elif category == LABELED:
+        # Labels begin with a letter: the blank run before them never needs to give characters back.
+        p = p.replace(r"\s*", r"\s*+", 1)
     return java(p, "sanitize")
 
 
@@ -43,8 +49,16 @@ SPANS = {c: p.split(".*?") for p, c in P.SANITIZER_DELETE
          if c.endswith("_comment") or c in ("bracketed_instruction", "xml_instruction", "code_block_instruction")}
 
 
+# Every line end of a blank run could start a labelled instruction, and each
+# would scan the rest of the run. All of them lead to the same place, so the
+# first one takes a run without a label behind it as a whole and puts it back.
+BLANK_RUN = r"(\n\s*+)"
+
+
 def _deletion(jp: str, category: str) -> tuple[str, str]:
     """(pattern, replacement) that deletes the category's matches in one pass."""
+    if category == LABELED:
+        return f"{jp}|{BLANK_RUN}", "$1"
     if category not in SPANS:
         return jp, ""
     return f"{jp}|({SPANS[category][0]}.*)", "$1"
@@ -61,17 +75,12 @@ REDACT_JAVA = [(java(p), r) for p, r in P.SANITIZER_REDACT]
 def sanitize_text(df: DataFrame, text_col: str, out_col: str = "sanitized") -> DataFrame:
     """Homoglyphs -> delete instruction patterns in order -> redact three
     markers -> collapse 3+ newlines -> strip. Null and empty stay as they are."""
-    stages = ["_sz0"]
-    df = df.withColumn("_sz0", normalize_homoglyphs(text_col))
-    steps = [_deletion(jp, c) for jp, c in DELETE_JAVA] + REDACT_JAVA
-    for i, (jp, repl) in enumerate(steps, 1):
-        df = df.withColumn(f"_sz{i}", F.expr(f"regexp_replace(_sz{i - 1}, {sql_lit(jp)}, {sql_lit(repl)})"))
-        stages.append(f"_sz{i}")
-    last = F.col(stages[-1])
-    out = py_strip(F.regexp_replace(last, r"\n{3,}", "\n\n"))
+    steps = [("_sz0", normalize_homoglyphs(text_col))]
+    for i, (jp, repl) in enumerate([_deletion(jp, c) for jp, c in DELETE_JAVA] + REDACT_JAVA, 1):
+        steps.append((f"_sz{i}", F.expr(f"regexp_replace(_sz{i - 1}, {sql_lit(jp)}, {sql_lit(repl)})")))
+    out = py_strip(F.regexp_replace(F.col(steps[-1][0]), r"\n{3,}", "\n\n"))
     src = F.col(text_col)
-    return (df.withColumn(out_col, F.when(src.isNull() | (src == ""), src).otherwise(out))
-              .drop(*stages))
+    return in_stages(df, steps + [(out_col, F.when(src.isNull() | (src == ""), src).otherwise(out))], [out_col])
 
 
 def sanitize_for_embedding(c) -> Column:
@@ -82,13 +91,24 @@ def sanitize_for_embedding(c) -> Column:
     return py_strip(t)
 
 
+def _found(t: Column, jp: str, category: str) -> tuple[Column, Column]:
+    """(number of matches, their texts) of a deletion pattern."""
+    if category == LABELED:
+        flags, body = jp.split(")", 1)
+        texts = F.filter(F.regexp_extract_all(t, F.lit(f"{flags})({body})|{BLANK_RUN}"), F.lit(1)), lambda m: m != "")
+        return F.size(texts), texts
+    part = _countable(t, category)
+    return F.regexp_count(part, F.lit(jp)), F.regexp_extract_all(part, F.lit(jp), F.lit(0))
+
+
 def _instruction_items(t: Column, samples: int, sample_chars: int) -> Column:
     """ARRAY<STRUCT<category, n_matches, samples>> of the deletion patterns."""
-    return F.array(*[F.struct(F.lit(c).alias("category"),
-                              F.regexp_count(_countable(t, c), F.lit(jp)).cast("bigint").alias("n_matches"),
-                              F.transform(F.slice(F.regexp_extract_all(_countable(t, c), F.lit(jp), F.lit(0)), 1, samples),
-                                          lambda m: F.substring(m, 1, sample_chars)).alias("samples"))
-                     for jp, c in DELETE_JAVA])
+    items = []
+    for jp, c in DELETE_JAVA:
+        n, texts = _found(t, jp, c)
+        items.append(F.struct(F.lit(c).alias("category"), n.cast("bigint").alias("n_matches"),
+                              F.transform(F.slice(texts, 1, samples), lambda m: F.substring(m, 1, sample_chars)).alias("samples")))
+    return F.array(*items)
 
 
 def detect_instructions(df: DataFrame, key_cols: list[str], text_col: str, samples: int = 3,

@@ -5,7 +5,7 @@ A request of the interactive service is one row here. The guarded job is
 staged DataFrames joined by ``prompt_id``:
 
     prompts -> screen (column expressions)
-            -> persisted screened rows (reused by both branches below)
+            -> stored screened rows (read by both branches below)
     blocked:  refusal rows
     allowed:  exact top-k over the chunk table
               -> trust + sanitize per hit (column expressions)
@@ -17,7 +17,6 @@ Model answers are an input table; generation happens outside Spark.
 """
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +27,7 @@ from ..operators import prompts as PR
 from ..operators import retrieval as R
 from ..operators import scrub as SC
 from ..operators import screen as SCR
+from ..session import stored
 from ..sources.chunk_table import provenance
 
 STEP_T = "struct<stage:string,layer:string,status:string,score:double,detail:string,category:string>"
@@ -80,9 +80,9 @@ def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, ver
     own_k = [] if k_col is None else [k_col]
     screened = SCR.screen_prompts(prompts.select("prompt_id", "query", "system_prompt"), "query", "prompt_id",
                                   verdicts=verdicts, judge_enabled=judge_enabled, embedder=embedder)
-    screened = (screened.select("prompt_id", "query", "system_prompt", "blocked", "decision", "threat_level",
-                                "reason", "categories", "category_votes", "regex_score", "semantic_score", "input_trace")
-                        .persist(StorageLevel.MEMORY_AND_DISK))   # reused twice and filtered on `blocked`
+    screened = stored(screened.select("prompt_id", "query", "system_prompt", "blocked", "decision", "threat_level",
+                                      "reason", "categories", "category_votes", "regex_score", "semantic_score", "input_trace"),
+                      "screened")   # read twice and filtered on `blocked`
     allowed = screened.where(~F.col("blocked"))
 
     # S2-S3: retrieve, then trust on raw text and sanitize per hit.
@@ -128,25 +128,23 @@ def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, ver
     avg = F.coalesce(F.col("avg_trust"), F.lit(0.5))
     n_src = F.coalesce(F.col("n_sources"), F.lit(0))
     n_san = F.coalesce(F.col("n_sanitized"), F.lit(0))
-    a = (a.withColumn("avg_trust", avg)
-          .withColumn("n_sources", n_src.cast("bigint"))
-          .withColumn("n_sanitized", n_san.cast("bigint"))
-          .withColumn("n_context_chunks", F.coalesce(F.col("n_context_chunks"), F.lit(0)).cast("bigint"))
-          .withColumn("max_context", SC.max_context_length(avg))
-          .withColumn("context_limited", F.col("n_context_chunks") < F.col("n_sources"))
-          .withColumn("context", F.when(F.col("n_context_chunks") > 0, F.col("_ctx")).otherwise(F.lit(P.NO_CONTEXT)))
-          .withColumn("sources", F.coalesce("sources", F.array().cast(
-              "array<struct<file:string,chunk:bigint,score:double,trust_score:double,preview:string>>"))))
+    n_ctx = F.coalesce(F.col("n_context_chunks"), F.lit(0))
+    a = a.withColumns({
+        "avg_trust": avg, "n_sources": n_src.cast("bigint"), "n_sanitized": n_san.cast("bigint"),
+        "n_context_chunks": n_ctx.cast("bigint"), "max_context": SC.max_context_length(avg), "context_limited": n_ctx < n_src,
+        "context": F.when(n_ctx > 0, F.col("_ctx")).otherwise(F.lit(P.NO_CONTEXT)),
+        "sources": F.coalesce("sources", F.array().cast(
+            "array<struct<file:string,chunk:bigint,score:double,trust_score:double,preview:string>>"))})
 
     # S5: locked prompt, override attempt, canary.
     sp = F.col("system_prompt")
-    a = (a.withColumn("override_blocked", F.coalesce(sp.isNotNull() & (sp != "") & (sp != F.lit(PR.LOCKED_PROMPT)),
-                                                     F.lit(False)))
-          .withColumn("canary_token", OS.canary_token("query", "prompt_id") if canary_enabled else F.lit(""))
-          .withColumn("effective_system_prompt",
-                      PR.effective_system_prompt(F.lit(True), F.lit(None).cast("string"),
-                                                 OS.canary_instruction("canary_token") if canary_enabled else None))
-          .withColumn("full_prompt", PR.fill(PR.GUARDED_TEMPLATE, context="context", query="query")))
+    a = a.withColumns({
+        "override_blocked": F.coalesce(sp.isNotNull() & (sp != "") & (sp != F.lit(PR.LOCKED_PROMPT)), F.lit(False)),
+        "canary_token": OS.canary_token("query", "prompt_id") if canary_enabled else F.lit(""),
+        "full_prompt": PR.fill(PR.GUARDED_TEMPLATE, context="context", query="query")})
+    a = a.withColumn("effective_system_prompt",
+                     PR.effective_system_prompt(F.lit(True), F.lit(None).cast("string"),
+                                                OS.canary_instruction("canary_token") if canary_enabled else None))
 
     # S6-S8: answer, canary leak, output guard.
     a = OS.canary_scan(a.withColumn("raw_answer", F.coalesce("raw_answer", F.lit(""))), "raw_answer", "canary_token",
@@ -155,28 +153,29 @@ def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, ver
     leaked = F.col("canary_leaked")
     issue_cats = F.array_join(F.array_sort(F.array_distinct(F.transform("out_issues", lambda i: i["category"]))), ", ")
     out_status = F.when(F.col("out_blocked"), "block").when(F.col("out_had_issues"), "warn").otherwise("pass")
+    layer, said = {x: x for x in P.TRACE_LAYERS}, P.TRACE_TEXTS
     trace_tail = F.array(
-        _step("retrieval", "Document Sanitizer", F.when(F.col("n_sanitized") > 0, "warn").otherwise("pass"),
+        _step("retrieval", layer["Document Sanitizer"], F.when(F.col("n_sanitized") > 0, "warn").otherwise("pass"),
               F.when(F.col("n_sources") > 0, F.bround(F.col("n_sanitized") / F.col("n_sources"), 3)).otherwise(0.0),
-              F.when(F.col("n_sanitized") > 0, F.format_string("%d/%d chunks contained embedded instructions",
+              F.when(F.col("n_sanitized") > 0, F.format_string(said["sanitized"],
                                                                 F.col("n_sanitized"), F.col("n_sources")))
-               .otherwise(F.format_string("%d chunks clean", F.col("n_sources")))),
-        _step("retrieval", "Trust Scorer", F.when(F.col("avg_trust") < P.TRUST_THRESHOLD, "warn").otherwise("pass"),
+               .otherwise(F.format_string(said["clean"], F.col("n_sources")))),
+        _step("retrieval", layer["Trust Scorer"], F.when(F.col("avg_trust") < P.TRUST_THRESHOLD, "warn").otherwise("pass"),
               F.bround("avg_trust", 3),
-              F.concat(F.format_string("avg trust %.0f%%, context capped at %d chars", F.col("avg_trust") * 100,
+              F.concat(F.format_string(said["trust"], F.col("avg_trust") * 100,
                                        F.col("max_context")),
-                       F.when(F.col("context_limited"), F.lit(" (truncated)")).otherwise(F.lit("")))),
-        _step("prompt", "System Prompt Lock", F.when(F.col("override_blocked"), "block").otherwise("pass"),
+                       F.when(F.col("context_limited"), F.lit(said["truncated"])).otherwise(F.lit("")))),
+        _step("prompt", layer["System Prompt Lock"], F.when(F.col("override_blocked"), "block").otherwise("pass"),
               F.when(F.col("override_blocked"), 1.0).otherwise(0.0),
-              F.when(F.col("override_blocked"), "override attempt ignored").otherwise("locked prompt enforced")),
-        F.when(leaked, _step("output", "Canary Token", "block", 1.0, "system prompt leak detected & blocked"))
-         .otherwise(_step("output", "Canary Token", "pass" if canary_enabled else "skipped", 0.0,
-                          "no prompt leak" if canary_enabled else "canary disabled")))
-    out_step = _step("output", "Output Guard", out_status,
+              F.when(F.col("override_blocked"), said["override"]).otherwise(said["locked"])),
+        F.when(leaked, _step("output", layer["Canary Token"], "block", 1.0, said["leak"]))
+         .otherwise(_step("output", layer["Canary Token"], "pass" if canary_enabled else "skipped", 0.0,
+                          said["no_leak"] if canary_enabled else said["canary_off"])))
+    out_step = _step("output", layer["Output Guard"], out_status,
                      F.when(F.col("out_blocked"), 1.0).when(F.col("out_had_issues"), 0.5).otherwise(0.0),
                      F.when(F.col("out_had_issues"), F.concat(F.size("out_issues").cast("string"),
-                                                              F.lit(" issue(s): "), issue_cats))
-                      .otherwise(F.lit("output clean")))
+                                                              F.lit(said["issues"]), issue_cats))
+                      .otherwise(F.lit(said["output_clean"])))
     logs = F.concat(
         F.when(F.col("decision") == "warn", F.array(_log("input", "warning", F.array_join("categories", ", "),
                                                          F.col("threat_level")))).otherwise(F.array().cast(f"array<{LOG_T}>")),
@@ -252,7 +251,7 @@ def unguarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, k
 def route_mode(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, **kw) -> DataFrame:
     """Guarded rows where ``guardrails`` is true, unguarded elsewhere; one
     retrieval serves both."""
-    hits = retrieve_for(prompts, chunks, k_col=kw.get("k_col")).persist(StorageLevel.MEMORY_AND_DISK)
+    hits = stored(retrieve_for(prompts, chunks, k_col=kw.get("k_col")), "hits")
     g = guarded_batch(prompts.where(F.col("guardrails")), chunks, answers, hits=hits, **kw)
     u = unguarded_batch(prompts.where(~F.col("guardrails")), chunks, answers, hits=hits)
     return g.unionByName(u, allowMissingColumns=True)

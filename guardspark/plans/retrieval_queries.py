@@ -1,13 +1,13 @@
 """Queries over retrieval: exact top-k, context formatting, source lists."""
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import pair_id
 from ..operators import chunking as CH
 from ..operators import retrieval as R
+from ..session import stored
 from ..sources import fixtures as FX
 from ..sources.tables import read_table, spread_rows
 from . import sqlgen as S
@@ -92,9 +92,8 @@ def _retrieve_ctes(k: int = 5, threshold: float = 0.3) -> list[str]:
 
 
 def retrieve_hits(spark, sf, prompts=None, k=5, threshold=0.3):
-    # The derived chunk table feeds the vector side and the payload side;
-    # a stored chunk table would simply be scanned twice instead.
-    chunks = chunk_table(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    # The chunk table feeds the vector side and the payload side.
+    chunks = stored(chunk_table(spark, sf), "chunks")
     pv = prompt_vectors(spark, sf, prompts)
     return R.cosine_topk(pv, chunks, k=k, threshold=threshold, query_id="prompt_id", query_vec="vector",
                          corpus_id="id", corpus_vec="vector",

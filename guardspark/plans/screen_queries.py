@@ -1,11 +1,11 @@
 """Queries over input screening (planted prompts and judge replies)."""
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import screen as SCR
+from ..session import stored
 from ..sources import fixtures as FX
 from . import sqlgen as S
 from .fixture_sql import prompt_ctes, system_turns_cte
@@ -195,7 +195,7 @@ def judge_route_q(spark, sf):
     s = SCR.semantic_similarity(SCR.signature_scan(FX.prompts(spark, sf), "query"), "query")
     # Materialise the scored rows so the gray-zone filter is not pushed
     # below the scoring projections (it would copy them into the predicate).
-    s = s.select("prompt_id", "sig_score", "sem_score").persist(StorageLevel.MEMORY_AND_DISK)
+    s = stored(s.select("prompt_id", "sig_score", "sem_score"), "scores")
     r = SCR.judge_route(s)
     prov = SCR.decayed_sum(F.filter(F.array("sig_score", "sem_score"), lambda x: x > 0), SCR.FUSION_WEIGHTS)
     return r.select("prompt_id", F.round(prov, 6).alias("provisional"))

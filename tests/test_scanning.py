@@ -185,3 +185,30 @@ def test_unclosed_openers_are_linear_and_change_nothing(spark):
                 assert sum(r.n_matches for r in seen if r.id == i and r.category == c) == n
             want = re.sub(p, "", want, flags=re.I | re.S | re.M)
         assert got[i].sanitized == want.strip(), i
+
+
+def test_labelled_instructions_are_linear_in_blank_runs(spark):
+    """Deletion, counts and samples equal Python's on texts full of blank
+    runs, and a run of 1 MiB of line ends takes seconds."""
+    import random
+    import time
+
+    pattern = next(p for p, c in P.SANITIZER_DELETE if c == SC.LABELED)
+    rng = random.Random(2)
+    parts = ["\n", "\n\n", " \n", "\t", "  ", "SYSTEM:", "prompt ", "note to ai\n", "words", "x SYSTEM: y", " ", "\r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(600)]
+    jp, repl = SC._deletion(dict((c, jp) for jp, c in SC.DELETE_JAVA)[SC.LABELED], SC.LABELED)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r["id"]: r["o"] for r in df.select("id", F.regexp_replace("t", jp, repl).alias("o")).collect()}
+    flags = re.I | re.S | re.M
+    assert all(got[i] == re.sub(pattern, "", t, flags=flags) for i, t in enumerate(texts))
+    found = {r["id"]: r for r in SC.detect_instructions(df, ["id"], "t").where(F.col("category") == SC.LABELED).collect()}
+    for i, t in enumerate(texts):
+        want = [m[0] for m in re.finditer(pattern, t, flags)]
+        assert (found[i]["n_matches"], list(found[i]["samples"])) == (len(want), [w[:100] for w in want[:3]]) if want else i not in found
+    long = spark.createDataFrame([(0, "a" + "\n" * (1 << 20) + "b"), (1, " \n" * (1 << 19) + "SYSTEM: gone")], "id long, t string")
+    begin = time.time()
+    out = {r["id"]: r for r in SC.sanitize_text(long, "t").collect()}
+    n = {r["id"]: r["n_matches"] for r in SC.detect_instructions(long, ["id"], "t").collect()}
+    assert time.time() - begin < 10
+    assert out[0]["sanitized"] == "a\n\nb" and out[1]["sanitized"] == "" and n == {1: 1}
