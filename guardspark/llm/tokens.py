@@ -5,10 +5,10 @@ inside one pre-token only, so each distinct pre-token needs the library
 once. A slice of texts is cut into pre-tokens by array operations on its
 bytes (the pattern of byte-level BPE, see :func:`cut`), pre-tokens are named
 by two 64-bit hashes, and the distinct ones are looked up in a sorted, bounded
-cache; those that are new are merged by the library's own model. A text with
-code points from U+0250 on (whose character classes depend on the Unicode
-version), one that holds a special string, and any tokenizer of another kind
-go through the library whole.
+cache; those that are new are merged by the library's own model. Character
+classes depend on the Unicode version, so they are proven against the library
+(:func:`proven_classes`). A text that holds a special string, and any
+tokenizer of another kind, go through the library whole.
 
 The tokenizer file is read on the driver and shipped as text, so workers
 need no path.
@@ -26,37 +26,67 @@ import pyarrow.compute as pc
 from .common import flat, segment_hash
 
 CACHE_ENTRIES = 1_000_000     # per worker (no result depends on it)
-LIMIT = 0x250
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
-_WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0)
+_WHITE = (9, 10, 11, 12, 13, 0x85)
+_SURROGATES = (0xD800, 0xE000)        # no characters
 
 
-def _classes() -> np.ndarray:
-    """Character class of every code point below LIMIT."""
-    kind = {"L": LETTER, "N": NUMBER}
-    out = np.array([kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(LIMIT)], np.uint8)
+def _classes(limit: int = 0x110000) -> np.ndarray:
+    """Character class of every code point, as this Python's Unicode has it."""
+    kind = {"L": LETTER, "N": NUMBER, "Z": SPACE}
+    out = np.array([kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(limit)], np.uint8)
     out[list(_WHITE)] = SPACE
     return out
 
 
-_CLASS = _classes()
-_ASCII = np.concatenate([_CLASS[:128], np.zeros(128, np.uint8)])
-_UNSAFE = np.arange(256) >= 0xC0 | (LIMIT >> 6)
+LATIN = 0x250                         # below it no class has changed with the Unicode version
+_LATIN_CLASSES = _classes(LATIN)
+_ASCII = np.concatenate([_LATIN_CLASSES[:128], np.zeros(128, np.uint8)])
+_BEYOND = 0xC0 | LATIN >> 6           # first byte of what lies above
+
+
+def proven_classes(pieces) -> np.ndarray:
+    """Character classes that agree with the library's. ``pieces(text)`` gives
+    the borders of its pre-tokens: characters of one class are one pre-token
+    together, so every class is put to the proof as one text, and what the
+    library cuts out of it is asked for one by one."""
+    out = _classes()
+    sample = {LETTER: "a", NUMBER: "1", OTHER: "!"}
+
+    def is_kind(point: int, kind: int) -> bool:
+        return len(pieces(sample[kind] + chr(point) + sample[kind])) == 1
+
+    real = np.ones(len(out), bool)
+    real[slice(*_SURROGATES)] = False
+    doubtful = np.flatnonzero((out == SPACE) & (np.arange(len(out)) != 32)).tolist()
+    for kind in sample:
+        points = np.flatnonzero((out == kind) & real)
+        for lo, hi in pieces("".join(map(chr, points.tolist()))):
+            if not is_kind(int(points[lo]), kind):
+                doubtful += points[lo:hi].tolist()
+    for point in doubtful:
+        out[point] = next((k for k in sample if is_kind(point, k)), SPACE)
+    return out
 
 
-def _byte_classes(data: np.ndarray) -> np.ndarray:
-    """Class of the character that each byte belongs to (safe texts)."""
+def byte_classes(data: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Class of the character that each byte belongs to."""
     c = _ASCII[data]
-    lead = np.flatnonzero(data >= 0xC0)
-    if len(lead):
-        point = (data[lead].astype(np.int64) & 0x1F) << 6 | (data[lead + 1] & 0x3F)
-        c[lead] = c[lead + 1] = _CLASS[point]
+    for low, high, more in ((0xC0, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xFF, 3)):
+        lead = np.flatnonzero((data >= low) & (data <= high))
+        if len(lead):
+            point = data[lead].astype(np.int64) & (0x3F >> more)
+            for i in range(1, more + 1):
+                point = point << 6 | (data[lead + i] & 0x3F)
+            kind = classes[point]
+            for i in range(more + 1):
+                c[lead + i] = kind
     return c
 
 
-def cut(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+def cut(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Start positions of the pre-tokens of the texts data[off[i]:off[i+1]]
-    (each ends where the next starts).
+    (each ends where the next starts), by character ``classes``.
 
     Runs of letters, numbers and other characters are pre-tokens; a plain
     space right before one belongs to it. Of white space before one, the last
@@ -66,7 +96,7 @@ def cut(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64)
-    c = _byte_classes(data)
+    c = byte_classes(data, classes)
     first = np.zeros(n + 1, bool)               # a text begins here
     first[off] = True
     new = first[:n].copy()
@@ -77,7 +107,8 @@ def cut(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     kind = c[begin]
     # White space with something behind it in the same text.
     w = np.flatnonzero((kind == SPACE) & ~first[end] & (end < n))
-    tail = end[w] - np.where(data[end[w] - 1] < 0x80, 1, 2)       # its last character
+    last = end[w] - 1                                             # its last character has up to three bytes
+    tail = np.where(data[last] < 0x80, last, np.where(data[np.maximum(last - 1, 0)] >= 0xC0, last - 1, last - 2))
     plain = data[end[w] - 1] == 32
     start = np.zeros(n, bool)
     start[begin] = True
@@ -189,9 +220,18 @@ class Pretokens:
             j.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
             and not pre.get("add_prefix_space") and j["model"].get("type") == "BPE" and not j["model"].get("dropout"))
         self.special = [a["content"] for a in j.get("added_tokens") or []]
+        self.all_classes: np.ndarray | None = None
         self.known = Known()
         self.proven: tuple | None = None
 
+    def _classes_for(self, data: np.ndarray) -> np.ndarray:
+        """Classes of all characters, worked out when a text first needs them."""
+        if not (data >= _BEYOND).any():
+            return _LATIN_CLASSES
+        if self.all_classes is None:
+            self.all_classes = proven_classes(lambda t: [x[1] for x in self.tok.pre_tokenizer.pre_tokenize_str(t)])
+        return self.all_classes
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -199,12 +239,11 @@ class Pretokens:
         """Ids of one pre-token: the library's merges on its byte alphabet."""
         return [t.id for t in self.tok.model.tokenize(piece.decode("latin-1").translate(_ALPHABET))]
 
-    def _whole(self, texts: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def _whole(self, texts: pa.Array) -> np.ndarray:
         """Which texts have to go through the library whole."""
         if not self.by_pretoken:
             return np.ones(len(texts), bool)
-        out, unsafe = np.zeros(len(texts), bool), np.flatnonzero(_UNSAFE[data])
-        out[np.searchsorted(off, unsafe, side="right") - 1] = True
+        out = np.zeros(len(texts), bool)
         for s in self.special:
             out |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         return out
@@ -213,11 +252,11 @@ class Pretokens:
         """(pre-token starts and ends, their texts' borders, bytes) of the
         texts that are cut; whole texts have no pre-tokens here."""
         data, off = flat(texts)
-        whole = self._whole(texts, data, off)
+        whole = self._whole(texts)
         if whole.any():
             keep = pc.if_else(pa.array(whole), "", texts)
             data, off = flat(keep.combine_chunks() if isinstance(keep, pa.ChunkedArray) else keep)
-        start = cut(data, off)
+        start = cut(data, off, self._classes_for(data)) if self.by_pretoken else np.zeros(0, np.int64)
         return data, start, np.append(start[1:], len(data)), np.searchsorted(start, off), np.flatnonzero(whole)
 
     def _names(self, data, start, end):

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from guardspark.llm import packing, token_codec, token_counts, tokens
 from guardspark.llm.common import Stage
-from guardspark.llm.tokens import LIMIT, Pretokens, read_tokenizer
+from guardspark.llm.tokens import Pretokens, read_tokenizer
 
 from .conftest import TEXTS
 
@@ -24,15 +24,36 @@ def library():
     return lambda t: tok.encode(t or "", add_special_tokens=False).ids
 
 
+def _any_character(rnd):
+    """From all planes, with the spaces, quotes and scripts that texts have."""
+    kind = rnd.random()
+    if kind < 0.3:
+        return rnd.choice(" \n\t'sreavmld19!\u2003\u3000\u00a0\u2028\u0085\u2019\u2014\u200d\u0301")
+    if kind < 0.7:
+        return chr(rnd.randrange(*rnd.choice([(0x80, 0x250), (0x370, 0x530), (0x590, 0xE00), (0x2000, 0x3100), (0x4E00, 0xA000), (0x1F300, 0x1FA00)])))
+    point = rnd.randrange(0x110000)
+    return chr(point) if not 0xD800 <= point < 0xE000 else "x"
+
+
+def test_every_character_has_the_library_s_class(library):
+    """Each code point between letters, digits and marks of its neighbours."""
+    enc = Pretokens(read_tokenizer(PATH))
+    points = [c for c in range(0x80, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b 1{chr(c)}2 !{chr(c)}? " for c in points[i:i + 200]) for i in range(0, len(points), 200)]
+    ids, borders = enc.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(borders, borders[1:])] == [library(t) for t in texts]
+
+
 def test_pretokens_equal_the_library(library):
     enc = Pretokens(read_tokenizer(PATH))
     rnd = random.Random(1)
-    letters = [chr(i) for i in range(LIMIT)] + list(" \n\t'sreavmld ") * 20
+    letters = [chr(i) for i in range(0x250)] + list(" \n\t'sreavmld ") * 20
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(2000)]
-    texts += [chr(i) + "a " + chr(i) for i in range(LIMIT)] + [t or "" for _, t in TEXTS]
+    texts += [chr(i) + "a " + chr(i) for i in range(0x250)] + [t or "" for _, t in TEXTS]
     proven = enc.whole_tokens()
     assert len(proven) > 40_000
     texts += ["".join(rnd.choice("'stmdrevl a\n") for _ in range(30)) for _ in range(1000)]
+    texts += ["".join(_any_character(rnd) for _ in range(rnd.randint(1, 80))) for _ in range(3000)]
     want = [library(t) for t in texts]
     ids, borders = enc.encode(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(borders, borders[1:])] == want
