@@ -157,3 +157,23 @@ def test_shingle_hashes_do_not_depend_on_slicing():
     for i, (_, t) in enumerate(TEXTS):
         one, f = near_dedup.distinct_shingles(pa.array([t or ""]), 5)
         assert (u[first[i]:first[i + 1]] == one).all() and len(one) == len(shingles(t))
+
+
+def test_line_dedup_of_hot_copies_and_empty_texts(spark):
+    """A third exact copies, a third empty texts: same rows as plain Python,
+    and no task of a keyed stage holds the copies."""
+    hot = "shared header\n" + BASE + "\nshared header"
+    texts = [hot] * 400 + [""] * 300 + [None] * 100 + [f"own line {i}\nshared header\n{i % 7}" for i in range(400)]
+    docs = spark.createDataFrame([(i % 1100, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, salt string").repartition(8)
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "salt", "_kept_text", "_n_lines", "_n_dropped"]
+    want = sorted((str(t), *w) for t, w in zip(texts, py_lines(texts)))
+    assert sorted((str(r["text"]), r["_kept_text"], r["_n_lines"], r["_n_dropped"]) for r in got.collect()) == want
+    spread = got.select("text", F.spark_partition_id().alias("p")).where(F.col("text") == hot).groupBy("p").count()
+    assert spread.count() > 1
+
+
+def test_distinct_texts_count_their_copies(spark):
+    docs = spark.createDataFrame([(i, "a\nb" if i % 2 else None) for i in range(100)] + [(None, "")], "doc_id long, text string")
+    rows = line_dedup.distinct_texts(docs.repartition(5)).collect()
+    assert sorted((r["copies"], len(r["_k"])) for r in rows) == [(50, 2), (51, 1)]
