@@ -53,6 +53,24 @@ def test_rule_order_is_by_rejection_per_cost(spark):
     assert order[0] == "symbols" and set(order) == {r.name for r in quality_rules.RULES}
 
 
+def test_greedy_order_counts_shared_steps_once_and_only_new_rejections():
+    rules = {r.name: r for r in quality_rules.RULES}
+    picked = [rules[n] for n in ("few_words", "repetition", "symbols", "word_length")]
+    cost = {s.name: 100.0 for r in picked for s in r.steps}
+    # All that "repetition" rejects is rejected by "symbols" too, at a lower cost.
+    judged = [("0110", 30), ("0010", 5), ("1000", 1), ("0001", 2), ("0000", 60)]
+    assert [r.name for r in quality_rules.greedy_order(picked, judged, cost)] == ["symbols", "few_words", "word_length", "repetition"]
+    # Steps that are built anyway cost nothing.
+    free = {s.name for s in rules["repetition"].steps}
+    assert quality_rules.greedy_order(picked, [("0100", 1), ("0010", 9)], cost, free)[0].name == "repetition"
+
+
+def test_statistics_do_not_change_the_verdict(spark, odd):
+    plain = quality_rules.cascade(odd).select("_row.doc_id", "_row.text", F.col("first_failed").isNull().alias("k"))
+    full = quality_rules.cascade(odd, statistics=True).select("_row.doc_id", "_row.text", F.col("first_failed").isNull().alias("k"))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, full.collect()))
+
+
 def test_quality_rules_on_an_empty_table(none):
     assert quality_rules.apply_rules(none).count() == 0
 
