@@ -195,3 +195,19 @@ def test_distinct_texts_count_their_copies(spark):
     docs = spark.createDataFrame([(i, "a\nb" if i % 2 else None) for i in range(100)] + [(None, "")], "doc_id long, text string")
     rows = line_dedup.distinct_texts(docs.repartition(5)).collect()
     assert sorted((r["copies"], len(r["_k"])) for r in rows) == [(50, 2), (51, 1)]
+
+
+def test_near_dedup_is_the_same_however_keys_are_worked_on(spark, monkeypatch):
+    """One large group of near copies, with every key hot and with none."""
+    base = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(base[:i % 30] + [f"x{i}"] + base[i % 30 + 1:])) for i in range(150)]
+    texts += [(200 + i, " ".join(f"other{i}-{j}" for j in range(30))) for i in range(40)] + [(300 + i, texts[3][1]) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    want = py_components(texts)
+    for least, share, classes in ((1, 10**9, 1), (10**9, 1, 1000)):
+        monkeypatch.setattr(near_dedup, "SAMPLED", 1 if least == 1 else 64)
+        monkeypatch.setattr(near_dedup, "HOT_LEAST", least)
+        monkeypatch.setattr(near_dedup, "HOT_KEYS", share)
+        monkeypatch.setattr(near_dedup, "HOT_CLASSES", classes if least > 1 else 10**9)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+        assert got == want
