@@ -4,8 +4,12 @@ Documents hang below a tree of levels (by default domain, language, source).
 A token target is handed down: a node's budget is split among its children
 by weight, and a child that cannot supply its share (its tokens times the
 epochs allowed) passes the shortage to its siblings, again by weight; only
-what they cannot supply either goes up, to the siblings of the ancestor. The
-statistics that decide this are one row per leaf.
+what they cannot supply either goes up, to the siblings of the ancestor.
+Budgets are tables, one per level (a source of its own for every web host is
+a leaf, so there may be millions): children that run dry are those with the
+least supply per weight, so sums over the distinct values of that ratio say
+for every node at once which children give all they have and what the others
+get per weight.
 
 A leaf's budget is met from seeded epochs: every epoch orders the leaf's
 documents by a hash of seed, epoch and id; full epochs are taken whole, and
@@ -33,6 +37,7 @@ DEFAULT_WEIGHT = 1.0
 SEED = 20
 MAX_EPOCHS = 2
 BUCKET_ROWS = 4096
+SALTS = 16
 
 #: Weights by path below the root; what is missing has DEFAULT_WEIGHT.
 WEIGHTS = {("web",): 6.0, ("reference",): 3.0, ("forum",): 2.0,
@@ -54,49 +59,53 @@ def word_tokens(text: Column) -> Column:
     return F.size(F.array_remove(F.split(t, "[ \\t\\n\\x0B\\f\\r]+"), "")).cast("long")
 
 
-def fill(budget: float, children: list[tuple[str, float, float]]) -> dict[str, float]:
-    """Shares of ``budget`` for (name, weight, capacity) children: by weight,
-    what one cannot supply going to its siblings by weight."""
-    out = {name: 0.0 for name, _, _ in children}
-    left = [(n, w, c) for n, w, c in children if w > 0 and c > 0]
-    rest = min(budget, sum(c for _, _, c in left))
-    while left and rest > 0:
-        total = sum(w for _, w, _ in left)
-        full = [(n, w, c) for n, w, c in left if c * total <= rest * w]
-        if not full:
-            for n, w, _ in left:
-                out[n] = rest * w / total
-            break
-        for n, _, c in full:
-            out[n] = c
-            rest -= c
-        names = {n for n, _, _ in full}
-        left = [x for x in left if x[0] not in names]
+def _weights(path: Column, weights: dict, depth: int) -> Column:
+    """Weights of the nodes of one depth (the dict is a parameter)."""
+    out = F.lit(DEFAULT_WEIGHT)
+    for key, w in weights.items():
+        if len(key) == depth:
+            out = F.when(path == F.array(*(F.lit(x) for x in key)), F.lit(float(w))).otherwise(out)
     return out
 
 
-def budgets(supply: dict[tuple, int], target: float, weights: dict[tuple, float], max_epochs: int) -> dict[tuple, int]:
-    """Token budget of every leaf path, top down: a node is never given more
-    than its leaves can supply, so a shortage reaches an ancestor's siblings
-    only after the node's own children."""
-    capacity: dict[tuple, float] = {}
-    kids: dict[tuple, set] = {}
-    for path, tokens in supply.items():
-        for i in range(len(path) + 1):
-            capacity[path[:i]] = capacity.get(path[:i], 0) + tokens * max_epochs
-            if i:
-                kids.setdefault(path[:i - 1], set()).add(path[:i])
-    out, stack = {}, [((), min(target, capacity.get((), 0)))]
-    while stack:
-        node, budget = stack.pop()
-        below = sorted(kids.get(node, ()), key=lambda p: tuple((x is not None, str(x)) for x in p))
-        if not below:
-            if node:
-                out[node] = int(budget + 1e-6)
-            continue
-        shares = fill(budget, [(p, float(weights.get(p, DEFAULT_WEIGHT)), capacity[p]) for p in below])
-        stack.extend((p, shares[p]) for p in below)
-    return out
+def shares(children: DataFrame) -> DataFrame:
+    """(path, budget) from (parent, path, w, cap, given): each parent's
+    ``given`` by weight, what a child cannot supply going to its siblings by
+    weight."""
+    able = children.where((F.col("w") > 0) & (F.col("cap") > 0)).withColumn("ratio", F.col("cap") / F.col("w"))
+    by_ratio = able.groupBy("parent", "ratio").agg(F.sum("cap").alias("c"), F.sum("w").alias("w"), F.max("given").alias("given"))
+    upto = Window.partitionBy("parent").orderBy("ratio")
+    all_of = Window.partitionBy("parent")
+    ranked = (by_ratio.withColumn("before", F.sum("c").over(upto) - F.col("c")).withColumn("after", F.sum("w").over(all_of) - F.sum("w").over(upto) + F.col("w"))
+                      .withColumn("rest", F.least("given", F.sum("c").over(all_of)) - F.col("before")))
+    dry = F.col("ratio") * F.col("after") <= F.col("rest")
+    # The first ratio that does not run dry: what is left there, per weight.
+    level = (ranked.where(~dry).groupBy("parent").agg(F.min_by(F.struct("rest", "after"), "ratio").alias("m"), F.min("ratio").alias("edge"))
+                   .select("parent", "edge", (F.greatest(F.col("m.rest"), F.lit(0.0)) / F.col("m.after")).alias("per_weight")))
+    part = children.withColumn("ratio", F.when(F.col("w") > 0, F.col("cap") / F.col("w"))).join(level, "parent", "left")
+    budget = (F.when((F.col("w") <= 0) | (F.col("cap") <= 0), F.lit(0.0))
+               .when(F.col("edge").isNull() | (F.col("ratio") < F.col("edge")), F.col("cap"))
+               .otherwise(F.col("per_weight") * F.col("w")))
+    return part.select("path", budget.alias("budget"))
+
+
+def budgets(leaves: DataFrame, target_share: float, weights: dict, max_epochs: int, depth: int, stage: Stage) -> DataFrame:
+    """(path, given): token budget of every leaf of (path, tokens, rows), top
+    down: a node is never given more than its leaves can supply, so a shortage
+    reaches an ancestor's siblings only after the node's own children."""
+    cap = leaves.select("path", (F.coalesce("tokens", F.lit(0)) * max_epochs).cast("double").alias("cap"))
+    total = cap.agg(F.coalesce(F.sum("cap"), F.lit(0.0))).first()[0]
+    target = min(target_share * total / max_epochs, total)
+    given = None
+    for i in range(1, depth + 1):
+        nodes = (cap.groupBy(F.slice("path", 1, i).alias("path")).agg(F.sum("cap").alias("cap"))
+                    .withColumn("parent", F.slice("path", 1, i - 1)).withColumn("w", _weights(F.col("path"), weights, i)))
+        if given is None:
+            nodes = nodes.withColumn("given", F.lit(float(target)))
+        else:
+            nodes = nodes.join(given.select(F.col("path").alias("parent"), F.col("budget").alias("given")), "parent")
+        given = stage.put(shares(stage.put(nodes, f"nodes-{i}")), f"budgets-{i}")
+    return given.select("path", F.floor(F.col("budget") + 1e-6).cast("long").alias("given"))
 
 
 def _hash(seed: int, epoch: Column) -> Column:
@@ -110,23 +119,18 @@ def _bucket() -> Column:
 
 
 def leaf_cutoffs(light: DataFrame, target_share: float, weights: dict, seed: int, max_epochs: int,
-                 bucket_rows: int) -> DataFrame:
+                 bucket_rows: int, depth: int, stage: Stage) -> DataFrame:
     """One row per leaf: whole epochs to take, and the place in the order of
     the last one up to which documents are taken (``cut``: a bucket, and in
     it the last (hash, id); null there: none of the bucket)."""
-    spark = light.sparkSession
-    leaves = light.groupBy("path").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()
-    supply = {tuple(r["path"]): int(r["tokens"] or 0) for r in leaves}
-    given = budgets(supply, target_share * sum(supply.values()), weights, max_epochs)
-    plan = []
-    for r in leaves:
-        path, tokens = tuple(r["path"]), int(r["tokens"] or 0)
-        whole = min(given[path] // tokens, max_epochs) if tokens else 0
-        rest = given[path] - whole * tokens if whole < max_epochs else -1      # -1: nothing of a further epoch
-        plan.append((list(path), int(whole), int(rest), max(1, -(-int(r["rows"]) // bucket_rows))))
-    table = spark.createDataFrame(plan, "path array<string>, whole int, rest long, buckets long")
-    ordered = (light.join(F.broadcast(table), "path")                          # one row per leaf
-                    .withColumn("h", _hash(seed, F.col("whole"))).withColumn("bucket", _bucket()))
+    leaves = stage.put(light.groupBy("path").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("rows")), "leaves")
+    given = budgets(leaves, target_share, weights, max_epochs, depth, stage)
+    whole = F.when(F.col("tokens") > 0, F.least(F.expr("given div tokens"), F.lit(max_epochs))).otherwise(0).cast("int")
+    rest = F.when(F.col("whole") < max_epochs, F.col("given") - F.col("whole") * F.col("tokens")).otherwise(-1)      # -1: nothing of a further epoch
+    table = stage.put(leaves.join(given, "path").withColumn("whole", whole)
+                            .select("path", "whole", rest.cast("long").alias("rest"),
+                                    F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).cast("long").alias("buckets")), "leaf-plan")
+    ordered = _at_leaf(light, table).withColumn("h", _hash(seed, F.col("whole"))).withColumn("bucket", _bucket())
     upto = Window.partitionBy("path").orderBy("bucket")
     edge = (ordered.groupBy("path", "rest", "bucket").agg(F.sum("n_tokens").alias("t"))
                    .withColumn("upto", F.sum("t").over(upto)).where("upto > rest")
@@ -134,7 +138,7 @@ def leaf_cutoffs(light: DataFrame, target_share: float, weights: dict, seed: int
                    .select("path", F.col("e.bucket").alias("bucket"), F.col("e.before").alias("before")))
     # Peers in (hash, id) are summed together: the default range frame.
     inside = Window.partitionBy("path", "bucket").orderBy("h", "_id")
-    last = (ordered.join(F.broadcast(edge), ["path", "bucket"])        # one row per leaf
+    last = (ordered.join(edge, ["path", "bucket"])                     # a bucket of each leaf
                    .withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside)).where("upto <= rest")
                    .groupBy("path").agg(F.max(F.struct("h", "_id")).alias("last")))
     return (table.join(edge.select("path", F.col("bucket").alias("edge")), "path", "left").join(last, "path", "left")
@@ -142,6 +146,15 @@ def leaf_cutoffs(light: DataFrame, target_share: float, weights: dict, seed: int
                          F.col("last._id").alias("last_id")))
 
 
+def _at_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their leaf. The rows of a leaf are dealt
+    out over SALTS, unless the table of leaves is small enough for Spark to
+    send it to the rows."""
+    own = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+    dealt = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", own).join(dealt, ["path", "_salt"]).drop("_salt")
+
+
 def mix(docs: DataFrame, levels: list[Column], tokens: Column, target_share: float = TARGET_SHARE, weights=None,
         seed: int = SEED, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``_row`` (struct of all columns), ``path`` (array), ``n_tokens`` and
@@ -156,9 +169,10 @@ def mix(docs: DataFrame, levels: list[Column], tokens: Column, target_share: flo
     rows = docs.select(row, F.array(*(c.cast("string") for c in levels)).alias("path"),
                        tokens.cast("long").alias("n_tokens"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"))
     light = stage.put(rows.select("path", "n_tokens", "_id"), "light")
-    cut = stage.put(leaf_cutoffs(light, target_share, WEIGHTS if weights is None else weights, seed, max_epochs, bucket_rows), "cut")
+    cut = stage.put(leaf_cutoffs(light, target_share, WEIGHTS if weights is None else weights, seed, max_epochs, bucket_rows,
+                                 len(levels), stage), "cut")
     stage.drop(light)
-    placed = (rows.join(F.broadcast(cut), "path").withColumn("h", _hash(seed, F.col("whole"))).withColumn("bucket", _bucket()))
+    placed = _at_leaf(rows, cut).withColumn("h", _hash(seed, F.col("whole"))).withColumn("bucket", _bucket())
     at_edge = (F.col("h") < F.col("last_h")) | ((F.col("h") == F.col("last_h")) & (F.col("_id") <= F.col("last_id")))
     before = F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(at_edge, F.lit(False)))
     epochs = F.col("whole") + ((F.col("rest") >= 0) & before).cast("int")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from guardspark.llm import cover_tree, language_mix, mixing, quality_model
+from guardspark.llm.common import Stage
 from guardspark.llm.queries import mixing_levels
 
 from .conftest import TEXTS
@@ -123,17 +124,64 @@ def test_languages_on_odd_rows(odd, none):
     assert {r["lang_pred"] for r in language_mix.detect(nothing).collect()} == {"und"}
 
 
+def py_fill(budget, children):
+    """Shares of (name, weight, capacity) children, in rounds."""
+    out, left = {n: 0.0 for n, _, _ in children}, [c for c in children if c[1] > 0 and c[2] > 0]
+    rest = min(budget, sum(c for _, _, c in left))
+    while left and rest > 0:
+        total = sum(w for _, w, _ in left)
+        dry = [c for c in left if c[2] * total <= rest * c[1]]
+        if not dry:
+            return out | {n: rest * w / total for n, w, _ in left}
+        for n, _, c in dry:
+            out[n], rest = c, rest - c
+        left = [c for c in left if c not in dry]
+    return out
+
+
+def py_budgets(supply, target, weights, epochs):
+    depth = len(next(iter(supply), ()))
+    cap = {p[:i]: sum(n for q, n in supply.items() if q[:i] == p[:i]) * epochs for p in supply for i in range(depth + 1)}
+    given = {(): min(target, cap.get((), 0))}
+    for i in range(1, depth + 1):
+        for parent in {p[:i - 1] for p in supply}:
+            kids = sorted({p[:i] for p in supply if p[:i - 1] == parent}, key=str)
+            given |= py_fill(given[parent], [(k, weights.get(k, mixing.DEFAULT_WEIGHT), cap[k]) for k in kids])
+    return {p: int(given[p] + 1e-6) for p in supply}
+
+
+@pytest.mark.parametrize("share, epochs", [(0.0, 1), (0.4, 1), (0.9, 2), (3.0, 2), (2.0, 3)])
+def test_budget_tables_equal_plain_python(spark, share, epochs):
+    rnd = random.Random(int(share * 10) + epochs)
+    supply = {(d, x, s): rnd.choice([0, 1, 7, 500, rnd.randint(1, 10_000)])
+              for d in ("web", "forum", None) for x in ("en", "de", None) for s in [f"s{i}" for i in range(rnd.randint(1, 40))] + [None]}
+    weights = {("web",): 6.0, ("forum",): 0.0, ("web", "en"): 5.0, ("web", "en", "s1"): 40.0, ("absent",): 3.0}
+    leaves = spark.createDataFrame([(list(p), n, 1) for p, n in supply.items()], "path array<string>, tokens long, rows long").repartition(3)
+    got = mixing.budgets(leaves, share, weights, epochs, 3, Stage(spark, "budgets"))
+    assert {tuple(r["path"]): r["given"] for r in got.collect()} == py_budgets(supply, share * sum(supply.values()), weights, epochs)
+
+
+def test_mixing_of_very_many_sources(spark):
+    """A leaf for every document: all that is one row per leaf stays a table."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"),
+                                      F.concat(F.lit("host"), "id").alias("source"))
+    got = mixing.mix(docs, [F.lit("web"), F.col("source")], mixing.word_tokens(F.col("text")), 0.5, {}, max_epochs=1)
+    assert got.count() == 0                       # a leaf's share is half of its one document
+    got = mixing.mix(docs, [F.lit("web"), F.col("source")], mixing.word_tokens(F.col("text")), 1.0, {}, max_epochs=1)
+    assert got.count() == 60_000
+
+
 def test_fill_gives_shortages_to_siblings():
-    assert mixing.fill(100, [("a", 1, 10), ("b", 1, 1000), ("c", 2, 1000)]) == {"a": 10, "b": 30, "c": 60}
-    assert mixing.fill(100, [("a", 1, 10), ("b", 0, 50)]) == {"a": 10, "b": 0}
-    assert mixing.fill(0, [("a", 1, 10)]) == {"a": 0}
+    assert py_fill(100, [("a", 1, 10), ("b", 1, 1000), ("c", 2, 1000)]) == {"a": 10, "b": 30, "c": 60}
+    assert py_fill(100, [("a", 1, 10), ("b", 0, 50)]) == {"a": 10, "b": 0}
+    assert py_fill(0, [("a", 1, 10)]) == {"a": 0}
 
 
 def test_shortages_reach_ancestors_only_after_siblings():
     supply = {("d0", "en", "s0"): 10, ("d0", "en", "s1"): 500, ("d0", "de", "s2"): 500, ("d1", "en", "s3"): 500}
-    got = mixing.budgets(supply, 400, {}, 1)
+    got = py_budgets(supply, 400, {}, 1)
     assert got == {("d0", "en", "s0"): 10, ("d0", "en", "s1"): 90, ("d0", "de", "s2"): 100, ("d1", "en", "s3"): 200}
-    short = mixing.budgets({**supply, ("d1", "en", "s3"): 50}, 400, {}, 1)
+    short = py_budgets({**supply, ("d1", "en", "s3"): 50}, 400, {}, 1)
     assert short[("d1", "en", "s3")] == 50 and sum(short.values()) == 400
 
 
@@ -142,7 +190,7 @@ def py_mix(docs, share, weights, epochs, seed=mixing.SEED):
     for _, path, n in docs:
         supply[path] = supply.get(path, 0) + n
     out = []
-    for path, budget in mixing.budgets(supply, share * sum(supply.values()), weights, epochs).items():
+    for path, budget in py_budgets(supply, share * sum(supply.values()), weights, epochs).items():
         own, e = [d for d in docs if d[1] == path], 0
         while e < epochs and supply[path] and budget >= supply[path]:
             out += [(d[0], e) for d in own]
