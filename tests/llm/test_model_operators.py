@@ -292,3 +292,38 @@ def test_cover_tree_covers_and_prunes():
     search.leaves = lambda a, b: (calls.append(len(a) * len(b)), plain(a, b))
     search.run()
     assert sum(calls) < 0.7 * 20 * len(x)
+
+
+def test_bounds_hold_for_all_pairs_and_close_regions_on_clusters():
+    """No pair of nodes scores above its bound; on tight clusters most pairs
+    are ruled out."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(30, 32))
+    x = np.repeat(centers / np.linalg.norm(centers, axis=1)[:, None], 40, axis=0) + rng.normal(size=(1200, 32)) * 0.02
+    x = np.floor(1024 * x).astype(np.int64)
+    ids = np.arange(len(x))
+    s = cover_tree.DualSearch(ids, x, ids, x, np.full(len(x), -np.inf), 5)
+    a, b = cover_tree.build(s.q), cover_tree.build(s.x)
+    stack, nodes = [a], []
+    while stack:
+        n = stack.pop()
+        nodes.append(n)
+        stack.extend(n.children)
+    for n in nodes:
+        for m in (b, *b.children):
+            assert s.bound(n, m) >= (s.q[n.rows] @ s.x[m.rows].T).max()
+    seen = []
+    scored = cover_tree.DualSearch.leaves
+    s.leaves = lambda qr, xr: (seen.append(len(qr) * len(xr)), scored(s, qr, xr))
+    s.run()
+    assert sum(seen) < 0.5 * len(s.q) * len(s.x)
+    full = (x @ x.T).astype(float)
+    full[ids, ids] = -np.inf
+    assert (s.scores == np.sort(full, axis=1)[:, ::-1][:, :5]).all()
+
+
+def test_bins_hold_neighbouring_regions():
+    centers = np.arange(8.0)[:, None] * np.ones((1, 3))
+    asking = np.array([3, 3, 3, 3, 3, 3, 9, 0])
+    bins = cover_tree.region_bins(centers, asking, 6)
+    assert sorted(x for x in np.bincount(bins, weights=asking).tolist() if x) == [6, 6, 6, 9] and bins[0] == bins[1]
