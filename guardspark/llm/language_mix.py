@@ -10,6 +10,9 @@ proportion is largest in a mixture of all joins as long as the gain exceeds the
 penalty (half the logarithm of the n-gram count times PENALTY). The
 prediction is the largest proportion of the chosen set.
 
+Of the values of the language column, the MAX_LANGUAGES with the most training
+rows are learnt, so a dirty column cannot make the model grow without bound.
+
 Edge cases: null texts and texts without a letter give ``und`` and score 0;
 rows with a null language are not learnt from; with nothing to learn from,
 every text is ``und``; a null id is an id like any other (its fold is that of
@@ -32,6 +35,7 @@ ROUNDS = 12
 PENALTY = 6.0
 SMOOTH = 0.5
 MAX_ROWS = 256          # texts explained at once
+MAX_LANGUAGES = 256
 
 _FOLD = np.full(256, 32, np.uint8)
 for _c in range(26):
@@ -70,6 +74,8 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[l
     """Languages and their cell distributions, from all training rows."""
     rows = (docs.where(F.col(lang_col).isNotNull() & (crc32_mod(id_col, FOLDS) != HELD_OUT))
                 .select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text")))
+    named = rows.groupBy("_lang").count().orderBy(F.col("count").desc(), "_lang").limit(MAX_LANGUAGES).select("_lang")
+    rows = rows.join(F.broadcast(named), "_lang", "left_semi")                     # MAX_LANGUAGES names
 
     def tally(batches):
         sums: dict[str, np.ndarray] = {}

@@ -2,7 +2,7 @@
 statistics.
 
 Statistics are computed for every whole text, in numpy over flat byte
-arrays. Trees are grown level by level on statistics binned to 256 values:
+arrays. Trees are grown level by level on statistics binned to BINS values:
 gradients and Hessians are summed per (node, feature, bin), the best split of
 each node is read from the cumulative sums. The grown trees are flattened
 into arrays (feature, bin threshold, left child, leaf value) and all rows of

@@ -116,6 +116,79 @@ def test_screening_by_slope_loses_no_mixture():
     assert (pi.argmax(axis=1) == full.argmax(axis=1)).mean() > 0.95
 
 
+def py_em(c, p, rounds=3000):
+    """Proportions of one text, cell by cell, to convergence."""
+    k = len(p)
+    pi = [1.0 / k] * k
+    cells = [(j, n) for j, n in enumerate(c) if n]
+    for _ in range(rounds):
+        new = [0.0] * k
+        for j, n in cells:
+            mix = sum(pi[i] * p[i][j] for i in range(k))
+            for i in range(k):
+                new[i] += n * pi[i] * p[i][j] / mix
+        total = sum(new)
+        new = [x / total for x in new]
+        if max(abs(x - y) for x, y in zip(new, pi)) < 1e-10:
+            break
+        pi = new
+    return pi
+
+
+def test_proportions_equal_a_plain_em():
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet(np.full(200, 0.2), 3) + 1e-6
+    p /= p.sum(axis=1, keepdims=True)
+    c = np.stack([rng.multinomial(800, w @ p / (w @ p).sum()) for w in ([0.7, 0.3, 0.0], [0.1, 0.2, 0.7], [1.0, 0.0, 0.0])])
+    got, ll = language_mix.proportions(c.astype(float), p, np.ones((3, 3)), 3000)
+    want = [py_em(row.tolist(), p.tolist()) for row in c]
+    assert np.abs(got - np.array(want)).max() < 1e-4
+    assert np.allclose(ll, [sum(n * np.log(np.array(w) @ p[:, j]) for j, n in enumerate(row) if n) for w, row in zip(want, c)], rtol=1e-6)
+
+
+def test_held_out_languages_are_never_learnt_from(spark):
+    """Other languages on all held-out rows, and texts there: same predictions
+    for the rest, and a language that only they have is never predicted."""
+    rnd = random.Random(3)
+    words = {"en": "the of and river walked".split(), "de": "der die und nicht schön".split()}
+    docs = [(i, " ".join(rnd.choice(words[k]) for _ in range(40)), k) for i, k in enumerate(["en", "de"] * 60)]
+    changed = [(i, t, "xx" if fold(i, 4) == 2 else k) for i, t, k in docs]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_mix.detect(frame(x)).collect()} for x in (docs, changed))
+    assert a == b and {x for x, _ in b.values()} == {"en", "de"}
+
+
+def test_only_the_largest_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language_mix, "MAX_LANGUAGES", 2)
+    docs = [(i, f"{k * 5} {k * 3}", k) for i, k in enumerate(["aa", "bb"] * 30 + ["cc"] * 10)]
+    got = language_mix.detect(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert {r["lang_pred"] for r in got} == {"aa", "bb"}
+
+
+def test_first_split_equals_an_exhaustive_search():
+    """Gain of every (statistic, cut) from its definition; and the leaves' values."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 5))
+    y = (x[:, 3] + 0.3 * rng.normal(size=300) > 0.4).astype(float)
+    m = quality_model.fit(x, y, trees=1)
+    b, p = m.bins(x), y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    gains = {}
+    for f in range(5):
+        for cut in range(int(b[:, f].max())):
+            left = b[:, f] <= cut
+            if min(h[left].sum(), h[~left].sum()) >= quality_model.MIN_HESSIAN:
+                gains[f, cut] = sum(g[s].sum() ** 2 / (h[s].sum() + quality_model.L2) for s in (left, ~left))
+    best = max(gains.values())
+    assert gains[int(m.feature[0, 0]), int(m.cut[0, 0])] == pytest.approx(best) and m.feature[0, 0] == 3
+    at = np.zeros(len(y), int)
+    for _ in range(quality_model.DEPTH):
+        at = 2 * at + 1 + (b[np.arange(len(y)), m.feature[0, at]] > m.cut[0, at])
+    for leaf in np.unique(at):
+        own = at == leaf
+        assert m.value[0, leaf] == pytest.approx(-quality_model.RATE * g[own].sum() / (h[own].sum() + quality_model.L2))
+
+
 def test_languages_on_odd_rows(odd, none):
     got = language_mix.detect(odd).collect()
     assert len(got) == len(TEXTS) and {r["lang_pred"] for r in got} <= {"en", "de", "und"}
