@@ -9,6 +9,7 @@ from ..operators import chunking as CH
 from ..operators import retrieval as R
 from ..session import stored
 from ..sources import fixtures as FX
+from ..sources.corpus import ingest_corpus
 from ..sources.tables import read_table, spread_rows
 from . import sqlgen as S
 from .fixture_sql import prompt_ctes
@@ -152,6 +153,27 @@ def source_preview_q(spark, sf):
                     F.round("score", 6).alias("score"), "preview", R.score_band("score").alias("band"))
 
 
+def _model_sql() -> str:
+    letters = ", ".join(f"length(content) - length(replace(replace(content, '{c}', ''), '{c.upper()}', ''))" for c in FX.LetterModel.LETTERS)
+    return S.with_ctes(S.chunk_ctes(_CLEAN_SRC) + [
+        f"n AS (SELECT doc_id, chunk_index, CAST([{letters}] AS DOUBLE[]) AS v FROM chunks)",
+        "u AS (SELECT doc_id, chunk_index, sqrt(list_dot_product(v, v)) AS norm, v FROM n)"],
+        "SELECT doc_id, chunk_index, " + ", ".join(f"round(CAST(CAST(CASE WHEN norm > 0 THEN v[{i + 1}] / norm ELSE 0.0 END AS FLOAT) AS DOUBLE), 4) AS {c}"
+                                                   for i, c in ((4, "e"), (13, "n"), (18, "s"))) + ", "
+        "CASE WHEN norm > 0 THEN 1.0 ELSE 0.0 END AS length FROM u")
+
+
+@register("embed_with_model", _model_sql)
+def embed_with_model_q(spark, sf):
+    """Every chunk embedded by a user's model (an object with ``embed``, made
+    once per Python worker), L2-normalised; some components and the length."""
+    model = V.ModelEmbedder(FX.LetterModel, len(FX.LetterModel.LETTERS), model_id="letters")
+    docs = read_table(spark, sf, "documents", spread=True).withColumnRenamed("source", "source_file")
+    c = ingest_corpus(docs, embedder=model)
+    part = {x: F.round(F.col("vector")[i].cast("double"), 4).alias(x) for i, x in ((4, "e"), (13, "n"), (18, "s"))}
+    return c.select("doc_id", "chunk_index", *part.values(), F.round(F.sqrt(V.dot("vector", "vector")), 4).alias("length"))
+
+
 @register("embed_text", lambda: S.with_ctes(S.chunk_ctes(_CLEAN_SRC) + [
     f"ch AS (SELECT *, {S.pair_id('doc_id', 'chunk_index')} AS id FROM chunks)"]
     + S.tokens_bucket_ctes("ch", "id", "content", "cv"),

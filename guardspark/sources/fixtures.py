@@ -216,3 +216,13 @@ def dirty_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(i % 4 != 0, F.concat(F.col("text"), F.lit(" "),
                                                 _phrase(DIRTY_BLOCKS, i % len(DIRTY_BLOCKS))))
                      .otherwise(F.col("text")).alias("text"))
+
+
+class LetterModel:
+    """Stand-in for a user's embedding model: how often each letter a-z
+    occurs in a text, upper or lower case."""
+
+    LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+    def embed(self, texts: list[str]):
+        return [[t.count(c) + t.count(c.upper()) for c in self.LETTERS] for t in texts]

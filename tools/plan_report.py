@@ -18,7 +18,8 @@ KEY = [
     ("get_events", "filter pushed into the scan; top-k without a full sort"),
     ("redact_sensitive", "ten regex stages in one codegen stage; no shuffle beyond spreading one split"),
     ("chunk_documents", "Arrow map + generator; no shuffle"),
-    ("cosine_topk", "cogrouped (shard, block) products; group-limited window; no cartesian product"),
+    ("cosine_topk", "corpus rows sent once to their shard, queries to every shard; group-limited window; no join"),
+    ("screen_prompts", "no Python nodes"),
 ]
 
 
