@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK_ROWS = 16
+PIVOTS = 256
 TILE_QUERIES, TILE_ROWS = 512, 4096
 SEED_BLOCKS = 4                  # scored first, besides those that k rows need
 HELD = 1 << 21                   # candidates of a tile before only the best are kept
@@ -46,6 +47,19 @@ def _best_first(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -
     return order[np.arange(len(q)) - first < k]
 
 
+def _alike(unit: np.ndarray) -> np.ndarray:
+    """An order of the rows with alike ones side by side: by the nearest of some
+    of the rows, then by the buckets that stand out most."""
+    weight = np.abs(unit)
+    weight /= np.sqrt(weight.mean(axis=0) + 1e-12)
+    top = min(2, unit.shape[1])
+    lead = np.argpartition(-weight, top - 1, axis=1)[:, :top]
+    lead = np.take_along_axis(lead, np.argsort(-np.take_along_axis(weight, lead, 1), axis=1, kind="stable"), 1)
+    pivots = unit[np.linspace(0, len(unit) - 1, min(PIVOTS, max(1, len(unit) // BLOCK_ROWS))).astype(int)]
+    near = np.concatenate([(unit[lo:lo + TILE_ROWS] @ pivots.T).argmax(axis=1) for lo in range(0, len(unit), TILE_ROWS)])
+    return np.lexsort((*lead.T[::-1], near))
+
+
 class Shard:
     """Corpus rows with their blocks and inverted lists. ``met`` and ``pairs``
     count the (query, block) pairs that were scored, and all there were."""
@@ -54,13 +68,7 @@ class Shard:
         sq = np.einsum("ij,ij->i", m, m)
         unit = _unit(m, sq)
         if len(m):
-            # Alike rows side by side: by the buckets that stand out most.
-            weight = np.abs(unit)
-            weight /= np.sqrt(weight.mean(axis=0) + 1e-12)
-            top = min(3, m.shape[1])
-            lead = np.argpartition(-weight, top - 1, axis=1)[:, :top]
-            lead = np.take_along_axis(lead, np.argsort(-np.take_along_axis(weight, lead, 1), axis=1, kind="stable"), 1)
-            order = np.lexsort(lead.T[::-1])
+            order = _alike(unit)
             ids, m, sq, unit = ids[order], m[order], sq[order], unit[order]
         self.ids, self.m, self.sq, self.block_rows = ids, m, sq, block_rows
         at = np.arange(0, len(m), block_rows)
