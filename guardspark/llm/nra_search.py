@@ -48,6 +48,7 @@ TOP = 10
 BLOCK_BYTES = 8 << 20         # of item texts, sent to the tasks at once
 SHARD_POSTINGS = 1 << 21
 FIRST_READ = 64               # postings of a list in the first step
+CELLS = 1 << 28               # (list, document) flags held at once
 POSTINGS = "doc_id long, n long, terms array<int>, tf array<int>"
 HITS = "item int, doc_id long, score long"
 
@@ -109,6 +110,12 @@ def _first(scores: np.ndarray, null: np.ndarray, ids: np.ndarray, k: int) -> np.
     return np.lexsort((ids, null, -scores))[:k]
 
 
+def _within(docs: np.ndarray, value: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """A list's postings of the documents from ``lo`` up to ``hi``, numbered from 0."""
+    own = (docs >= lo) & (docs < hi)
+    return docs[own] - lo, value[own]
+
+
 class Shard:
     """Impact-sorted lists of one shard of documents."""
 
@@ -125,10 +132,16 @@ class Shard:
                 lists.append((self.doc[part], self.value[part] * w))
         if not lists:
             return
-        docs, scores = nra(lists, len(self.ids), best.k, best.floor())
-        top = _first(scores, self.null[docs], self.ids[docs], best.k)
-        docs = docs[top]
-        best.add(self.ids[docs], self.null[docs], scores[top])
+        # An item of very many terms meets the shard's documents in parts.
+        step = max(1, CELLS // len(lists))
+        for lo in range(0, len(self.ids), step):
+            hi = min(lo + step, len(self.ids))
+            part = lists if hi - lo == len(self.ids) else [_within(*x, lo, hi) for x in lists]
+            docs, scores = nra(part, hi - lo, best.k, best.floor())
+            docs = docs + lo
+            top = _first(scores, self.null[docs], self.ids[docs], best.k)
+            docs = docs[top]
+            best.add(self.ids[docs], self.null[docs], scores[top])
 
 
 def postings(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:

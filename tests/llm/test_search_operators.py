@@ -73,6 +73,21 @@ def test_search_matches_brute_force(odd, items, blocks, shard):
     assert len(got) == len({(r["item_id"], r["rank"]) for r in got})
 
 
+def test_an_item_of_very_many_terms_is_answered_in_parts(monkeypatch):
+    """The flags of which list met which document are bounded."""
+    monkeypatch.setattr(nra_search, "CELLS", 30)
+    from guardspark.llm.nra_search import Shard, _Best
+    rng = np.random.default_rng(2)
+    term, doc = np.repeat(np.arange(20), 50), np.concatenate([rng.permutation(200)[:50] for _ in range(20)])
+    value = rng.integers(1, 50, 1000)
+    full = np.zeros(200, np.int64)
+    np.add.at(full, doc, value * (term + 1))
+    best = _Best(7)
+    Shard(np.arange(200) * 3, np.zeros(200, bool), doc, term, value, 20).search(np.arange(20), np.arange(1, 21), best)
+    order = np.lexsort((np.arange(200), -full))[:7]
+    assert best.rows == [(int(full[i]), False, int(i) * 3) for i in order]
+
+
 def test_nra_keeps_all_that_can_be_among_the_best():
     rng = np.random.default_rng(5)
     for trial in range(60):
