@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import vectors as V
+from ..functions.regex import sql_lit
 from ..operators import output_scan as OS
 from ..operators import prompts as PR
 from ..operators import retrieval as R
@@ -34,12 +35,6 @@ STEP_T = "struct<stage:string,layer:string,status:string,score:double,detail:str
 LOG_T = "struct<stage:string,action:string,reason:string,threat_level:double,source:string,chunk:bigint>"
 
 
-def _step(stage, layer, status, score, detail) -> F.Column:
-    c = lambda x: x if isinstance(x, F.Column) else F.lit(x)
-    return F.struct(c(stage).alias("stage"), c(layer).alias("layer"), c(status).alias("status"),
-                    c(score).cast("double").alias("score"), c(detail).alias("detail"), F.lit("").alias("category"))
-
-
 def _log(stage, action, reason=None, threat=None, source=None, chunk=None) -> F.Column:
     c = lambda x, t: (x if isinstance(x, F.Column) else F.lit(x)).cast(t)
     return F.struct(c(stage, "string").alias("stage"), c(action, "string").alias("action"),
@@ -151,43 +146,42 @@ def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, ver
                        enabled=canary_enabled)
     a = OS.check_outputs(a.withColumn("_checked_in", F.col("canary_sanitized")), "_checked_in", strict=strict_output)
     leaked = F.col("canary_leaked")
-    issue_cats = F.array_join(F.array_sort(F.array_distinct(F.transform("out_issues", lambda i: i["category"]))), ", ")
-    out_status = F.when(F.col("out_blocked"), "block").when(F.col("out_had_issues"), "warn").otherwise("pass")
-    layer, said = {x: x for x in P.TRACE_LAYERS}, P.TRACE_TEXTS
-    trace_tail = F.array(
-        _step("retrieval", layer["Document Sanitizer"], F.when(F.col("n_sanitized") > 0, "warn").otherwise("pass"),
-              F.when(F.col("n_sources") > 0, F.bround(F.col("n_sanitized") / F.col("n_sources"), 3)).otherwise(0.0),
-              F.when(F.col("n_sanitized") > 0, F.format_string(said["sanitized"],
-                                                                F.col("n_sanitized"), F.col("n_sources")))
-               .otherwise(F.format_string(said["clean"], F.col("n_sources")))),
-        _step("retrieval", layer["Trust Scorer"], F.when(F.col("avg_trust") < P.TRUST_THRESHOLD, "warn").otherwise("pass"),
-              F.bround("avg_trust", 3),
-              F.concat(F.format_string(said["trust"], F.col("avg_trust") * 100,
-                                       F.col("max_context")),
-                       F.when(F.col("context_limited"), F.lit(said["truncated"])).otherwise(F.lit("")))),
-        _step("prompt", layer["System Prompt Lock"], F.when(F.col("override_blocked"), "block").otherwise("pass"),
-              F.when(F.col("override_blocked"), 1.0).otherwise(0.0),
-              F.when(F.col("override_blocked"), said["override"]).otherwise(said["locked"])),
-        F.when(leaked, _step("output", layer["Canary Token"], "block", 1.0, said["leak"]))
-         .otherwise(_step("output", layer["Canary Token"], "pass" if canary_enabled else "skipped", 0.0,
-                          said["no_leak"] if canary_enabled else said["canary_off"])))
-    out_step = _step("output", layer["Output Guard"], out_status,
-                     F.when(F.col("out_blocked"), 1.0).when(F.col("out_had_issues"), 0.5).otherwise(0.0),
-                     F.when(F.col("out_had_issues"), F.concat(F.size("out_issues").cast("string"),
-                                                              F.lit(said["issues"]), issue_cats))
-                      .otherwise(F.lit(said["output_clean"])))
-    logs = F.concat(
-        F.when(F.col("decision") == "warn", F.array(_log("input", "warning", F.array_join("categories", ", "),
-                                                         F.col("threat_level")))).otherwise(F.array().cast(f"array<{LOG_T}>")),
-        F.coalesce(F.col("_san_logs"), F.array().cast(f"array<{LOG_T}>")),
-        F.when(F.col("context_limited"), F.array(_log("retrieval", "context_limited", "trust_score_limit")))
-         .otherwise(F.array().cast(f"array<{LOG_T}>")),
-        F.when(F.col("override_blocked"), F.array(_log("prompt", "override_blocked", "system_prompt_locked")))
-         .otherwise(F.array().cast(f"array<{LOG_T}>")),
-        F.when(leaked, F.array(_log("output", "blocked", "system_prompt_leak_detected")))
-         .when(F.col("out_had_issues"), F.array(_log("output", F.when(F.col("out_blocked"), "blocked")
-                                                     .otherwise("sanitized"), issue_cats)))
-         .otherwise(F.array().cast(f"array<{LOG_T}>")))
+    said = {key: sql_lit(text) for key, text in P.TRACE_TEXTS.items()}
+
+    # Trace and log are SQL text, parsed in one call each.
+    def step(stage, layer, status, score, detail):
+        return (f"named_struct('stage', '{stage}', 'layer', '{layer}', 'status', {status}, 'score', CAST({score} AS DOUBLE), "
+                f"'detail', {detail}, 'category', '')")
+
+    def log(when, stage, action, reason, threat="NULL"):
+        return (f"IF({when}, array(CAST(named_struct('stage', '{stage}', 'action', {action}, 'reason', {reason}, 'threat_level', {threat}, "
+                f"'source', NULL, 'chunk', NULL) AS {LOG_T})), CAST(array() AS array<{LOG_T}>))")
+
+    issue_cats = "array_join(array_sort(array_distinct(transform(out_issues, i -> i.category))), ', ')"
+    off = "skipped" if not canary_enabled else "pass"
+    steps = [
+        step("retrieval", "Document Sanitizer", "IF(n_sanitized > 0, 'warn', 'pass')",
+             "IF(n_sources > 0, bround(n_sanitized / n_sources, 3), 0.0D)",
+             f"IF(n_sanitized > 0, format_string({said['sanitized']}, n_sanitized, n_sources), format_string({said['clean']}, n_sources))"),
+        step("retrieval", "Trust Scorer", f"IF(avg_trust < {P.TRUST_THRESHOLD!r}D, 'warn', 'pass')", "bround(avg_trust, 3)",
+             f"concat(format_string({said['trust']}, avg_trust * 100, max_context), IF(context_limited, {said['truncated']}, ''))"),
+        step("prompt", "System Prompt Lock", "IF(override_blocked, 'block', 'pass')", "IF(override_blocked, 1.0D, 0.0D)",
+             f"IF(override_blocked, {said['override']}, {said['locked']})"),
+        step("output", "Canary Token", f"IF(canary_leaked, 'block', '{off}')", "IF(canary_leaked, 1.0D, 0.0D)",
+             f"IF(canary_leaked, {said['leak']}, {said['no_leak'] if canary_enabled else said['canary_off']})"),
+        step("output", "Output Guard", "CASE WHEN out_blocked THEN 'block' WHEN out_had_issues THEN 'warn' ELSE 'pass' END",
+             "CASE WHEN out_blocked THEN 1.0D WHEN out_had_issues THEN 0.5D ELSE 0.0D END",
+             f"IF(out_had_issues, concat(CAST(size(out_issues) AS STRING), {said['issues']}, {issue_cats}), {said['output_clean']})"),
+    ]
+    # A leak ends the run before the output guard.
+    trace = F.expr(f"CAST(concat(input_trace, slice(array({', '.join(steps)}), 1, IF(canary_leaked, 4, 5))) AS array<{STEP_T}>)")
+    logs = F.expr("concat(" + ", ".join([
+        log("coalesce(decision = 'warn', false)", "input", "'warning'", "array_join(categories, ', ')", "threat_level"),
+        f"coalesce(_san_logs, CAST(array() AS array<{LOG_T}>))",
+        log("coalesce(context_limited, false)", "retrieval", "'context_limited'", "'trust_score_limit'"),
+        log("override_blocked", "prompt", "'override_blocked'", "'system_prompt_locked'"),
+        log("canary_leaked OR out_had_issues", "output", "IF(canary_leaked OR out_blocked, 'blocked', 'sanitized')",
+            f"IF(canary_leaked, 'system_prompt_leak_detected', {issue_cats})")]) + ")")
     allowed_rows = a.select(
         "prompt_id", "query", "system_prompt", F.lit(True).alias("guardrails_active"),
         leaked.alias("blocked"), "decision",
@@ -201,8 +195,7 @@ def guarded_batch(prompts: DataFrame, chunks: DataFrame, answers: DataFrame, ver
         F.when(leaked, F.array().cast(
             "array<struct<file:string,chunk:bigint,score:double,trust_score:double,preview:string>>"))
          .otherwise(F.col("sources")).alias("sources"),
-        F.concat(F.col("input_trace"), F.when(leaked, F.slice(trace_tail, 1, 4))
-                 .otherwise(F.concat(trace_tail, F.array(out_step)))).cast(f"array<{STEP_T}>").alias("trace"),
+        trace.alias("trace"),
         logs.alias("logs"))
 
     blocked_rows = screened.where(F.col("blocked")).select(
