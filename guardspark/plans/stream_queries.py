@@ -84,7 +84,7 @@ def stream_events_once_q(spark, sf):
     schema = spark.read.parquet(f"{d}/in/first").schema
 
     def screen():
-        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{d}/in")
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4 * files).option("recursiveFileLookup", "true").parquet(f"{d}/in")
         ST.stream_screen(ST.once_per_prompt(s).drop("timestamp"), f"{d}/out", f"{d}/ckpt", f"{d}/events")
 
     screen()
