@@ -25,11 +25,12 @@ on average and misses T = 48 of K = 96 with a probability below 1e-7.
 Shingles are 64-bit hashes of A-Z lower-cased words; a set's identity is a
 128-bit sum over them.
 
-Hot groups: a key that many classes share (in the postings of one class in
-SAMPLED) is counted in parts and the count sent to its rows; partners of a
-list are limited before the shuffle; the rows of a class with many copies get
-its component sent. Joins on a component's smallest id have one row on the
-other side, so adaptive execution splits them.
+Hot groups: postings of a key that many classes share (as those of one class in
+SAMPLED show; the keys, fewer than HOT_KEYS, are sent to the tasks) are never
+counted in one place; partners of a list are limited before the shuffle; the
+lists that the prefix rule leaves hold a key's classes once each. Joins on a
+component's smallest id or on a set's identity have one row on the other side,
+so adaptive execution splits them.
 
 Edge cases: null or word-free text has an empty set, is linked with nothing
 and is its own component; texts under k words have one shingle, the whole
@@ -54,8 +55,8 @@ MATCHES = 48
 LIKELY_TURNS = 1        # rounds of likely pairs on the refined lists before all pairs across components
 PARTNERS = 3            # of a list's largest component, for each member outside it
 SAMPLED = 64            # one class in so many shows which keys are hot
-HOT_KEYS, HOT_LEAST = 10_000, 16
-HOT_CLASSES = 1000
+HOT_KEYS, HOT_LEAST, HOT_COUNT = 10_000, 16, 1 << 60
+SALTS = 64
 
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()),
                        T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
@@ -117,34 +118,29 @@ def sampled(rep: str = "rep"):
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(rep)), F.lit(SAMPLED)) == 0
 
 
-def hot_keys(sample: DataFrame, stage: Stage, name: str) -> DataFrame:
+def hot_keys(sample: DataFrame) -> list[int]:
     """Keys that hold many of the sampled postings (column ``key``): those with
-    at least one in HOT_KEYS of them, so at most HOT_KEYS keys. What is taken
-    for hot decides how a key is worked on, never what comes out."""
-    counts = stage.put(sample.groupBy("key").count().where(F.col("count") >= HOT_LEAST), name)
-    total = sample.count()
-    return counts.where(F.col("count") > total // HOT_KEYS).select("key")
+    more than one in HOT_KEYS of them, so fewer than HOT_KEYS keys."""
+    counts = sample.groupBy("key").count().where(F.col("count") >= HOT_LEAST)
+    least = sample.count() // HOT_KEYS
+    return [r["key"] for r in counts.where(F.col("count") > least).select("key").collect()]
 
 
-def with_key_values(rows: DataFrame, hot: DataFrame | None, **values) -> DataFrame:
-    """``rows`` with aggregates over their ``key``. The rows of a hot key never
-    meet: they are aggregated in part where they are, and the result, one row
-    per hot key, is sent to them."""
-    def by_window(df):
-        return df.select("*", *(v.over(Window.partitionBy("key")).alias(c) for c, v in values.items()))
+def with_counts(post: DataFrame, hot: list[int]) -> DataFrame:
+    """Postings with ``cnt``, by which a document's keys are ordered: how many
+    hold the key, and more than any count for a hot one. All that the rules
+    need is one order of the keys and which of them occur once, so the rows of
+    a hot key need not meet: they are dealt out over salts."""
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    own = F.when(is_hot, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    counted = F.count(F.lit(1)).over(Window.partitionBy("key", "_salt"))
+    return post.withColumn("_salt", own).withColumn("cnt", F.when(is_hot, F.lit(HOT_COUNT)).otherwise(counted)).drop("_salt")
 
-    if hot is None:
-        return by_window(rows)
-    hot = F.broadcast(hot)                                  # at most HOT_KEYS keys
-    own = rows.join(hot, "key", "left_semi")
-    known = own.groupBy("key").agg(*(v.alias(c) for c, v in values.items()))
-    return by_window(rows.join(hot, "key", "left_anti")).unionByName(own.join(F.broadcast(known), "key"))
 
-
-def prefix_postings(classes: DataFrame, hot: DataFrame | None = None, matches: int = MATCHES) -> DataFrame:
+def prefix_postings(classes: DataFrame, hot: list[int], matches: int = MATCHES) -> DataFrame:
     """(key, rep, n): the postings that the skip and prefix rules leave."""
     post = classes.select("rep", "n", F.explode("sig").alias("key"))
-    shared = with_key_values(post, hot, cnt=F.count(F.lit(1))).where("cnt > 1")
+    shared = with_counts(post, hot).where("cnt > 1")
     per_doc = (shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("cnt", "key"))).alias("p"))
                      .where(F.size("p") >= matches))
     return (per_doc.select("rep", "n", F.explode(F.slice("p", F.lit(1), F.size("p") - matches + 1)).alias("p"))
@@ -155,18 +151,21 @@ def _size_fits(n1, n2, pct: int):
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * pct)
 
 
-def leader_pairs(lists: DataFrame, pct: int, hot: DataFrame | None = None) -> DataFrame:
+def leader_pairs(lists: DataFrame, pct: int) -> DataFrame:
     """Each list's members paired with the list's smallest id."""
-    return (with_key_values(lists, hot, lead=F.min(F.struct("rep", "n")))
+    lead = F.min(F.struct("rep", "n")).over(Window.partitionBy("key"))
+    return (lists.withColumn("lead", lead)
                  .where((F.col("lead.rep") < F.col("rep")) & _size_fits(F.col("lead.n"), F.col("n"), pct))
                  .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct())
 
 
-def multi_component_members(lists: DataFrame, labels: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def multi_component_members(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(rep, comp, n) of the members of lists that hold several components."""
     m = (lists.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
               .withColumn("comp", F.coalesce("comp", "rep")))
-    return with_key_values(m, hot, lo=F.min("comp"), hi=F.max("comp")).where("lo <> hi").select("rep", "comp").distinct()
+    w = Window.partitionBy("key")
+    return (m.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w))
+             .where("lo <> hi").select("rep", "comp").distinct())
 
 
 def shingle_postings(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, stage: Stage) -> DataFrame:
@@ -187,10 +186,9 @@ def shingle_postings(members: DataFrame, docs: DataFrame, id_col: str, text_col:
     def postings(of: DataFrame) -> DataFrame:
         return text.join(of.select("rep"), "rep").select("rep", "t").mapInArrow(run, "key long, rep long, n long")
 
-    hot = hot_keys(stage.put(postings(members.where(sampled())), "sampled-shingles"), stage, "hot-shingles")
+    hot = hot_keys(stage.put(postings(members.where(sampled())), "sampled-shingles"))
     need = F.floor((F.col("n") * pct + 99) / 100).cast("int")
-    # The shingles are worked out twice where some are hot, once where none is.
-    shared = with_key_values(postings(members), None if hot.isEmpty() else hot, cnt=F.count(F.lit(1))).where("cnt > 1")
+    shared = with_counts(postings(members), hot).where("cnt > 1")
     per_doc = (shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("cnt", "key"))).alias("p"))
                      .where(F.size("p") >= need))
     return (per_doc.select("rep", "n", F.size("p").alias("m"),
@@ -326,20 +324,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = at_least_slots(docs)
     signed = stage.put(signatures(docs, id_col, text_col, k, coords), "signed")
     classes = stage.put(signed.where("n > 0").groupBy("k1", "k2")
-                              .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
-                                   F.count(F.lit(1)).alias("copies")),
+                              .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")),
                         "classes")
     named = classes.where("rep is not null")
-    hot = hot_keys(named.where(sampled()).select(F.explode("sig").alias("key")), stage, "hot-keys")
+    hot = hot_keys(named.where(sampled()).select(F.explode("sig").alias("key")))
     lists = stage.put(prefix_postings(named, hot, matches), "lists")
-    tested = stage.put(leader_pairs(lists, pct, hot), "leader-pairs")
+    tested = stage.put(leader_pairs(lists, pct), "leader-pairs")
 
     def found(pairs):
         return stage.put(confirm(count_matches(pairs, named, matches), docs, id_col, text_col, k, pct), "links")
 
     links = found(tested)
     labels = components(links, stage, "cc")
-    split = stage.put(multi_component_members(lists, labels, hot), "split")
+    split = stage.put(multi_component_members(lists, labels), "split")
     fine = stage.put(shingle_postings(split, docs, id_col, text_col, k, pct, stage), "fine-lists")
     for turn in range(LIKELY_TURNS):
         pairs = stage.put(likely_pairs(fine, labels, pct, PARTNERS, turn).join(tested, ["a", "b"], "left_anti"), f"likely-{turn}")
@@ -354,14 +351,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = found(rest)
         if not more.isEmpty():
             labels = extended(labels, more, stage)
-    comp = stage.put(classes.select("k1", "k2", "rep", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-                            .select("k1", "k2", F.coalesce("comp", "rep").alias("component_id"), "copies"), "class-components")
-    # Rows of a class with a large share of all rows get its component sent.
-    large = F.col("copies") > comp.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // HOT_CLASSES
-    many = F.broadcast(comp.where(large).drop("copies"))            # at most HOT_CLASSES rows
-    full = signed.where("n > 0").select("doc_id", "n", "k1", "k2")
-    rows = (full.join(many, ["k1", "k2"]).unionByName(full.join(many, ["k1", "k2"], "left_anti").join(comp.drop("copies"), ["k1", "k2"]))
-                .select("doc_id", "n", "component_id"))
+    comp = (classes.select("k1", "k2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+                   .select("k1", "k2", F.coalesce("comp", "rep").alias("component_id")))
+    rows = (signed.where("n > 0").select("doc_id", "n", "k1", "k2").join(comp, ["k1", "k2"])
+                   .select("doc_id", "n", "component_id"))
     empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = stage.put(rows.unionByName(empty)
                     .select("doc_id", F.col("n").alias("n_shingles"), "component_id",

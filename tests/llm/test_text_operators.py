@@ -204,10 +204,9 @@ def test_near_dedup_is_the_same_however_keys_are_worked_on(spark, monkeypatch):
     texts += [(200 + i, " ".join(f"other{i}-{j}" for j in range(30))) for i in range(40)] + [(300 + i, texts[3][1]) for i in range(60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
     want = py_components(texts)
-    for least, share, classes in ((1, 10**9, 1), (10**9, 1, 1000)):
-        monkeypatch.setattr(near_dedup, "SAMPLED", 1 if least == 1 else 64)
+    for every, least in ((1, 1), (1, 20), (64, 10**9)):
+        monkeypatch.setattr(near_dedup, "SAMPLED", every)
         monkeypatch.setattr(near_dedup, "HOT_LEAST", least)
-        monkeypatch.setattr(near_dedup, "HOT_KEYS", share)
-        monkeypatch.setattr(near_dedup, "HOT_CLASSES", classes if least > 1 else 10**9)
+        monkeypatch.setattr(near_dedup, "HOT_KEYS", 10**9)
         got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
         assert got == want
