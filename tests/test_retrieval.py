@@ -102,6 +102,41 @@ def test_blocks_that_cannot_reach_the_kth_score_are_left_out(signed):
             assert shard.met < 0.7 * shard.pairs
 
 
+def test_single_precision_bounds_decide_no_score():
+    """Rows that differ by less than float32 can tell, and rows without a score."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=64)
+    c = np.vstack([base + 1e-8 * rng.normal(size=(3000, 64)), rng.normal(size=(6000, 64))])
+    c[10, 3], c[11, 4] = np.nan, np.inf
+    q = np.vstack([base, rng.normal(size=(40, 64)), np.full((1, 64), np.nan)])
+    ids = rng.permutation(len(c))
+    shard = PT.Shard(ids, c)
+    query, got, score = shard.search(q, 10, -1.0)
+    s = np.einsum("qd,cd->qc", q, np.where(np.isfinite(c), c, np.nan))
+    s = s / np.sqrt((q * q).sum(1)[:, None] * (c * c).sum(1))
+    for i in range(len(q) - 1):
+        assert np.allclose(np.sort(score[query == i]), np.sort(s[i][~np.isnan(s[i])])[-10:], rtol=1e-12, atol=0)
+    assert not (query == len(q) - 1).any() and not {ids[10], ids[11]} & set(got.tolist())
+
+
+def test_few_pairs_are_scored_in_double_precision(monkeypatch):
+    """Unprunable vectors: the exact step sees a small share of all pairs."""
+    rng = np.random.default_rng(8)
+    c, q, seen = rng.normal(size=(40_000, 64)), rng.normal(size=(512, 64)), []
+    exact = PT._exact
+    monkeypatch.setattr(PT, "_exact", lambda q, *rest: seen.append(len(q)) or exact(q, *rest))
+    PT.Shard(np.arange(len(c)), c).search(q, 10)
+    assert sum(seen) < 0.02 * len(q) * len(c)
+
+
+def test_own_k_works_out_the_chunks_once(spark, monkeypatch):
+    from guardspark.plans import chunk_queries as CQ
+    made = []
+    monkeypatch.setattr(CQ, "stored", lambda df, name: made.append(name) or df)
+    CQ.retrieve_own_k_q(spark, SF_SMALL)
+    assert made == ["prompts", "chunks"]
+
+
 def test_two_models_from_one_factory(spark):
     from pyspark.sql import functions as F
 
