@@ -110,3 +110,19 @@ def test_guarded_answers_count_provenance_and_own_top_k(spark):
     assert b[1]["avg_trust"] - a[1]["avg_trust"] == pytest.approx(0.1 * verified / 6)
     u = {r["prompt_id"]: r["n_sources"] for r in G.unguarded_batch(prompts, plain, answers, k_col="top_k").collect()}
     assert u == {1: 6, 2: 5, 3: 0}
+
+
+def test_an_append_works_its_rows_out_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+    seen = spark.sparkContext.accumulator(0)
+
+    def vectors(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(500).select("id", F.lit("f").alias("source_file"), F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("chunk_index"),
+                                   F.lit("t").alias("content"), F.array(F.lit(1)).alias("vector"))
+    CT.append_numbered(rows.mapInArrow(vectors, rows.schema), str(tmp_path / "t"))
+    assert seen.value == 500
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == list(range(500))
