@@ -25,15 +25,18 @@ def scan_text_corpus_q(spark, sf):
     with their decoded text and rejected ones with the reason, from one
     listing."""
     d = work_dir(spark, "scan")
-    docs = read_table(spark, sf, "documents").repartition("doc_id")
-    # The text writer ends each row with a newline; one row is one file here.
-    other = F.pmod("doc_id", F.lit(10)) == 3
-    docs.where(~other).select("doc_id", "text").write.partitionBy("doc_id").mode("append").text(d)
-    docs.where(other).select("doc_id", F.col("doc_id").alias("about")).write.partitionBy("doc_id").mode("append").json(d)
+    docs = read_table(spark, sf, "documents").where("doc_id is not null").select("doc_id", "text")
+    # One line per row; rows of one id share a file.
+    about = F.concat(F.lit('{"about":'), F.col("doc_id"), F.lit("}"))
+    line = F.concat(F.when(F.col("_other"), about).otherwise(F.coalesce("text", F.lit(""))), F.lit("\n"))
+    name = F.concat(F.lit("doc_id="), F.col("doc_id"), F.when(F.col("_other"), F.lit(".json")).otherwise(F.lit(".txt")))
+    files = (docs.withColumn("_other", F.pmod("doc_id", F.lit(10)) == 3).select(name.alias("name"), line.alias("line"))
+                 .groupBy("name").agg(F.array_join(F.collect_list("line"), "").cast("binary").alias("content")))
+    C.write_files(files, d)
     accepted, rejected = C.scan_with_rejects(spark, d, max_bytes=_MAX_BYTES)
     doc = F.regexp_extract("path", "doc_id=(-?[0-9]+)", 1).cast("bigint").alias("doc_id")
     taken = C.decode_text(accepted).select(doc, F.col("length").alias("n_bytes"), F.lit("").alias("reason"), F.sha2("text", 256).alias("text_sha256"))
-    left = rejected.where("source_file not like '\\_%'").select(doc, F.col("length").alias("n_bytes"), "reason", F.lit("").alias("text_sha256"))
+    left = rejected.select(doc, F.col("length").alias("n_bytes"), "reason", F.lit("").alias("text_sha256"))
     return taken.unionByName(left)
 
 

@@ -131,3 +131,23 @@ def test_event_details_of_every_kind_survive_the_log(spark):
         assert r["A"].categories == ["one"] and r["A"].issues == ["x"] and r["A"].category_votes == {"k": 2}
         assert (r["A"].regex_score, r["A"].semantic_score, r["A"].type) == (0.5, 0.25, "t")
         assert r["B"].categories == ["p", "q"] and r["B"].issues is None
+
+
+def test_files_are_written_without_a_folder_each(spark):
+    import tempfile
+    d = tempfile.mkdtemp() + "/files"
+    rows = spark.range(300).selectExpr("concat('n=', id, '.txt') AS name", "CAST(concat('text ', id) AS BINARY) AS content")
+    assert C.write_files(rows, d, folders=4) == 300
+    assert C.write_files(rows, d, folders=4) == 300                 # a task that runs again
+    got = C.scan_text_corpus(spark, d).collect()
+    assert {r.source_file: bytes(r.content).decode() for r in got} == {f"n={i}.txt": f"text {i}" for i in range(300)} and len(got) == 300
+    assert len({r.path.rsplit("/", 1)[0] for r in got}) == 4
+    assert C.write_files(rows.where("false"), d) == 0
+
+
+def test_rows_of_one_id_share_a_scanned_file(spark, tmp_path):
+    from guardspark.plans.file_queries import scan_text_corpus_q
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (-5, "x" * 4000), (13, "j"), (None, "n")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_bytes, r.reason) for r in scan_text_corpus_q(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, ""), 2: (1, ""), -5: (4001, "larger than 4000 bytes"), 13: (13, 'unsupported type ".json"')}
