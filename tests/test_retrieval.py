@@ -129,6 +129,27 @@ def test_few_pairs_are_scored_in_double_precision(monkeypatch):
     assert sum(seen) < 0.02 * len(q) * len(c)
 
 
+@pytest.mark.parametrize("kind", [np.int32, np.float32, np.float64])
+def test_dense_vectors_are_bounded_once(kind, monkeypatch):
+    """A shard whose blocks nearly all reach the k-th score meets its further
+    queries without bounds; rows stay in their own type; ties are exact."""
+    rng = np.random.default_rng(9)
+    c, q = rng.poisson(1.0, (9000, 32)).astype(kind), rng.poisson(0.6, (300, 32)).astype(kind)
+    c[50:90], c[100:120], q[7] = c[3], 0, 0
+    ids, calls, bounds = rng.permutation(len(c)), [], PT.Shard.bounds
+    monkeypatch.setattr(PT.Shard, "bounds", lambda self, unit: calls.append(len(unit)) or bounds(self, unit))
+    shard = PT.Shard(ids, c)
+    assert shard.m.dtype == kind
+    full = PT.scores(*(x for m in (q.astype(float), c.astype(float)) for x in (m, (m * m).sum(1))))
+    for k, floor in ((5, 0.3), (40, -1.0), (9500, 0.5)):
+        for lo in range(0, len(q), 100):
+            query, got, score = shard.search(q[lo:lo + 100], k, floor)
+            for i in range(100):
+                order = np.lexsort((ids, -full[lo + i]))[:k]
+                assert got[query == i].tolist() == [ids[j] for j in order if full[lo + i, j] >= floor]
+    assert len(calls) == 1 and shard.wide
+
+
 def test_own_k_works_out_the_chunks_once(spark, monkeypatch):
     from guardspark.plans import chunk_queries as CQ
     made = []
