@@ -2,9 +2,12 @@
 logs of other services. Each writes its files from the given tables first."""
 from __future__ import annotations
 
-import pandas as pd
+from typing import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions.slices import runs
 from ..sources import charset as CS
 from ..sources import corpus as C
 from ..sources import events as E
@@ -43,15 +46,20 @@ def scan_text_corpus_q(spark, sf):
 # --- bytes made from documents ---------------------------------------------------
 
 def _encoded():
-    @F.pandas_udf("binary")
-    def encode(text: pd.Series, how: pd.Series) -> pd.Series:
+    def encode(batches):
         """Stand-in file contents: the text in a charset, or damaged UTF-8."""
         def one(t, h):
+            if t is None:
+                return None
             if h == "malformed" or h == "broken" and not t.isascii():
                 return t.encode("utf-8") + b"\xff\xc3"
-            return t.encode("utf-8" if h == "broken" else h)
-        return pd.Series([one(t, h) for t, h in zip(text, how)])
-    return encode("text", "how")
+            return t.encode("utf-8" if h in (None, "broken") else h)
+        for text, how in batches:
+            for lo, hi in runs(text):
+                n = hi - lo
+                yield pa.array([one(t, h) for t, h in zip(text.slice(lo, n).to_pylist(), how.slice(lo, n).to_pylist())], pa.binary())
+    encode.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(encode, "binary")("text", "how")
 
 
 def _bytes(spark, sf, names):

@@ -8,11 +8,14 @@ counter and neither part has a bound.
 """
 from __future__ import annotations
 
-import pandas as pd
+from typing import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import MAX_FILE_BYTES, TEXT_SUFFIXES
+from ..functions.slices import runs
 from ..functions.text import clean_text, pair_id
 from ..functions.vectors import HASHED
 from ..operators.chunking import chunk_documents
@@ -94,14 +97,18 @@ def decode_text(df: DataFrame, content_col: str = "content", out_col: str = "tex
     """Bytes to text: UTF-16 by byte-order mark, UTF-8 (BOM dropped) when
     valid, else ``fallback_charset`` if given, else UTF-8 with U+FFFD for
     invalid sequences. No bytes fail the job: what a charset cannot decode
-    becomes U+FFFD."""
+    becomes U+FFFD. Python holds slices of a batch (:mod:`slices`), not all of
+    it."""
     names = {"ISO-8859-1": "latin-1"}
 
     def decoder(charset):
-        @F.pandas_udf("string")
-        def run(content: pd.Series) -> pd.Series:
-            return content.map(lambda b: None if b is None else bytes(b).decode(charset, errors="replace"))
-        return run
+        def run(batches):
+            for whole in batches:
+                for lo, hi in runs(whole):
+                    yield pa.array([None if b is None else b.decode(charset, errors="replace")
+                                    for b in whole.slice(lo, hi - lo).to_pylist()], pa.string())
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, "string")
 
     b = F.col(content_col)
     head2 = F.hex(F.substring(b, 1, 2))

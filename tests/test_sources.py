@@ -151,3 +151,18 @@ def test_rows_of_one_id_share_a_scanned_file(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_bytes, r.reason) for r in scan_text_corpus_q(spark, str(tmp_path)).collect()}
     assert got == {1: (4, ""), 2: (1, ""), -5: (4001, "larger than 4000 bytes"), 13: (13, 'unsupported type ".json"')}
+
+
+def test_bytes_are_decoded_in_slices(spark):
+    """Texts longer than a slice, runs of short ones, and nulls, in their rows."""
+    from guardspark.functions.slices import runs
+    from guardspark.plans.file_queries import _encoded
+    import pyarrow as pa
+    assert runs(pa.array(["x" * 60, None, "y" * 30, "z" * 500, "", "w"]), 100) == [(0, 3), (3, 6)]
+    assert runs(pa.array([], pa.binary())) == []
+    how = ["utf-8", "utf-8-sig", "utf-16", "malformed", None]
+    texts = [None if i % 9 == 0 else "é" * (1_500_000 if i == 13 else i * 700) for i in range(60)]
+    rows = [(i, t, how[i % 5]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string, how string").coalesce(1).withColumn("content", _encoded())
+    got = {r.id: r.text for r in C.decode_text(df.drop("text")).collect()}
+    assert got == {i: t if t is None or h != "malformed" else t + "��" for i, t, h in rows}
