@@ -250,3 +250,27 @@ def test_one_model_runs_ingest_retrieval_screening_and_the_guarded_job(spark):
     answers = spark.createDataFrame([(1, "Rivers have stones.")], "prompt_id long, raw_answer string")
     out = {r.prompt_id: r for r in G.guarded_batch(prompts, chunks, answers, embedder=e).collect()}
     assert len(out) == 2 and out[2].blocked
+
+
+def test_shards_fill_whole_rounds_of_task_slots(spark, monkeypatch):
+    slots = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(R, "GROUP_BYTES", 8)
+    for n, want in ((slots, slots), (slots + 1, 2 * slots), (2 * slots, 2 * slots)):
+        assert R._shards(spark.createDataFrame([(i, [1.0]) for i in range(n)], "id long, v array<double>")) == want
+
+
+def test_products_of_all_tiles_share_one_buffer(monkeypatch):
+    """Also where a later tile is smaller, and after a wider one."""
+    rng = np.random.default_rng(5)
+    c, q = rng.normal(size=(1000, 8)), rng.normal(size=(70, 8))
+    monkeypatch.setattr(PT, "TILE_ROWS", 64)
+    for wide in (False, True):
+        shard, seen, products = PT.Shard(np.arange(1000), c), [], PT.Shard._products
+        monkeypatch.setattr(PT.Shard, "_products", lambda self, u, r: seen.append(products(self, u, r)) or seen[-1])
+        shard.wide = wide
+        got = [shard.search(part, 3) for part in (q[:40], q)]
+        monkeypatch.setattr(PT.Shard, "_products", products)
+        assert sum(not np.shares_memory(x, shard.products) for x in seen) <= len(seen) // 2
+        s = (q @ c.T) / np.sqrt(np.outer((q * q).sum(1), (c * c).sum(1)))
+        want = np.argsort(-s, axis=1, kind="stable")[:, :3]
+        assert (got[0][1].reshape(40, 3) == want[:40]).all() and (got[1][1].reshape(70, 3) == want).all()
