@@ -274,3 +274,56 @@ def test_products_of_all_tiles_share_one_buffer(monkeypatch):
         s = (q @ c.T) / np.sqrt(np.outer((q * q).sum(1), (c * c).sum(1)))
         want = np.argsort(-s, axis=1, kind="stable")[:, :3]
         assert (got[0][1].reshape(40, 3) == want[:40]).all() and (got[1][1].reshape(70, 3) == want).all()
+
+
+@pytest.mark.parametrize("rows, dim", [(9000, 64), (1, 64), (1023, 7), (2049, 3)])
+def test_counts_are_met_two_in_one(rows, dim, monkeypatch):
+    """Exact against a full sort: ties, copies, empty rows and queries, an odd
+    number of rows, long texts whose dot products do not fit a half, and
+    queries that are no counts."""
+    rng = np.random.default_rng(rows)
+    c, q = rng.poisson(1.2, (rows, dim)).astype(np.int32), rng.poisson(0.6, (120, dim)).astype(float)
+    c[40:90], c[100:120] = c[0], 0
+    c[200:230] *= 300
+    q[5], q[6], q[7] = 0, q[6] * 4000, q[8]
+    ids, packed, products = rng.permutation(rows), [], []
+    dots, plain = PT.Packed._dots, PT.Shard._products
+    monkeypatch.setattr(PT.Packed, "_dots", lambda self, a, b: packed.append(len(a) * len(b)) or dots(self, a, b))
+    monkeypatch.setattr(PT.Shard, "_products", lambda self, a, b: products.append(len(a) * len(b)) or plain(self, a, b))
+    shard = PT.Shard(ids, c)
+    shard.wide = True
+    assert shard.tile == PT.PACKED_QUERIES
+    for part in (q, q - 0.25, np.abs(q - 0.25)):
+        full = PT.scores(*(x for m in (part, c.astype(float)) for x in (m, (m * m).sum(1))))
+        for k, floor in ((5, 0.3), (1, -1.0), (40, -1.0), (rows + 5, 0.5)):
+            packed.clear()
+            products.clear()
+            query, got, score = shard.search(part, k, floor)
+            for i in range(len(part)):
+                order = np.lexsort((ids, -full[i]))[:k]
+                want = [j for j in order if full[i, j] >= floor]
+                assert np.allclose(score[query == i], full[i, want], rtol=1e-12)
+                if part is q:                            # whole numbers: equal scores are equal
+                    assert got[query == i].tolist() == ids[want].tolist()
+            if part is not q:
+                assert not packed
+            elif rows == 9000:
+                assert sum(products) < 0.05 * len(q) * rows and sum(packed) < 0.7 * len(q) * rows
+
+
+def test_packed_dot_products_at_their_limit():
+    """2,047 on both sides is the most that fits; more goes another way."""
+    sides = np.array([[2047, 0], [0, 1]], np.int32)
+    packed = PT.Packed(sides[[0, 0]], np.full(2, 2047.0 ** 2))
+    (rows, two, low, high), = packed.parts
+    i, j, d = packed.reaching(PT.Packed.queries(np.array([[1.0, 0.0]])), np.array([2047], np.int32), rows, two)
+    assert d.tolist() == [2047, 2047] and sorted(j.tolist()) == [0, 1] and i.tolist() == [0, 0]
+    assert PT.Packed.fits(np.array([0.0, 1.0, 4.0]), 2046.0 ** 2).tolist() == [True, True, False]
+    assert not PT.Packed.fits(np.array([1.0]), 2047.0 ** 2).any()
+
+
+def test_shards_count_the_bytes_of_their_own_type(spark, monkeypatch):
+    monkeypatch.setattr(R, "GROUP_BYTES", 8)
+    slots = spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([(i, [1]) for i in range(2 * slots)], "id long, v array<int>")
+    assert R._shards(df, "array<int>") == slots and R._shards(df, "array<double>") == 2 * slots
