@@ -19,8 +19,13 @@ from ..functions.slices import runs
 from ..functions.text import clean_text, pair_id
 from ..functions.vectors import HASHED
 from ..operators.chunking import chunk_documents
+from ..session import ship_package, stored
 from .chunk_table import metadata_map
 
+LISTED_ROWS = 10_000             # of a folder as Python objects at once
+TASK_FILES, TASK_BYTES = 8_192, 256 << 20     # that a task reads at most, about
+READ_BYTES = 4 << 20             # of contents held at a time, or one file
+
 
 def _case_glob(suffix: str) -> str:
     return "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix.lstrip("."))
@@ -76,19 +81,109 @@ def rejected_files(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES, max_b
             .select("path", "source_file", "length", F.format_string("larger than %d bytes", F.lit(max_bytes)).alias("reason")))
 
 
+def _listing(spark: SparkSession, path: str) -> DataFrame | None:
+    """(``path`` as the binary file source writes it, ``length``, ``at`` as
+    pyarrow's file systems take it) of all files below a folder, without those
+    that Spark's sources leave out. Tasks list the folders, level by level, and
+    store what they find; the driver sees no file. None: pyarrow opens no
+    folder there."""
+    from pyarrow import fs
+    ship_package(spark)
+    try:
+        store, root = fs.FileSystem.from_uri(path)
+        if store.get_file_info(root).type != fs.FileType.Directory:
+            return None
+    except (pa.ArrowException, OSError):
+        return None
+    local, root = isinstance(store, fs.LocalFileSystem), root.rstrip("/")
+    base = f"file:{root}" if local else path.rstrip("/")
+
+    def entries(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        store, _ = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = store.get_file_info(fs.FileSelector(folder))
+                for lo in range(0, len(found), LISTED_ROWS):
+                    rows = [(base + f.path[len(root):], f.size if f.is_file else None, f.path) for f in found[lo:lo + LISTED_ROWS]
+                            if f.type in (fs.FileType.File, fs.FileType.Directory) and not _left_out(f.base_name)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))],
+                                                     names=["path", "length", "at"])
+
+    slots = spark.sparkContext.defaultParallelism
+    level, n, levels = spark.createDataFrame([(root or "/",)], "at string").coalesce(1), 1, []
+    while n:
+        levels.append(stored(level.mapInArrow(entries, "path string, length long, at string"), "listing"))
+        level = levels[-1].where("length is null").select("at")
+        n = level.count()
+        level = level.repartition(min(n, slots)) if n else level
+    files = levels[0]
+    for more in levels[1:]:
+        files = files.unionByName(more)
+    return files.where("length > 0")
+
+
+def _left_out(name: str) -> bool:
+    """Names that Spark's file sources take for hidden or unfinished."""
+    return (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
+            or name.startswith(".") or name.endswith("._COPYING_"))
+
+
+def _with_content(files: DataFrame, path: str) -> DataFrame:
+    """Rows of :func:`_listing` with the files' ``content`` instead of ``at``,
+    read by tasks that are dealt alike numbers of them; a task holds about
+    READ_BYTES at a time, or one file."""
+    n, total = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    slots = files.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(n, slots), -(-n // TASK_FILES), -(-total // TASK_BYTES))
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        store, _ = fs.FileSystem.from_uri(path)
+
+        def rows(b, lo, content):
+            part = b.slice(lo, len(content))
+            return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("path", "source_file", "length")), pa.array(content, pa.binary())],
+                                              names=["path", "source_file", "length", "content"])
+
+        for b in batches:
+            lo, held, content = 0, 0, []
+            for at in b.column("at").to_pylist():
+                with store.open_input_file(at) as f:
+                    content.append(f.read())
+                held += len(content[-1])
+                if held >= READ_BYTES:
+                    yield rows(b, lo, content)
+                    lo, held, content = lo + len(content), 0, []
+            if content:
+                yield rows(b, lo, content)
+
+    return (files.select("path", "source_file", "length", "at").repartition(parts)
+                 .mapInArrow(read, "path string, source_file string, length long, content binary"))
+
+
 def scan_with_rejects(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) files under ``path``, from one listing of all of
     them: text files of at most ``max_bytes`` with their content, and every
     other file with the reason (its content is not read). Empty files hold no
-    text and are not listed."""
-    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-                   .withColumn("source_file", F.element_at(F.split("path", "/"), -1)))
+    text and are not listed. Tasks list and read what pyarrow's file systems
+    open, so the driver's memory does not grow with the number of files; other
+    paths (and patterns of paths) go through Spark's binary file source, which
+    lists on the driver."""
+    listed = _listing(spark, path)
+    by_tasks = listed is not None
+    if not by_tasks:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = listed.withColumn("source_file", F.element_at(F.split("path", "/"), -1))
     name = F.lower("source_file")
     suffix = F.when(F.contains(name, F.lit(".")), F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1))).otherwise(F.lit(""))
     reason = (F.when(~suffix.isin(*suffixes), F.format_string('unsupported type "%s"', suffix))
                .when(F.col("length") > max_bytes, F.format_string("larger than %d bytes", F.lit(max_bytes))))
     files = listed.withColumn("reason", reason)
-    return (files.where("reason is null").select("path", "source_file", "length", "content"),
+    taken = files.where("reason is null")
+    return (_with_content(taken, path) if by_tasks else taken.select("path", "source_file", "length", "content"),
             files.where("reason is not null").select("path", "source_file", "length", "reason"))
 
 

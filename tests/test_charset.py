@@ -71,6 +71,28 @@ def test_scan_gives_every_file_once_accepted_or_with_a_reason(spark):
     assert "content" not in plan
 
 
+def test_scan_lists_and_reads_in_tasks(spark):
+    """No file index on the driver; the same files and paths as Spark's source
+    gives, over several levels and with names that it leaves out."""
+    d = _tmp()
+    for name in ("a.txt", "x=1/b c.md", "x=1/y/d.txt", "x=1/y/e.bin", "_z=2/f.txt", "_hidden/g.txt", ".h.txt", "_part-1.txt", "x=1/i.txt._COPYING_", "x=1/empty.txt"):
+        os.makedirs(os.path.dirname(f"{d}/{name}"), exist_ok=True)
+        with open(f"{d}/{name}", "w") as f:
+            f.write("" if "empty" in name else name)
+    want = {r.path: (r.length, bytes(r.content)) for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d).collect()}
+    assert len(want) == 5
+    for path in (d, f"file://{d}/"):
+        ok, bad = C.scan_with_rejects(spark, path, max_bytes=100)
+        for df in (ok, bad):
+            assert "binaryFile" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {r["path"]: (r["length"], bytes(r["content"])) for r in ok.collect()} == {k: v for k, v in want.items() if not k.endswith(".bin")}
+        assert [r["path"] for r in bad.collect()] == [k for k in want if k.endswith(".bin")]
+    one, none = C.scan_with_rejects(spark, f"{d}/x=1/y/*.txt")       # a pattern goes through Spark's source
+    assert [r["source_file"] for r in one.collect()] == ["d.txt"] and none.count() == 0
+    empty, none = C.scan_with_rejects(spark, _tmp())
+    assert empty.count() == none.count() == 0
+
+
 def test_unknown_detail_fields_survive(spark):
     d = _tmp()
     lines = ['{"event_type": "A", "details": {"x": {"y": [1, {"z": "deep"}]}}, "threat_level": 0.5, "timestamp": "2024-01-01T00:00:00"}',
