@@ -327,3 +327,63 @@ def test_shards_count_the_bytes_of_their_own_type(spark, monkeypatch):
     slots = spark.sparkContext.defaultParallelism
     df = spark.createDataFrame([(i, [1]) for i in range(2 * slots)], "id long, v array<int>")
     assert R._shards(df, "array<int>") == slots and R._shards(df, "array<double>") == 2 * slots
+
+
+def test_counts_are_met_five_or_six_in_one(monkeypatch):
+    """Exact against a full sort, with far fewer products than pairs; norms
+    for either field width, and for none."""
+    rng = np.random.default_rng(11)
+    rows, dim = 20_000, 32
+    c, q = rng.poisson(1.0, (rows, dim)).astype(np.int32), rng.poisson(1.0, (700, dim)).astype(float)
+    c[7000:14_000] *= rng.integers(4, 9, (7000, 1), np.int32)
+    c[14_000:14_040] *= 400
+    c[100:300], c[400:410], q[3], q[4], q[5] = c[0], 0, 0, q[4] * 3000, q[6]
+    ids, cells, meeting = rng.permutation(rows), [], PT.Packed.meeting
+    monkeypatch.setattr(PT.Packed, "meeting", lambda self, a, limits, flags, rows, n, bits, packed: cells.append((n, len(a) * len(packed)))
+                        or meeting(self, a, limits, flags, rows, n, bits, packed))
+    shard = PT.Shard(ids, c)
+    shard.wide = True
+    full = PT.scores(*(x for m in (q, c.astype(float)) for x in (m, (m * m).sum(1))))
+    for k, floor in ((5, 0.3), (1, -1.0), (60, 0.0)):
+        cells.clear()
+        query, got, score = shard.search(q, k, floor)
+        for i in range(len(q)):
+            order = np.lexsort((ids, -full[i]))[:k]
+            want = [j for j in order if full[i, j] >= floor]
+            assert got[query == i].tolist() == ids[want].tolist() and (score[query == i] == full[i, want]).all()
+        assert {n for n, _ in cells} == {5, 6} and sum(x for _, x in cells) < 0.25 * len(q) * rows
+
+
+@pytest.mark.parametrize("n, bits", PT.FLAGGED)
+def test_fields_at_their_limits(n, bits):
+    """Each field shows its row at the limit and not below it, whatever the
+    others hold; what may not fit is not asked."""
+    half = 1 << bits - 1
+    for limit, most in ((half, 2 * half - 1), (half, half), (1, half), (0, half - 1)):
+        values = np.array([most, limit, max(limit - 1, 0), 0])
+        for shift in range(4):
+            m = np.roll(np.resize(values, n * PT.STRETCHES), shift).astype(np.int32)[:, None]
+            packed = PT.Packed(m, np.full(len(m), 1.0))
+            rows = packed.parts[0][0]
+            packed.many[0] = n, bits, None
+            fields, (limits, fit) = packed.flagged(0, np.array([float(most)]), np.array([float(limit)]), np.array([limit > 0]))
+            assert fields[:2] == (n, bits) and fit.all() and (limits == limit).all()
+            (i, j), = packed.meeting(np.array([[1.0, 0.0]]), limits, fit, rows, *fields)
+            assert sorted(j.tolist()) == np.flatnonzero(m[:, 0] >= limit).tolist() and not i.any()
+    for limit, most in ((1, half + 1), (half, 2 * half), (half + 1, 2 * half)):
+        assert not PT.Packed.flags(np.array([float(most)]), np.full((1, n), float(limit)), bits).any()
+
+
+def test_fields_have_their_own_limits():
+    """The least norm of each field decides, so hardly a row is scored in vain."""
+    rng = np.random.default_rng(2)
+    m = rng.poisson(1.0, (600, 16)).astype(np.int32)
+    sq = (m * m).sum(1).astype(float)
+    packed = PT.Packed(m, sq)
+    assert len(packed.parts) > 1
+    for at, (rows, _, low, high) in enumerate(packed.parts):
+        for n, _ in PT.FLAGGED:
+            width, limits = packed.limits(at, n, np.array([2.0]), np.array([True]))
+            assert limits[0, 0] == np.ceil(2 * np.sqrt(low)) and width * n >= len(rows) and (np.diff(limits[0]) >= 0).all()
+            for f in range(n):
+                assert (limits[0, f] <= np.ceil(2 * np.sqrt(sq[rows[f * width:(f + 1) * width]]))).all()
