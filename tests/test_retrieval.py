@@ -387,3 +387,47 @@ def test_fields_have_their_own_limits():
             assert limits[0, 0] == np.ceil(2 * np.sqrt(low)) and width * n >= len(rows) and (np.diff(limits[0]) >= 0).all()
             for f in range(n):
                 assert (limits[0, f] <= np.ceil(2 * np.sqrt(sq[rows[f * width:(f + 1) * width]]))).all()
+
+
+@pytest.mark.parametrize("counts", [True, False])
+def test_scores_of_a_first_shard_reach_the_others(spark, monkeypatch, counts):
+    """The same rows as from one shard: ties, repeated ids on both sides,
+    queries of few or no hits, each query's own k."""
+    rng = np.random.default_rng(3)
+    c, q = (rng.poisson(0.7, (n, 8)) if counts else rng.normal(size=(n, 8)).round(1) for n in (900, 60))
+    c[300:340], c[500:503], q[4] = c[0], 0, 0
+    q[5] = 0
+    q[5, 0] = 1 if counts else -1
+    kind = "array<int>" if counts else "array<double>"
+    rows = [(i % 880, [x.item() for x in v]) for i, v in enumerate(c)]
+    asks = [(i % 58, [x.item() for x in v], i % 9) for i, v in enumerate(q)]
+    corpus = spark.createDataFrame(rows, f"id long, vector {kind}").cache()
+    queries = spark.createDataFrame(asks, f"query_id long, vector {kind}, own int").cache()
+    for k, threshold in ((4, 0.3), (8, -1.0), (3, 0.97)):
+        want = {(r.query_id, r["rank"], r.id, r.score) for r in R.cosine_topk(queries, corpus, k, threshold, shards=1).collect()}
+        names, stored = [], R.stored
+        monkeypatch.setattr(R, "GROUP_BYTES", 1 << 10)
+        monkeypatch.setattr(R, "stored", lambda df, name: names.append(name) or stored(df, name))
+        assert {(r.query_id, r["rank"], r.id, r.score) for r in R.cosine_topk(queries, corpus, k, threshold).collect()} == want
+        assert names == ["queries", "first"]
+        if k == 8:
+            own = {(r.query_id, r["rank"], r.id) for r in R.cosine_topk(queries.where("query_id > 1"), corpus, k, threshold, k_col="own").collect()}
+            assert own == {(a, b, i) for a, b, i, _ in want if a > 1 and b < a % 9}
+        monkeypatch.undo()
+
+
+def test_known_scores_leave_few_rows_to_score(monkeypatch):
+    rng = np.random.default_rng(4)
+    c, q = rng.poisson(1.0, (30_000, 32)).astype(np.int32), rng.poisson(1.0, (300, 32)).astype(float)
+    full = PT.scores(*(x for m in (q, c.astype(float)) for x in (m, (m * m).sum(1))))
+    floors = np.partition(full[:, ::10], -5, axis=1)[:, -5]              # of a tenth of the rows
+    exact, scored = PT._exact, []
+    monkeypatch.setattr(PT, "_exact", lambda a, *rest: scored.append(len(a)) or exact(a, *rest))
+    monkeypatch.setattr(PT.Packed, "first_kth", None)                    # not asked for then
+    shard = PT.Shard(np.arange(len(c)), c)
+    shard.wide = True
+    query, got, score = shard.search(q, 5, floors)
+    for i in range(len(q)):
+        want = [j for j in np.lexsort((np.arange(len(c)), -full[i]))[:5] if full[i, j] >= floors[i]]
+        assert got[query == i].tolist() == want
+    assert sum(scored) < 150 * len(q)
